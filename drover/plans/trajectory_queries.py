@@ -156,7 +156,7 @@ def q_pair_action_observation(spark, sf):
 
 
 # --- W9 / F23 ----------------------------------------------------------------------
-_COMPACT_MIN_CHARS = 4000
+_COMPACT_MIN_CHARS = 1500
 
 
 @register("compact_history", with_views(f"""
