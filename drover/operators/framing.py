@@ -56,7 +56,7 @@ def frame_commands(chunks: DataFrame, session: str = "session_id", seq: str = "s
     """One row per finished command: ``(session, record_no, output, exit_code)``."""
     framed = frame_lines(chunk_lines(chunks, session, seq, chunk), session)
     body = F.when(F.col("is_marker"),
-                  F.regexp_extract("line", "^(.*?)" + MARKER_LINE_RE, 1)).otherwise(F.col("line"))
+                  F.regexp_extract("line", "(?s)^(.*?)" + MARKER_LINE_RE, 1)).otherwise(F.col("line"))
     recs = framed.groupBy(session, "record_no").agg(
         F.max("is_marker").alias("_closed"),
         F.max(F.when(F.col("is_marker"), T.marker_exit_code("line"))).alias("exit_code"),

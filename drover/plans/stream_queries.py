@@ -29,7 +29,7 @@ _EXIT = f"TRY_CAST({D.py_strip(D.regexp_extract('line', _CODE_RE))} AS INTEGER)"
 
 @register("frame_commands", with_views(_FRAMED + f"""
 SELECT session_id, record_no,
-       string_agg(CASE WHEN is_marker THEN {D.regexp_extract('line', '^(.*?)' + T.MARKER_RE)} ELSE line END,
+       string_agg(CASE WHEN is_marker THEN {D.regexp_extract('line', '(?s)^(.*?)' + T.MARKER_RE)} ELSE line END,
                   chr(10) ORDER BY line_no) AS output,
        max(CASE WHEN is_marker THEN {_EXIT} END) AS exit_code
 FROM framed GROUP BY session_id, record_no HAVING bool_or(is_marker)
