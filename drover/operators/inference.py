@@ -83,10 +83,11 @@ def count_tokens(tokenizer_factory: Callable):
     ``tokenizer_factory()`` returns ``encode(text) -> list``."""
     from collections.abc import Iterator
 
-    @F.pandas_udf(TY.LongType())
-    def _count(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def _count(it):
         encode = tokenizer_factory()
         for s in it:
             yield s.map(lambda x: 0 if x is None else len(encode(x))).astype("int64")
 
-    return _count
+    # real (not postponed) hints so Spark picks the iterator-of-series form
+    _count.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(_count, TY.LongType())
