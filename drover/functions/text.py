@@ -116,6 +116,13 @@ def is_blank(c) -> Column:
 
 
 # F12 ------------------------------------------------------------------------
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
+    (a one-element ``transform``), so a sub-result used several times inside
+    one expression is not recomputed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _common_prefix_len(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
@@ -127,13 +134,18 @@ def _common_prefix_len(a: Column, b: Column) -> Column:
 def dedent(c) -> Column:
     """``textwrap.dedent``: lines of only spaces/tabs become empty, then the
     longest common leading run of spaces/tabs of the non-blank lines is cut."""
-    lines = F.transform(F.split(_c(c), "\n", -1),
-                        lambda l: F.when(l.rlike(r"^[ \t]+\z"), F.lit("")).otherwise(l))
-    indents = F.transform(F.filter(lines, lambda l: l != F.lit("")),
-                          lambda l: F.regexp_extract(l, r"^([ \t]*)", 1))
-    lo, hi = F.array_min(indents), F.array_max(indents)
-    cut = F.coalesce(_common_prefix_len(lo, hi), F.lit(0))
-    return F.array_join(F.transform(lines, lambda l: F.substr(l, cut + 1)), "\n")
+    lines0 = F.transform(F.split(_c(c), "\n", -1),
+                         lambda l: F.when(l.rlike(r"^[ \t]+\z"), F.lit("")).otherwise(l))
+
+    def with_lines(lines):
+        indents = F.transform(F.filter(lines, lambda l: l != F.lit("")),
+                              lambda l: F.regexp_extract(l, r"^([ \t]*)", 1))
+        def cut(ind):
+            return let(F.array_min(ind), lambda lo: let(F.array_max(ind), lambda hi: _common_prefix_len(lo, hi)))
+        return let(F.coalesce(let(indents, cut), F.lit(0)),
+                   lambda k: F.array_join(F.transform(lines, lambda l: F.substr(l, k + 1)), "\n"))
+
+    return F.when(_c(c).isNotNull(), let(lines0, with_lines))
 
 
 # F1 -------------------------------------------------------------------------
@@ -149,18 +161,17 @@ def template_truth(raw) -> Column:
 def extract_python_code(raw) -> Column:
     """The reply is dedented, the first bare or ``python`` fence is taken (else
     the whole text), dedented again and right-stripped."""
-    content = dedent(raw)
-    snippet = F.when(content.rlike(PY_FENCE_RE), F.regexp_extract(content, PY_FENCE_RE, 1)) \
-        .otherwise(content)
-    return py_rstrip(dedent(snippet))
+    def pick(content):
+        return F.when(content.rlike(PY_FENCE_RE), F.regexp_extract(content, PY_FENCE_RE, 1)).otherwise(content)
+    return py_rstrip(dedent(let(dedent(raw), pick)))
 
 
 # F4 -------------------------------------------------------------------------
 def extract_def_text(raw) -> Column:
-    cleaned = py_strip(F.replace(_c(raw), F.lit("\r\n"), F.lit("\n")))
-    fenced = F.when(cleaned.rlike(DEF_FENCE_RE),
-                    py_strip(F.regexp_extract(cleaned, DEF_FENCE_RE, 1))).otherwise(cleaned)
-    return py_strip(dedent(fenced))
+    def pick(cleaned):
+        return F.when(cleaned.rlike(DEF_FENCE_RE),
+                      py_strip(F.regexp_extract(cleaned, DEF_FENCE_RE, 1))).otherwise(cleaned)
+    return py_strip(dedent(let(py_strip(F.replace(_c(raw), F.lit("\r\n"), F.lit("\n"))), pick)))
 
 
 # F5 -------------------------------------------------------------------------

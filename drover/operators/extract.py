@@ -54,12 +54,16 @@ def python_compiles(code: pd.Series) -> pd.Series:
 
 
 def extract_code(replies: DataFrame, response: str = "response", check: bool = False) -> DataFrame:
-    """Python source of each reply; with ``check`` also whether it compiles
-    (rows that do not compile are rejected like the generation stages do)."""
+    """Python source of each reply; with ``check`` also whether it compiles.
+    Rows without code or that do not compile are rejected, like the
+    generation stages do (an empty text compiles but is not an artefact)."""
     out = replies.withColumn("code", T.extract_python_code(response))
     if check:
+        # ``code`` is referenced twice below, so Catalyst keeps it as its own
+        # projection and the UDF receives a plain column (no lambda variables).
         out = out.withColumn("compiles", python_compiles(F.col("code"))) \
             .withColumn("reject_reason", F.when(F.col(response).isNull(), F.lit("no_response"))
+                        .when(F.col("code") == "", F.lit("empty_code"))
                         .when(~F.col("compiles"), F.lit("syntax_error")))
     return out
 
