@@ -140,6 +140,11 @@ def parse_decisions(df: DataFrame, text: str = "json") -> DataFrame:
 
 
 # R13 / F27 / P7 ------------------------------------------------------------------------------
+# Dimensions up to this many distinct values are inlined as an array literal
+# (their size is counted first); larger ones are joined on the picked index.
+MAX_INLINE_DIMENSION = 10_000
+
+
 def dimension(values: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
     """Distinct values of a dimension numbered 0..n-1 in sorted order."""
     from drover.operators.dataset import global_index
@@ -148,18 +153,31 @@ def dimension(values: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
     return d, d.count()
 
 
-def sample_prompts(requests: DataFrame, dims: dict, seed: int = 42, key: str = "request_id") -> DataFrame:
+def _pick_index(seed: int, key: str, name: str, n: int) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(name)))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(n)
+
+
+def sample_prompts(requests: DataFrame, dims: dict, seed: int = 42, key: str = "request_id",
+                   max_inline: int = MAX_INLINE_DIMENSION) -> DataFrame:
     """One generation request per row: an independent, uniform, seeded pick from
     every dimension (``dims``: name -> (table, column)), rendered into the
-    request sentence.  Picks are equi-joins on the picked index, so dimension
-    tables of any size work; small ones are broadcast by AQE."""
+    request sentence.  A dimension whose distinct count is within ``max_inline``
+    becomes an array literal (a projection, no join); a larger one is numbered
+    and joined on the picked index."""
     out = requests
     for name, (tbl, col) in dims.items():
-        d, n = dimension(tbl, col, name)
+        distinct = tbl.select(F.col(col).alias(name)).filter(F.col(name).isNotNull()).distinct()
+        n = distinct.count()
         if n == 0:
             raise ValueError(f"dimension {name} is empty")
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(name)))
-        pick = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(n))
-        out = out.withColumn(f"{name}_idx", pick).join(d, f"{name}_idx", "inner").drop(f"{name}_idx")
+        if n <= max_inline:
+            values = sorted(r[0] for r in distinct.collect())  # bounded by the count above
+            out = out.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]),
+                                                    (_pick_index(seed, key, name, n) + 1).cast("int")))
+        else:
+            d, n = dimension(tbl, col, name)
+            out = out.withColumn(f"{name}_idx", _pick_index(seed, key, name, n)) \
+                .join(d, f"{name}_idx", "inner").drop(f"{name}_idx")
     fields = {n: n for n in dims}
     return out.withColumn("prompt", C.render_template(PROMPT_SENTENCE, **fields))

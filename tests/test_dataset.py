@@ -78,3 +78,15 @@ def test_stage_filters(spark):
     assert (s.requested, s.succeeded, s.success_rate) == (5, 1, 0.2)
     empty = C.generation_summary(C.filter_complete_bundles(df.limit(0))).collect()[0]
     assert empty.success_rate == 0.0
+
+
+def test_sample_prompts_inline_equals_join(spark):
+    from drover.operators.extract import sample_prompts
+    reqs = spark.range(300).withColumnRenamed("id", "request_id")
+    dims = {"category": (spark.createDataFrame([(f"c{i}",) for i in range(37)], "v string"), "v"),
+            "complexity": (spark.createDataFrame([("lo",), ("hi",), ("lo",)], "v string"), "v"),
+            "scenario": (spark.createDataFrame([(f"s{i}",) for i in range(5)], "v string"), "v")}
+    a = sample_prompts(reqs, dims, 42).select("request_id", "category", "complexity", "scenario", "prompt")
+    b = sample_prompts(reqs, dims, 42, max_inline=0).select(a.columns)
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert a.select("complexity").distinct().count() == 2
