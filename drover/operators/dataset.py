@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drover.functions import text as T
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference behaviour).
 DATA_SOURCE = "endless"
@@ -110,7 +112,8 @@ def project_train_rows(df: DataFrame, task_root: str, system_prompt: str,
                 F.struct(F.lit("user").alias("role"), F.col(description).alias("content"))).alias("prompt"),
         F.lit(ENV_CLASS).alias("env_class"),
         F.struct(F.lit(REWARD_METHOD).alias("method"), path.alias("ground_truth")).alias("reward_spec"),
-        F.struct(path.alias("task_dir"), F.lit(max_time).cast("bigint").alias("max_time")).alias("extra_info"))
+        F.struct(path.alias("task_dir"), T.cast_max_time(F.lit(max_time)).cast("bigint").alias("max_time"))
+        .alias("extra_info"))
 
 
 # A11 -------------------------------------------------------------------------

@@ -275,3 +275,16 @@ def format_observations(steps: DataFrame, limit: int = T.MAX_OUTPUT_LENGTH, bina
     return steps.withColumn("observation",
                             T.format_observation(kind, exit_code, T.clean_output(output), limit=limit,
                                                  binary_exit=binary_exit))
+
+
+# P4 --------------------------------------------------------------------------
+def filter_solved_tasks(summaries: DataFrame, k: int = 16, strict: bool = False,
+                        n: str = "num_runs", c: str = "num_success") -> DataFrame:
+    """Tasks whose pass@k > 0.  Lenient (default): a summary without a pass@k
+    entry for ``k`` (fewer than k attempts) is dropped.  Strict: such a summary
+    fails the job, like a missing key does in the training-set preparation."""
+    s = summaries
+    if strict:
+        # the check is part of a predicate, so it cannot be pruned away
+        s = s.filter(F.assert_true(F.col(n) >= k, F.lit(f"run summary without pass@{k}")).isNull())
+    return pass_at_k(s, ks=[k], n=n, c=c).filter(F.col("pass_at_k") > 0)

@@ -100,7 +100,7 @@ def train_rows(spark, sf):
     b = view(spark, sf, "bundles")
     split = DS.train_val_split(b.select("task_id"), _EVAL, 42, failed=_failed_builds(spark, sf))
     tasks = C.filter_complete_templates(b).select("task_id", "description").join(split, "task_id")
-    return DS.project_train_rows(tasks, _ROOT, _SYSTEM, 600)
+    return DS.project_train_rows(tasks, _ROOT, _SYSTEM, "600")
 
 
 def flat_train_rows(df):
@@ -113,7 +113,7 @@ def flat_train_rows(df):
                      F.col("extra_info.max_time").alias("max_time"))
 
 
-@register("project_train_rows", with_views(_TRAIN_SQL, "bundles", "conversion_results"), ("P6",))
+@register("project_train_rows", with_views(_TRAIN_SQL, "bundles", "conversion_results"), ("P6", "F26"))
 def q_project_train_rows(spark, sf):
     return flat_train_rows(train_rows(spark, sf))
 
@@ -127,5 +127,5 @@ WHERE model = 'ref' AND num_runs >= 4 AND num_success > 0
 """, "summaries"), ("P4", "S3"))
 def q_filter_solved_tasks(spark, sf):
     s = view(spark, sf, "summaries").filter(F.col("model") == "ref")
-    p = TR.pass_at_k(s, ks=[4]).filter(F.col("pass_at_k") > 0)
+    p = TR.filter_solved_tasks(s, k=4)
     return p.select("task_id", "model", F.round("pass_at_k", R9).alias("pass_at_k"))

@@ -229,9 +229,9 @@ def write_task_manifest(tasks: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 # S11 / S12 --------------------------------------------------------------------------
-def append_benchmark_results(scores: DataFrame, path: str) -> None:
+def append_benchmark_results(scores: DataFrame, path: str, mode: str = "append") -> None:
     """Append ``task_name,reward,errors,exit_code`` rows (missing -> ``NA``)."""
-    scores.select(*BENCHMARK_HEADER).write.mode("append").option("header", True) \
+    scores.select(*BENCHMARK_HEADER).write.mode(mode).option("header", True) \
         .option("nullValue", BENCHMARK_NULL).csv(path)
 
 

@@ -28,7 +28,9 @@ def stream_results_sink(scores: DataFrame, path: str, checkpoint: str, event_tim
         .withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
 
     def write(batch: DataFrame, epoch_id: int):
-        S.append_benchmark_results(batch, f"{path}/epoch={epoch_id}")
+        # one folder per epoch, overwritten on replay: a re-run epoch after a
+        # failure replaces its own output instead of duplicating it
+        S.append_benchmark_results(batch, f"{path}/epoch={epoch_id}", mode="overwrite")
 
     return dedup.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

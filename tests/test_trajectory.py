@@ -124,3 +124,13 @@ def test_wallclock_cutoff(spark):
     df = spark.createDataFrame(rows, "run_id int, turn int, ts timestamp, action_type string")
     got = {r.run_id: (r.n_episodes, r.stop_reason) for r in TR.wallclock_cutoff(df, 64, 600).collect()}
     assert got == {1: (2, "time"), 2: (2, "done"), 3: (1, "running")}
+
+
+def test_filter_solved_lenient_and_strict(spark):
+    import pytest
+    df = spark.createDataFrame([("a", 16, 2), ("b", 16, 0), ("c", 4, 4)], "task_id string, num_runs int, num_success int")
+    assert sorted(r.task_id for r in TR.filter_solved_tasks(df, 16).collect()) == ["a"]
+    with pytest.raises(Exception):
+        TR.filter_solved_tasks(df, 16, strict=True).collect()
+    assert sorted(r.task_id for r in TR.filter_solved_tasks(df.filter("task_id != 'c'"), 16, strict=True)
+                  .collect()) == ["a"]
