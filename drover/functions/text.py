@@ -338,34 +338,46 @@ def parse_from_line(line) -> Column:
 
 
 # F18 ------------------------------------------------------------------------
-def _header_flags(lines: Column, extra=None) -> Column:
-    return F.transform(lines, lambda l: l.contains("%") & (extra(l) if extra else F.lit(True)))
+def _home_mode(defn: Column, body) -> Column:
+    """Bind the lines, the ``%post`` header position and the next header
+    position once, then build the status or the patched text from them."""
+    lines0 = F.split(defn, "\n", -1)
 
+    def with_lines(lines):
+        post0 = F.array_position(F.transform(lines, lambda l: l.contains("%") & F.lower(l).contains("post")), True)
+        return let(post0, lambda post: let(
+            F.array_position(F.transform(lines, lambda l, i: (i + 1 > post) & l.contains("%")), True),
+            lambda nxt: body(lines, post, nxt)))
 
-def home_mode_status(defn) -> Column:
-    defn = _c(defn)
-    lines = F.split(defn, "\n", -1)
-    post = F.array_position(_header_flags(lines, lambda l: F.lower(l).contains("post")), True)
-    nxt = F.array_position(F.transform(lines, lambda l, i: (i + 1 > post) & l.contains("%")), True)
+    return let(lines0, with_lines)
+
+
+def _status(defn: Column, post: Column, nxt: Column) -> Column:
     return (F.when(defn.isNull(), F.lit(None))
             .when(defn.contains(HOME_MODE_LINE.strip()), F.lit("unchanged"))
             .when((post == 0) | (nxt == 0), F.lit("unpatchable"))
             .otherwise(F.lit("changed")))
 
 
+def home_mode_status(defn) -> Column:
+    defn = _c(defn)
+    return F.when(defn.isNotNull(), _home_mode(defn, lambda lines, post, nxt: _status(defn, post, nxt)))
+
+
 def patch_home_mode(defn) -> Column:
     """Insert the home-directory chmod at the end of the ``%post`` section
     (before the next header line).  Texts that already have it are kept; texts
     without a ``%post`` section followed by another header give null."""
     defn = _c(defn)
-    lines = F.split(defn, "\n", -1)
-    post = F.array_position(_header_flags(lines, lambda l: F.lower(l).contains("post")), True)
-    nxt = F.array_position(F.transform(lines, lambda l, i: (i + 1 > post) & l.contains("%")), True)
-    patched = F.array_join(F.concat(F.slice(lines, 1, F.greatest(nxt - 1, F.lit(0))),
-                                    F.array(F.lit(HOME_MODE_LINE)),
-                                    F.slice(lines, F.greatest(nxt, F.lit(1)), F.size(lines))), "\n")
-    status = home_mode_status(defn)
-    return F.when(status == "unchanged", defn).when(status == "changed", patched)
+
+    def body(lines, post, nxt):
+        patched = F.array_join(F.concat(F.slice(lines, 1, F.greatest(nxt - 1, F.lit(0))),
+                                        F.array(F.lit(HOME_MODE_LINE)),
+                                        F.slice(lines, F.greatest(nxt, F.lit(1)), F.size(lines))), "\n")
+        status = _status(defn, post, nxt)
+        return F.when(status == "unchanged", defn).when(status == "changed", patched)
+
+    return F.when(defn.isNotNull(), _home_mode(defn, body))
 
 
 # F19 / F20 ----------------------------------------------------------------------

@@ -168,13 +168,14 @@ def sample_prompts(requests: DataFrame, dims: dict, seed: int = 42, key: str = "
     out = requests
     for name, (tbl, col) in dims.items():
         distinct = tbl.select(F.col(col).alias(name)).filter(F.col(name).isNotNull()).distinct()
-        n = distinct.count()
-        if n == 0:
+        # one bounded action: at most max_inline + 1 values reach the driver
+        head = [r[0] for r in distinct.limit(max_inline + 1).collect()]
+        if not head:
             raise ValueError(f"dimension {name} is empty")
-        if n <= max_inline:
-            values = sorted(r[0] for r in distinct.collect())  # bounded by the count above
+        if len(head) <= max_inline:
+            values = sorted(head)
             out = out.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]),
-                                                    (_pick_index(seed, key, name, n) + 1).cast("int")))
+                                                    (_pick_index(seed, key, name, len(values)) + 1).cast("int")))
         else:
             d, n = dimension(tbl, col, name)
             out = out.withColumn(f"{name}_idx", _pick_index(seed, key, name, n)) \

@@ -71,15 +71,16 @@ def pending_commands(chunks: DataFrame, session: str = "session_id", seq: str =
     """Per session: finished commands and the size of the unfinished tail
     (text after the last complete marker line)."""
     framed = frame_lines(chunk_lines(chunks, session, seq, chunk), session)
-    last = framed.groupBy(session).agg(
+    # the last record of a session is the unfinished tail; a window over the
+    # session (same partitioning as the framing) finds it without a join
+    last_rec = F.max("record_no").over(Window.partitionBy(session))
+    in_tail = (F.col("record_no") == F.col("_last_rec")) & ~F.col("is_marker")
+    per = framed.withColumn("_last_rec", last_rec).groupBy(session).agg(
         F.count_if("is_marker").alias("n_finished"),
-        F.max("record_no").alias("_last_rec"))
-    tail = framed.join(last.select(session, "_last_rec"), session) \
-        .filter((F.col("record_no") == F.col("_last_rec")) & ~F.col("is_marker")) \
-        .groupBy(session).agg(F.sum(F.length("line")).alias("_chars"), F.count(F.lit(1)).alias("_lines"))
-    out = last.join(tail, session, "left")
-    tail_chars = F.coalesce(F.col("_chars") + F.col("_lines") - 1, F.lit(0))
-    return out.select(session, "n_finished", tail_chars.cast("bigint").alias("tail_chars"),
+        F.sum(F.when(in_tail, F.length("line"))).alias("_chars"),
+        F.count_if(in_tail).alias("_lines"))
+    tail_chars = F.when(F.col("_lines") > 0, F.col("_chars") + F.col("_lines") - 1).otherwise(F.lit(0))
+    return per.select(session, "n_finished", tail_chars.cast("bigint").alias("tail_chars"),
                       (tail_chars > 0).alias("has_pending"))
 
 
