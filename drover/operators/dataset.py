@@ -77,19 +77,30 @@ def seeded_shuffle(df: DataFrame, key: str = "task_id", seed: int = DEFAULT_SEED
 
 
 # W3 / J5 ---------------------------------------------------------------------------
+# Up to this many validation rows are taken with a distributed TakeOrdered and
+# broadcast; larger validation sets use the range-partitioned global order.
+MAX_TAKE_ORDERED = 100_000
+
+
 def train_val_split(tasks: DataFrame, eval_count: int = DEFAULT_EVAL_COUNT,
                     seed: int = DEFAULT_SEED, key: str = "task_id",
-                    failed: DataFrame | None = None) -> DataFrame:
+                    failed: DataFrame | None = None, max_take: int = MAX_TAKE_ORDERED) -> DataFrame:
     """The last ``eval_count`` positions of the seeded order are validation,
     the rest train.  Positions are fixed *before* failed builds are removed, so
     validation can come out smaller than ``eval_count``."""
     keyed = tasks.withColumn("_sk", shuffle_key(key, seed))
-    # distributed TakeOrdered: eval_count rows, a bound set by the caller
-    val = keyed.orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(int(eval_count)) \
-        .select(key, F.lit(True).alias("_val"))
-    out = keyed.join(F.broadcast(val), key, "left") \
-        .withColumn("split", F.when(F.col("_val"), F.lit("validation")).otherwise(F.lit("train"))) \
-        .drop("_sk", "_val")
+    if eval_count <= max_take:
+        # distributed TakeOrdered of eval_count rows (a bound checked above)
+        val = keyed.orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(int(eval_count)) \
+            .select(key, F.lit(True).alias("_val"))
+        out = keyed.join(F.broadcast(val), key, "left") \
+            .withColumn("split", F.when(F.col("_val"), F.lit("validation")).otherwise(F.lit("train"))) \
+            .drop("_sk", "_val")
+    else:
+        total = tasks.count()
+        ranked = global_index(keyed, ["_sk", key], "_pos")
+        out = ranked.withColumn("split", F.when(F.col("_pos") > total - eval_count, F.lit("validation"))
+                                .otherwise(F.lit("train"))).drop("_sk", "_pos")
     if failed is not None:
         out = anti_join_failed_builds(out, failed, key)
     return out

@@ -90,3 +90,11 @@ def test_sample_prompts_inline_equals_join(spark):
     b = sample_prompts(reqs, dims, 42, max_inline=0).select(a.columns)
     assert sorted(a.collect()) == sorted(b.collect())
     assert a.select("complexity").distinct().count() == 2
+
+
+def test_split_strategies_agree(spark):
+    tasks = spark.createDataFrame([(f"task_{i:05d}",) for i in range(2000)], "task_id string")
+    failed = spark.createDataFrame([("task_00007",), ("task_01234",)], "task_id string")
+    a = {r.task_id: r.split for r in DS.train_val_split(tasks, 300, failed=failed).collect()}
+    b = {r.task_id: r.split for r in DS.train_val_split(tasks, 300, failed=failed, max_take=10).collect()}
+    assert a == b and len(a) == 1998
