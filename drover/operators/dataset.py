@@ -1,9 +1,10 @@
 """Ordering, slicing and the deterministic train/validation split.
 
 Global positions are computed without a single-partition window: rows are
-range-partitioned on the sort key, numbered inside each partition, and each
-partition's offset comes from a table with one row per partition (a proven
-size bound, broadcast).  Top-N selections use ``orderBy().limit()`` which Spark
+bucketed by value range (boundaries sampled once and embedded as literals, so
+every branch and every re-execution agrees), numbered inside each bucket, and
+each bucket's offset comes from a table with one row per bucket (a proven size
+bound, broadcast).  Top-N selections use ``orderBy().limit()`` which Spark
 plans as a distributed TakeOrdered.
 """
 
@@ -24,23 +25,81 @@ DEFAULT_EVAL_COUNT = 100
 # ---------------------------------------------------------------------------
 
 
+SAMPLES_PER_BUCKET = 16
+
+
+def _tuple_ge(cols: list, values: tuple) -> Column:
+    """Lexicographic ``(cols) >= values`` (no struct comparison needed)."""
+    out = F.lit(True)
+    for c, v in reversed(list(zip(cols, values))):
+        out = (c > F.lit(v)) | ((c == F.lit(v)) & out)
+    return out
+
+
+def _bucket_expr(cols: list, bounds: list) -> Column:
+    """Number of boundaries at or below the row's key tuple, by binary search
+    over boundaries sorted once on the driver (depth log2 of their count)."""
+    def search(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2  # is tuple >= bounds[mid - 1] ?
+        return F.when(_tuple_ge(cols, bounds[mid - 1]), search(mid, hi)).otherwise(search(lo, mid - 1))
+    return search(0, len(bounds))
+
+
+def value_buckets(df: DataFrame, order_cols: list, num_buckets: int | None = None,
+                  seed: int = 17) -> Column:
+    """A deterministic range bucket for every row: boundaries are taken once
+    from a bounded random sample of the key tuples (collected to the driver,
+    ``num_buckets * 16`` rows at most) and embedded as literals.  Because the
+    bucket is a function of the row's own values, every branch of a plan (and
+    every re-execution after a lost executor) assigns the same bucket, which
+    ``repartitionByRange`` does not guarantee when the input order varies."""
+    spark = df.sparkSession
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    sample = [tuple(r) for r in df.select(*cols).orderBy(F.rand(seed)).limit(n * SAMPLES_PER_BUCKET).collect()]
+    sample = sorted(t for t in sample if None not in t)
+    step = max(1, len(sample) // n)
+    bounds = sorted(set(sample[step::step]))[: n - 1]
+    return _bucket_expr(cols, bounds)
+
+
 def global_index(df: DataFrame, order_cols: list, name: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """1-based position of every row in the order of ``order_cols`` (which must
-    be unique, so that re-execution gives the same numbers)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ordered = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    # one row per partition: the running total over partitions is tiny
+    be unique and non-null).  Rows are bucketed by value range, numbered inside
+    their bucket, and shifted by the sizes of the earlier buckets (a table with
+    one row per bucket, broadcast)."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    b = df.withColumn("_pid", value_buckets(df, order_cols, num_partitions))
+    numbered = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    counts = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket: the running total over buckets is tiny
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (tagged.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
-            .withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
-            .drop("_pid", "_mid", "_off", "_first"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", "_off")
+    return (numbered.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + F.col("_rn")).cast("bigint"))
+            .drop("_pid", "_rn", "_off"))
+
+
+def keyed_prefix_sum(df: DataFrame, key: str, order_cols: list, value, out: str,
+                     inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` per ``key`` in ``order_cols`` order that stays
+    balanced when one key holds a large share of the rows: rows are bucketed by
+    (key, order) value ranges so a hot key spans several buckets, summed
+    locally per (bucket, key), and shifted by the totals of the key's earlier
+    buckets (a table of about one row per key and bucket)."""
+    v = F.col(value) if isinstance(value, str) else value
+    b = df.withColumn("_v", v).withColumn("_pid", value_buckets(df, [key] + list(order_cols), num_partitions))
+    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = b.withColumn("_loc", F.coalesce(
+        F.sum("_v").over(Window.partitionBy("_pid", key).orderBy(*order_cols).rowsBetween(*frame)), F.lit(0)))
+    totals = b.groupBy("_pid", key).agg(F.sum("_v").alias("_tot"))
+    bases = totals.withColumn("_base", F.coalesce(F.sum("_tot").over(
+        Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return local.join(bases.select("_pid", key, "_base"), ["_pid", key]) \
+        .withColumn(out, F.col("_base") + F.col("_loc")).drop("_pid", "_v", "_loc", "_base")
 
 
 # O1 --------------------------------------------------------------------------

@@ -18,19 +18,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drover.functions import text as T
+from drover.operators.dataset import keyed_prefix_sum
 
 MARKER_LINE_RE = T.MARKER_RE  # "__CMD_DONE__<hex>__:"
 
 
 def chunk_lines(chunks: DataFrame, session: str = "session_id", seq: str = "seq",
-                chunk: str = "chunk") -> DataFrame:
+                chunk: str = "chunk", skew_safe: bool = False) -> DataFrame:
     """``(session, line_no, line, terminated)`` for the session's stream.
 
     ``terminated`` is false only for a session's last line when no newline
-    has arrived after it yet."""
+    has arrived after it yet.  ``skew_safe`` computes the running newline
+    count with ``keyed_prefix_sum`` so one huge session is spread over many
+    tasks (two shuffles instead of one)."""
     c = chunks.withColumn("_pieces", F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1))
-    before = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_nb", F.coalesce(F.sum(F.size("_pieces") - 1).over(before), F.lit(0)))
+    if skew_safe:
+        c = keyed_prefix_sum(c, session, [seq], F.size("_pieces") - 1, "_nb")
+    else:
+        before = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        c = c.withColumn("_nb", F.coalesce(F.sum(F.size("_pieces") - 1).over(before), F.lit(0)))
     p = c.select(session, seq, "_nb", F.size("_pieces").alias("_np"),
                  F.posexplode("_pieces").alias("_j", "_piece"))
     p = p.withColumn("line_no", (F.col("_nb") + F.col("_j")).cast("bigint")) \
@@ -42,19 +48,22 @@ def chunk_lines(chunks: DataFrame, session: str = "session_id", seq: str = "seq"
                         "terminated")
 
 
-def frame_lines(lines: DataFrame, session: str = "session_id") -> DataFrame:
+def frame_lines(lines: DataFrame, session: str = "session_id", skew_safe: bool = False) -> DataFrame:
     """Attach ``record_no`` (complete marker lines before the line) and the
     marker flag to every line."""
     is_marker = F.col("line").rlike(MARKER_LINE_RE) & F.col("terminated")
+    marked = lines.withColumn("is_marker", is_marker)
+    if skew_safe:
+        return keyed_prefix_sum(marked, session, ["line_no"], F.col("is_marker").cast("bigint"), "record_no") \
+            .withColumn("record_no", F.col("record_no").cast("bigint"))
     w = Window.partitionBy(session).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("is_marker", is_marker) \
-        .withColumn("record_no", F.coalesce(F.count_if(F.col("is_marker")).over(w), F.lit(0)).cast("bigint"))
+    return marked.withColumn("record_no", F.coalesce(F.count_if(F.col("is_marker")).over(w), F.lit(0)).cast("bigint"))
 
 
 def frame_commands(chunks: DataFrame, session: str = "session_id", seq: str = "seq",
-                   chunk: str = "chunk") -> DataFrame:
+                   chunk: str = "chunk", skew_safe: bool = False) -> DataFrame:
     """One row per finished command: ``(session, record_no, output, exit_code)``."""
-    framed = frame_lines(chunk_lines(chunks, session, seq, chunk), session)
+    framed = frame_lines(chunk_lines(chunks, session, seq, chunk, skew_safe), session, skew_safe)
     body = F.when(F.col("is_marker"),
                   F.regexp_extract("line", "(?s)^(.*?)" + MARKER_LINE_RE, 1)).otherwise(F.col("line"))
     recs = framed.groupBy(session, "record_no").agg(

@@ -35,7 +35,7 @@ def test_per_run_windows_share_one_shuffle(spark):
 
 def test_global_order_offsets_are_broadcast_per_partition(spark):
     txt = plan(q(spark, "assign_batches"))
-    assert "rangepartitioning" in txt and "BroadcastExchange" in txt
+    assert "hashpartitioning(_pid" in txt and "BroadcastExchange" in txt
     # the only single-partition exchange feeds the per-partition count table
     single = re.findall(r"Exchange SinglePartition", txt)
     assert len(single) <= 1

@@ -148,3 +148,26 @@ def test_stream_summaries_equal_batch(spark, tmpdir_path):
     expect = TR.pass_at_k(TR.rollup_runs(runs))
     cols = ["task_id", "num_runs", "num_success", "k", "pass_at_k"]
     assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in expect.select(cols).collect())
+
+
+def test_skew_safe_framing_equals_plain(spark):
+    chunks = view(spark, SF_MID, "chunks")
+    # one hot session holding a third of all chunks, plus the fixture sessions
+    hot = chunks.filter("session_id = 1").select(F.lit(10**6).cast("bigint").alias("session_id"), "seq", "chunk")
+    big = hot.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).select(
+        "session_id", (F.col("rep") * 100 + F.col("seq")).alias("seq"), "chunk")
+    data = chunks.select("session_id", "seq", "chunk").unionByName(big)
+    plain = sorted(tuple(r) for r in FR.frame_commands(data).collect())
+    safe = sorted(tuple(r) for r in FR.frame_commands(data, skew_safe=True).collect())
+    assert plain == safe and len(plain) > 143
+
+
+def test_keyed_prefix_sum_balanced_and_exact(spark):
+    from drover.operators.dataset import keyed_prefix_sum
+    df = spark.range(0, 30000).select((F.when(F.col("id") < 20000, 0).otherwise(F.col("id") % 7)).alias("k"),
+                                      F.col("id").alias("o"), (F.col("id") % 5).alias("v"))
+    got = keyed_prefix_sum(df, "k", ["o"], "v", "s", num_partitions=6)
+    from pyspark.sql import Window
+    w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    ref = df.withColumn("s", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    assert sorted(got.select("k", "o", "s").collect()) == sorted(ref.select("k", "o", "s").collect())
