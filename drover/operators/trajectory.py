@@ -72,22 +72,35 @@ def action_mix(actions: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 # W4 --------------------------------------------------------------------------
+def _running(df: DataFrame, run: str, seq: str, value: Column, out: str, inclusive: bool,
+             skew_safe: bool) -> DataFrame:
+    """Running sum per run; ``skew_safe`` spreads one huge run over many tasks."""
+    if skew_safe:
+        from drover.operators.dataset import keyed_prefix_sum
+        return keyed_prefix_sum(df, run, [seq], value, out, inclusive=inclusive)
+    end = Window.currentRow if inclusive else -1
+    w = Window.partitionBy(run).orderBy(seq).rowsBetween(Window.unboundedPreceding, end)
+    return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
 def number_turns(turns: DataFrame, run: str = "run_id", seq: str = "turn",
-                 role: str = "role") -> DataFrame:
+                 role: str = "role", skew_safe: bool = False) -> DataFrame:
     """Every message gets ``turn_no``: the number of assistant replies at or
     before it (one turn = one assistant reply); system/user rows before the
     first reply have 0."""
-    w = Window.partitionBy(run).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return turns.withColumn("turn_no", F.count_if(F.col(role) == "assistant").over(w).cast("int"))
+    flag = (F.col(role) == "assistant").cast("int")
+    return _running(turns, run, seq, flag, "turn_no", True, skew_safe) \
+        .withColumn("turn_no", F.col("turn_no").cast("int"))
 
 
 # W5 --------------------------------------------------------------------------
-def number_commands(actions: DataFrame, run: str = "run_id", seq: str = "turn") -> DataFrame:
+def number_commands(actions: DataFrame, run: str = "run_id", seq: str = "turn",
+                    skew_safe: bool = False) -> DataFrame:
     """Running number over non-empty commands only (done, invalid and empty
     commands are skipped and get null)."""
     is_cmd = (F.col("action_type") == "command") & (F.coalesce(F.col("command"), F.lit("")) != "")
-    w = Window.partitionBy(run).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return actions.withColumn("command_no", F.when(is_cmd, F.count_if(is_cmd).over(w).cast("int")))
+    return _running(actions, run, seq, is_cmd.cast("int"), "command_no", True, skew_safe) \
+        .withColumn("command_no", F.when(is_cmd, F.col("command_no").cast("int")))
 
 
 # W6 --------------------------------------------------------------------------
@@ -116,7 +129,7 @@ def active_per_turn(turns: DataFrame, max_actions: int = 16, run: str = "run_id"
     being active on the turn of its done reply or at the action limit)."""
     kept = truncate_at_done(turns, max_actions, run, seq, role, content)
     ends = kept.filter(F.col(role) == "assistant").groupBy(run).agg(
-        F.max("turn_no").alias("last_turn"), F.first("ended_by").alias("ended_by"))
+        F.max("turn_no").alias("last_turn"), F.max("ended_by").alias("ended_by"))
     # an attempt is active after turn t when t < last_turn (cut by done or limit)
     per_turn = ends.withColumn("turn_no", F.explode(F.sequence(F.lit(1), F.col("last_turn"))))
     return per_turn.groupBy("turn_no").agg(
@@ -190,12 +203,11 @@ def compact_history(turns: DataFrame, min_chars: int, run: str = "run_id", seq:
 
 # A9 / A10 ------------------------------------------------------------------------
 def token_totals(turns: DataFrame, run: str = "run_id", seq: str = "turn", role: str = "role",
-                 content: str = "content", counter=T.whitespace_tokens) -> DataFrame:
+                 content: str = "content", counter=T.whitespace_tokens, skew_safe: bool = False) -> DataFrame:
     """Input tokens are counted over the whole chat before each reply, output
     tokens over each reply; summed per run."""
-    w = Window.partitionBy(run).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     toks = turns.withColumn("_t", counter(content).cast("bigint"))
-    toks = toks.withColumn("_before", F.coalesce(F.sum("_t").over(w), F.lit(0)))
+    toks = _running(toks, run, seq, F.col("_t"), "_before", False, skew_safe)
     asst = F.col(role) == "assistant"
     return toks.groupBy(run).agg(
         F.sum(F.when(asst, F.col("_before")).otherwise(0)).cast("bigint").alias("n_input_tokens"),

@@ -50,6 +50,6 @@ def attempt_report(turns: DataFrame, max_actions: int = 16, run: str = "run_id")
     kept = TR.truncate_at_done(turns, max_actions)
     acts = TR.parse_actions(kept)
     return acts.groupBy(run).agg(
-        F.max("turn_no").alias("n_turns"), F.first("ended_by").alias("ended_by"),
+        F.max("turn_no").alias("n_turns"), F.max("ended_by").alias("ended_by"),
         F.count_if(F.col("action_type") == "command").alias("n_commands"),
         F.count_if(F.col("action_type") == "invalid").alias("n_invalid"))

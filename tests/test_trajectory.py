@@ -134,3 +134,25 @@ def test_filter_solved_lenient_and_strict(spark):
         TR.filter_solved_tasks(df, 16, strict=True).collect()
     assert sorted(r.task_id for r in TR.filter_solved_tasks(df.filter("task_id != 'c'"), 16, strict=True)
                   .collect()) == ["a"]
+
+
+def test_skew_safe_running_counts_equal_plain(spark):
+    from drover.plans.fixtures import view
+    from conftest import SF_MID
+    r = view(spark, SF_MID, "responses")
+    # a hot run: one run replicated to hold most rows
+    hot = r.filter("run_id = 3").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(300)))) \
+        .select(F.lit(-1).cast("bigint").alias("run_id"), (F.col("rep") * 100 + F.col("turn")).alias("turn"),
+                "role", "content")
+    data = r.unionByName(hot)
+    for fn, cols in ((TR.number_turns, ["run_id", "turn", "turn_no"]),):
+        a = sorted(tuple(x) for x in fn(data).select(cols).collect())
+        b = sorted(tuple(x) for x in fn(data, skew_safe=True).select(cols).collect())
+        assert a == b
+    acts = TR.parse_actions(data)
+    a = sorted(tuple(x) for x in TR.number_commands(acts).select("run_id", "turn", "command_no").collect())
+    b = sorted(tuple(x) for x in TR.number_commands(acts, skew_safe=True).select("run_id", "turn", "command_no").collect())
+    assert a == b
+    a = sorted(tuple(x) for x in TR.token_totals(data).collect())
+    b = sorted(tuple(x) for x in TR.token_totals(data, skew_safe=True).collect())
+    assert a == b
