@@ -2,7 +2,12 @@
 trajectory formats (see FIXTURES.md).  The same SQL text is registered in Spark
 and prepended (as CTEs) to every DuckDB oracle query, so both engines see the
 same rows.  The modulo expressions only vary the injected shapes; no view drops
-source rows to make a check cheaper."""
+source rows to make a check cheaper.
+
+Difference from FIXTURES.md: where that text embedded a prefix of a document,
+conversation or page (``substr(text, 1, n)``), the views here embed the whole
+text, so every query processes whole texts.  Tags, markers and noise lines are
+injected exactly as described there."""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ VIEWS: dict[str, str] = {}
 VIEWS["bundles"] = """\
 SELECT concat('task_', lpad(cast(doc_id AS varchar(20)), 6, '0')) AS task_id, doc_id, lang, source,
        CASE WHEN doc_id % 10 = 7 THEN NULL ELSE substr(text, 1, cast(floor(n_chars / 2.0) AS int)) END AS description,
-       CASE WHEN doc_id % 11 = 3 THEN '  ' ELSE substr(text, cast(floor(n_chars / 2.0) AS int) + 1, 400) END AS truth,
+       CASE WHEN doc_id % 11 = 3 THEN '  ' ELSE substr(text, cast(floor(n_chars / 2.0) AS int) + 1) END AS truth,
        CASE WHEN doc_id % 4 = 1 THEN 'def test_a(:' ELSE concat('def test_a():', chr(10), '    assert ', cast(doc_id AS varchar(20)), ' >= 0') END AS initial_test,
        CASE WHEN doc_id % 13 = 5 THEN NULL ELSE concat('def test_b():', chr(10), '    assert True') END AS final_test,
        concat('Bootstrap: localimage', chr(10), 'From: ./base.sif', chr(10), '%post', chr(10), '    echo ', lang, chr(10), '%environment', chr(10), '    export A=1') AS container_def
@@ -23,9 +28,9 @@ FROM documents
 VIEWS["template_replies"] = """\
 SELECT doc_id AS request_id,
        CASE WHEN doc_id % 9 = 4 THEN NULL
-            WHEN doc_id % 9 = 5 THEN substr(text, 1, 50)
+            WHEN doc_id % 9 = 5 THEN text
             WHEN doc_id % 9 = 6 THEN concat('<task> </task><truth>x</truth>')
-            ELSE concat('note <task>', chr(10), ' ', substr(text, 1, 120), chr(10), '</task> mid <truth> t', cast(doc_id AS varchar(20)), ' </truth> <task>second</task>') END AS response
+            ELSE concat('note <task>', chr(10), ' ', text, chr(10), '</task> mid <truth> t', cast(doc_id AS varchar(20)), ' </truth> <task>second</task>') END AS response
 FROM documents
 """
 
@@ -78,9 +83,9 @@ FROM events
 VIEWS["chunks"] = """\
 SELECT conv_id AS session_id, turn AS seq,
        CASE turn % 3
-         WHEN 1 THEN concat(substr(text, 1, 80), chr(10), '__CMD_DONE__ab12__:')
-         WHEN 2 THEN concat(cast(conv_id % 2 AS varchar(5)), chr(10), substr(text, 1, 40))
-         ELSE substr(text, 1, 60) END AS chunk
+         WHEN 1 THEN concat(text, chr(10), '__CMD_DONE__ab12__:')
+         WHEN 2 THEN concat(cast(conv_id % 2 AS varchar(5)), chr(10), text)
+         ELSE text END AS chunk
 FROM conversations
 """
 
@@ -95,7 +100,7 @@ FROM orders
 """
 
 VIEWS["terminal_output"] = """\
-SELECT page_id, concat(chr(27), '[31m', substr(html, 1, 300), chr(27), '[0m', chr(13), chr(10),
+SELECT page_id, concat(chr(27), '[31m', html, chr(27), '[0m', chr(13), chr(10),
        'bash: no job control in this shell', chr(10), chr(10), chr(10), chr(10), 'WARNING: TERM environment variable not set x', chr(10), 'end  ') AS output
 FROM pages
 """
