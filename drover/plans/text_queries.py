@@ -159,13 +159,14 @@ dims AS (SELECT (SELECT list_sort(list(DISTINCT p_type)) FROM part) AS category,
                 (SELECT list_sort(list(DISTINCT n_name)) FROM nation) AS scenario),
 picks AS (SELECT d.doc_id AS request_id,
                  {cat} AS category, {cx} AS complexity, {sc} AS scenario
-          FROM documents d, dims)
+          FROM documents d)
 """
 
 
 def _pick_sql(dim: str) -> str:
     key = f"'42:' || CAST(d.doc_id AS VARCHAR) || ':{dim}'"
-    return f"dims.{dim}[(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % len(dims.{dim})) + 1]"
+    arr = f"(SELECT {dim} FROM dims)"
+    return f"{arr}[(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % len({arr})) + 1]"
 
 
 _PROMPT_HEAD, _rest = X.PROMPT_SENTENCE.split("{category}")
