@@ -6,7 +6,7 @@ partial aggregation), so their cost is one scan regardless of skew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drover.functions import text as T
@@ -129,6 +129,9 @@ def tail_lines(c, n: int = 10):
     return F.array_join(F.slice(lines, F.greatest(F.size(lines) - (n - 1), F.lit(1)), n), "\n")
 
 
-def tail_failed_logs(logs: DataFrame, key: str = "task_name", log: str = "log", n: int = 10) -> DataFrame:
-    """Last ``n`` lines of every log without a reward."""
-    return logs.filter(T.log_reward_text(log).isNull()).select(key, tail_lines(log, n).alias("tail"))
+def tail_failed_logs(logs: DataFrame, key: str = "task_name", log: str = "log", n: int = 10,
+                     failed=None) -> DataFrame:
+    """Last ``n`` lines of every failed log (default: no reward could be read;
+    callers with exit codes pass ``reward missing or exit code != 0``)."""
+    cond = T.log_reward_text(log).isNull() if failed is None else failed
+    return logs.filter(cond).select(key, tail_lines(log, n).alias("tail"))

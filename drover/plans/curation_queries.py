@@ -12,7 +12,6 @@ from drover.plans.fixtures import table, view, with_views
 from drover.plans.registry import register
 
 R9 = 9
-WS = D.WS_LIT
 
 
 def _blank(x):

@@ -155,6 +155,5 @@ FROM (SELECT task_name, log, string_split(log, chr(10)) AS l FROM harbor_logs) x
 WHERE nullif({D.regexp_extract('log', T.ERRORS_RE)}, '') IS NULL
 """, "harbor_logs"), ("O3",))
 def q_tail_failed_logs(spark, sf):
-    logs = view(spark, sf, "harbor_logs")
-    failing = logs.filter(T.log_errors("log").isNull())
-    return failing.select("task_name", FU.tail_lines("log", 10).alias("tail"))
+    # a log without an Errors cell did not finish its result table
+    return FU.tail_failed_logs(view(spark, sf, "harbor_logs"), failed=T.log_errors("log").isNull())

@@ -17,7 +17,6 @@ from drover.plans.registry import register
 from drover.session import shared_path
 from drover.sources import files as S
 
-_REJECT = None
 
 
 def _complete(spark, sf):
