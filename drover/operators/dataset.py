@@ -26,6 +26,9 @@ DEFAULT_EVAL_COUNT = 100
 
 
 SAMPLES_PER_BUCKET = 16
+# Upper bound on value-range buckets: keeps the driver-side sample at 16k key
+# tuples and the bucket expression at a depth-10 binary search.
+MAX_BUCKETS = 1024
 
 
 def _tuple_ge(cols: list, values: tuple) -> Column:
@@ -56,7 +59,7 @@ def value_buckets(df: DataFrame, order_cols: list, num_buckets: int | None = Non
     every re-execution after a lost executor) assigns the same bucket, which
     ``repartitionByRange`` does not guarantee when the input order varies."""
     spark = df.sparkSession
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MAX_BUCKETS, num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     sample = [tuple(r) for r in df.select(*cols).orderBy(F.rand(seed)).limit(n * SAMPLES_PER_BUCKET).collect()]
     sample = sorted(t for t in sample if None not in t)

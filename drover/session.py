@@ -21,13 +21,39 @@ DEFAULT_CONF = {
 }
 
 
+MB = 1 << 20
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * MB,
+               min_partitions: int = 200, max_partitions: int = 200_000) -> dict:
+    """Partition sizing for a job reading ``input_bytes``: shuffle partitions
+    so each holds about ``target_partition_bytes`` (AQE coalesces small ones
+    and splits skewed ones at runtime), file splits of the same size, and skew
+    thresholds a few times the target.  At 100 TB this gives ~400k partitions
+    capped to ``max_partitions`` (~512 MB each), which fit executor memory
+    with sort-based spill."""
+    parts = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(16 * MB),
+    }
+
+
 def get_session(master: str | None = None, app: str = "drover",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, input_bytes: int | None = None) -> SparkSession:
+    """Session with the defaults above; ``input_bytes`` sizes partitions for
+    the data volume (see ``scale_conf``)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if input_bytes:
+        conf.update(scale_conf(input_bytes))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
