@@ -87,8 +87,9 @@ def q_split_sizes(spark, sf):
 
 _TRAIN_SQL = f"""
 SELECT s.task_id AS task_dir, s.split, {D.py_strip('b.description')} AS description,
-       'endless' AS data_source, {D.lit(_SYSTEM)} AS system_content,
-       {D.py_strip('b.description')} AS user_content, 'endless' AS env_class, 'rule' AS reward_method,
+       {D.lit(DS.DATA_SOURCE)} AS data_source, {D.lit(_SYSTEM)} AS system_content,
+       {D.py_strip('b.description')} AS user_content, {D.lit(DS.ENV_CLASS)} AS env_class,
+       {D.lit(DS.REWARD_METHOD)} AS reward_method,
        '{_ROOT}/' || s.task_id AS ground_truth, '{_ROOT}/' || s.task_id AS extra_task_dir,
        CAST(600 AS BIGINT) AS max_time
 FROM ({_SPLIT_SQL}) s JOIN bundles b ON s.task_id = b.task_id

@@ -116,7 +116,7 @@ SELECT p_partkey AS task_key, concat('FROM ubuntu:', cast(p_size % 3 + 20 AS var
 FROM part
 """
 
-VIEWS["harbor_logs"] = """\
+VIEWS["benchmark_logs"] = """\
 SELECT s_name AS task_name,
        concat('start', chr(10), CASE WHEN s_suppkey % 7 = 0 THEN 'no result' ELSE concat('│ Mean │ 0.', cast(s_suppkey % 10 AS varchar(5)), ' │') END, chr(10),
               CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('│ Errors │ ', cast(s_suppkey % 4 AS varchar(5)), ' │') END, chr(10), 'Mean 9.9') AS log

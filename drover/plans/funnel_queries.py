@@ -126,16 +126,16 @@ SELECT s.s_name AS task_name, r.reward_text, r.errors, TRY_CAST(r.reward_text AS
 FROM supplier s LEFT JOIN (
   SELECT task_name, nullif({D.regexp_extract('log', T.REWARD_RE)}, '') AS reward_text,
          TRY_CAST(nullif({D.regexp_extract('log', T.ERRORS_RE)}, '') AS INTEGER) AS errors
-  FROM harbor_logs) r ON s.s_name = r.task_name
+  FROM benchmark_logs) r ON s.s_name = r.task_name
 """
 
 
 def _scores(spark, sf):
     tasks = table(spark, sf, "supplier").select(F.col("s_name").alias("task_name"))
-    return FU.benchmark_scores(view(spark, sf, "harbor_logs"), tasks)
+    return FU.benchmark_scores(view(spark, sf, "benchmark_logs"), tasks)
 
 
-@register("benchmark_scores", with_views(_SCORES_SQL, "harbor_logs"), ("R7", "F13", "S11", "S12"))
+@register("benchmark_scores", with_views(_SCORES_SQL, "benchmark_logs"), ("R7", "F13", "S11", "S12"))
 def q_benchmark_scores(spark, sf):
     return _scores(spark, sf).select("task_name", "reward_text", "errors", "reward", "missing")
 
@@ -144,16 +144,16 @@ def q_benchmark_scores(spark, sf):
 SELECT count(*) AS n_tasks, count(reward) AS n_scored, count(*) FILTER (WHERE missing) AS n_missing,
        round(avg(reward), {R9}) AS mean_reward
 FROM ({_SCORES_SQL}) s
-""", "harbor_logs"), ("R7",))
+""", "benchmark_logs"), ("R7",))
 def q_benchmark_summary(spark, sf):
     return FU.benchmark_summary(_scores(spark, sf)).withColumn("mean_reward", F.round("mean_reward", R9))
 
 
 @register("tail_failed_logs", with_views(f"""
 SELECT task_name, array_to_string(list_slice(l, greatest(len(l) - 9, 1), len(l)), chr(10)) AS tail
-FROM (SELECT task_name, log, string_split(log, chr(10)) AS l FROM harbor_logs) x
+FROM (SELECT task_name, log, string_split(log, chr(10)) AS l FROM benchmark_logs) x
 WHERE nullif({D.regexp_extract('log', T.ERRORS_RE)}, '') IS NULL
-""", "harbor_logs"), ("O3",))
+""", "benchmark_logs"), ("O3",))
 def q_tail_failed_logs(spark, sf):
     # a log without an Errors cell did not finish its result table
-    return FU.tail_failed_logs(view(spark, sf, "harbor_logs"), failed=T.log_errors("log").isNull())
+    return FU.tail_failed_logs(view(spark, sf, "benchmark_logs"), failed=T.log_errors("log").isNull())

@@ -122,11 +122,11 @@ SELECT s.s_name AS task_name, TRY_CAST(r.reward_text AS DOUBLE) AS reward, r.err
 FROM supplier s LEFT JOIN (
   SELECT task_name, nullif({D.regexp_extract('log', T.REWARD_RE)}, '') AS reward_text,
          TRY_CAST(nullif({D.regexp_extract('log', T.ERRORS_RE)}, '') AS INTEGER) AS errors
-  FROM harbor_logs) r ON s.s_name = r.task_name
-""", "harbor_logs"), ("S12", "S11", "R7"))
+  FROM benchmark_logs) r ON s.s_name = r.task_name
+""", "benchmark_logs"), ("S12", "S11", "R7"))
 def q_benchmark_results_round_trip(spark, sf):
     logs_dir = shared_path(spark, "logs")
-    S.write_benchmark_logs(view(spark, sf, "harbor_logs"), logs_dir)
+    S.write_benchmark_logs(view(spark, sf, "benchmark_logs"), logs_dir)
     logs = S.scan_benchmark_logs(spark, f"{logs_dir}/*.log")
     tasks = table(spark, sf, "supplier").select(F.col("s_name").alias("task_name"))
     scores = FU.benchmark_scores(logs, tasks).withColumn(

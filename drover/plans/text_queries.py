@@ -116,7 +116,7 @@ _NAME = "printf('task_%06d_%s', 0, substr(sha256(task_id), 1, 8))"
 
 
 @register("assign_names", with_views(f"""
-SELECT task_id, {_NAME} AS task_name, 'endless-task-' || replace(lower({_NAME}), '_', '-') AS image_name
+SELECT task_id, {_NAME} AS task_name, {D.lit(T.IMAGE_PREFIX)} || replace(lower({_NAME}), '_', '-') AS image_name
 FROM bundles
 """, "bundles"), ("R11", "F21", "F22"))
 def q_assign_names(spark, sf):

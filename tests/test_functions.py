@@ -143,7 +143,7 @@ def test_names(spark):
     import hashlib
     got = one_col(spark, ["k1"], lambda c: T.task_name(c))
     assert got == ["task_000000_" + hashlib.sha256(b"k1").hexdigest()[:8]]
-    assert one_col(spark, ["Task_A_b"], T.image_name) == ["endless-task-task-a-b"]
+    assert one_col(spark, ["Task_A_b"], T.image_name) == [T.IMAGE_PREFIX + "task-a-b"]
 
 
 def test_cast_max_time(spark):

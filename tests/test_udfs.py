@@ -77,4 +77,4 @@ def test_sql_functions_match_columns(spark):
     ref = df.select(T.action_type("r").alias("a"), T.py_strip("s").alias("s"), T.clean_output("o").alias("o"),
                     T.classify_exit("e").alias("e"), T.parse_from_line("l").alias("l")).collect()[0]
     assert (got.a, got.s, got.o, got.e, got.l) == tuple(ref)
-    assert got.c is False and got.i == "endless-task-t-1"
+    assert got.c is False and got.i == T.IMAGE_PREFIX + "t-1"
