@@ -124,8 +124,8 @@ def q_rewrite_path_prefix(spark, sf):
 
 
 @register("join_stage_outputs", with_views(f"""
-SELECT b.task_id, length({D.py_strip('b.description')}) AS description_chars,
-       length({D.py_strip('b.truth')}) AS truth_chars, i.initial_test, f.final_test, d.container_def
+SELECT b.task_id, CAST(length({D.py_strip('b.description')}) AS INTEGER) AS description_chars,
+       CAST(length({D.py_strip('b.truth')}) AS INTEGER) AS truth_chars, i.initial_test, f.final_test, d.container_def
 FROM bundles b
 JOIN (SELECT task_id, initial_test FROM bundles WHERE {_truthy('initial_test')}) i ON b.task_id = i.task_id
 JOIN (SELECT task_id, final_test FROM bundles WHERE {_truthy('final_test')}) f ON b.task_id = f.task_id
@@ -142,7 +142,7 @@ def q_join_stage_outputs(spark, sf):
 
 
 @register("join_requests_responses", with_views("""
-SELECT d.doc_id AS request_id, length(r.response) AS response_chars, r.response IS NULL AS failed
+SELECT d.doc_id AS request_id, CAST(length(r.response) AS INTEGER) AS response_chars, r.response IS NULL AS failed
 FROM documents d LEFT JOIN (SELECT * FROM template_replies WHERE response IS NOT NULL) r
   ON d.doc_id = r.request_id
 """, "template_replies"), ("J2",))

@@ -92,7 +92,7 @@ def q_oom_scan(spark, sf):
 
 
 @register("distinct_base_images", with_views(f"""
-SELECT image, sum(r) AS n_refs, count(*) AS n_files FROM (
+SELECT image, CAST(sum(r) AS BIGINT) AS n_refs, count(*) AS n_files FROM (
   SELECT image, task_key, count(*) AS r FROM (
     SELECT task_key, {D.parse_from_line('line')} AS image
     FROM (SELECT task_key, unnest(string_split(dockerfile, chr(10))) AS line FROM dockerfiles) a) b

@@ -86,7 +86,8 @@ def q_train_parquet_round_trip(spark, sf):
 
 @register("manifest_round_trip", with_views("""
 SELECT task_id, description AS instruction, lang AS difficulty, source AS category,
-       300.0 AS verifier_timeout_sec, 300.0 AS agent_timeout_sec, 600.0 AS build_timeout_sec,
+       CAST(300.0 AS DOUBLE) AS verifier_timeout_sec, CAST(300.0 AS DOUBLE) AS agent_timeout_sec,
+       CAST(600.0 AS DOUBLE) AS build_timeout_sec,
        1 AS cpus, 2048 AS memory_mb, 10240 AS storage_mb
 FROM bundles
 """, "bundles"), ("S2",))

@@ -80,7 +80,7 @@ _CLEAN_LIMIT = 120
 
 @register("clean_transcripts", with_views(f"""
 SELECT page_id, {D.truncate_output(D.clean_output('output'), _CLEAN_LIMIT)} AS cleaned,
-       length(output) - length({D.clean_output('output')}) AS chars_saved,
+       CAST(length(output) - length({D.clean_output('output')}) AS INTEGER) AS chars_saved,
        length({D.clean_output('output')}) > {_CLEAN_LIMIT} AS truncated
 FROM terminal_output
 """, "terminal_output"), ("R5", "F7", "F8", "F9", "F10"))

@@ -181,7 +181,7 @@ hist AS (
                     {D.lit(T.HISTORY_SEPARATOR)} ORDER BY n) || {D.lit(T.HISTORY_FOOTER)} AS history
   FROM blocks GROUP BY run_id),
 per_run AS (
-  SELECT run_id, sum(length(content)) AS chat_chars,
+  SELECT run_id, CAST(sum(length(content)) AS BIGINT) AS chat_chars,
          max(CASE WHEN p = 2 AND role = 'user' THEN content END) AS first_user
   FROM pos GROUP BY run_id)
 SELECT r.run_id, r.chat_chars, coalesce(h.n_commands, 0) AS n_commands,
