@@ -246,16 +246,21 @@ def episode_outcome(steps: DataFrame, max_turns: int = 16, max_time: float = 600
                     run: str = "run_id", turn: str = "turn", ts: str = "ts",
                     action: str = "action_type", passes: str = "verifier_passes") -> DataFrame:
     """One row per episode: the first terminal step (rows after it are ignored);
-    episodes with no terminal step are still running (null end)."""
+    episodes with no terminal step are still running (null end).  One pass:
+    per-run windows, then one aggregate on the same partitioning (no join)."""
     s = step_outcomes(steps, max_turns, max_time, run, turn, ts, action, passes)
-    first_done = F.min(F.when(F.col("done"), F.col(turn))).over(Window.partitionBy(run))
-    s = s.withColumn("_end", first_done)
-    term = s.filter(F.col(turn) == F.col("_end")).select(
-        run, F.col(turn).alias("end_turn"), "is_done_action", "at_max_turns", "late", "timed_out",
-        "verified", "goal_reached", F.col("goal_reached").cast("int").alias("reward"))
-    counts = s.filter(F.col("_end").isNull() | (F.col(turn) <= F.col("_end"))) \
-        .groupBy(run).agg(F.count(F.lit(1)).cast("int").alias("n_steps"))
-    return counts.join(term, run, "left")
+    s = s.withColumn("_end", F.min(F.when(F.col("done"), F.col(turn))).over(Window.partitionBy(run)))
+    at_end = F.col(turn) == F.col("_end")
+
+    def at_terminal(c):
+        return F.max(F.when(at_end, F.col(c)))
+
+    return s.groupBy(run).agg(
+        F.count_if(F.col("_end").isNull() | (F.col(turn) <= F.col("_end"))).cast("int").alias("n_steps"),
+        F.min("_end").alias("end_turn"),
+        *[at_terminal(c).alias(c) for c in ("is_done_action", "at_max_turns", "late", "timed_out",
+                                            "verified", "goal_reached")],
+        F.max(F.when(at_end, F.col("goal_reached").cast("int"))).alias("reward"))
 
 
 # W8 --------------------------------------------------------------------------
@@ -269,14 +274,13 @@ def wallclock_cutoff(steps: DataFrame, max_episodes: int = 64, max_time: float =
               .when(late, F.lit("time"))
               .when(F.col(turn) >= max_episodes, F.lit("max_episodes")))
     s = steps.withColumn("_reason", reason)
-    first = F.min(F.when(F.col("_reason").isNotNull(), F.col(turn))).over(Window.partitionBy(run))
-    s = s.withColumn("_end", first)
-    stop = s.filter(F.col(turn) == F.col("_end")).select(
-        run, F.col(turn).alias("stop_turn"), F.col("_reason").alias("stop_reason"))
-    used = s.filter(F.col("_end").isNull() | (F.col(turn) <= F.col("_end"))) \
-        .groupBy(run).agg(F.count(F.lit(1)).cast("int").alias("n_episodes"))
-    return used.join(stop, run, "left").withColumn(
-        "stop_reason", F.coalesce(F.col("stop_reason"), F.lit("running")))
+    s = s.withColumn("_end", F.min(F.when(F.col("_reason").isNotNull(), F.col(turn)))
+                     .over(Window.partitionBy(run)))
+    return s.groupBy(run).agg(
+        F.count_if(F.col("_end").isNull() | (F.col(turn) <= F.col("_end"))).cast("int").alias("n_episodes"),
+        F.min("_end").alias("stop_turn"),
+        F.coalesce(F.max(F.when(F.col(turn) == F.col("_end"), F.col("_reason"))), F.lit("running"))
+        .alias("stop_reason"))
 
 
 # R6 --------------------------------------------------------------------------
