@@ -151,54 +151,66 @@ def pair_action_observation(turns: DataFrame, run: str = "run_id", seq: str = "t
 
 
 # W9 / F23 ------------------------------------------------------------------------
+def _history_rows(turns: DataFrame, run: str, seq: str, role: str, content: str,
+                  output_limit: int) -> DataFrame:
+    """Per message: position in the run, whether it is a history command, its
+    command number and its summary block (all windows share one partitioning)."""
+    w = Window.partitionBy(run).orderBy(seq)
+    t = (turns.withColumn("_pos", F.row_number().over(w))
+         .withColumn("_nr", F.lead(role).over(w)).withColumn("_nc", F.lead(content).over(w)))
+    cmd = T.action_command(content)
+    is_cmd = ((F.col("_pos") > 2) & (F.col(role) == "assistant") & (T.action_type(content) == "command")
+              & (F.coalesce(cmd, F.lit("")) != ""))
+    t = t.withColumn("_is_cmd", is_cmd)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = t.withColumn("_n", F.when(F.col("_is_cmd"), F.count_if("_is_cmd").over(running)))
+    obs = F.coalesce(F.when(F.col("_nr") == "user", F.col("_nc")), F.lit(""))
+    obs = F.when(F.length(obs) > output_limit,
+                 F.concat(F.substring(obs, 1, output_limit), F.lit(T.HISTORY_CUT_MARK))).otherwise(obs)
+    block = F.concat(F.lit("Command "), F.col("_n").cast("string"), F.lit(": "), cmd, F.lit("\nOutput: "), obs)
+    return t.withColumn("_block", F.when(F.col("_is_cmd"), F.struct(F.col("_n").alias("n"), block.alias("b"))))
+
+
+def _history_text(blocks: Column) -> Column:
+    return F.concat(F.lit(T.HISTORY_HEADER),
+                    F.array_join(F.transform(F.array_sort(blocks), lambda x: x["b"]), T.HISTORY_SEPARATOR),
+                    F.lit(T.HISTORY_FOOTER))
+
+
 def command_history(turns: DataFrame, run: str = "run_id", seq: str = "turn",
                     role: str = "role", content: str = "content",
                     output_limit: int = T.HISTORY_OUTPUT_LIMIT) -> DataFrame:
     """Per run, the summary of commands and their outputs used when a chat is
-    compacted: "Command n: …\\nOutput: …" blocks (outputs cut at 500 chars),
-    framed; empty when the run issued no command.  The first two messages
+    compacted: "Command n: …\nOutput: …" blocks (outputs cut at 500 chars),
+    framed; runs that issued no command have no row.  The first two messages
     (system, original request) are not part of the history."""
-    w = Window.partitionBy(run).orderBy(seq)
-    pos = F.row_number().over(w)
-    paired = pair_action_observation(turns.withColumn("_pos", pos), run, seq, role, content)
-    acts = (paired.filter(F.col("_pos") > 2)
-            .withColumn("action_type", T.action_type(content))
-            .withColumn("command", T.action_command(content))
-            .filter((F.col("action_type") == "command") & (F.coalesce(F.col("command"), F.lit("")) != "")))
-    cw = Window.partitionBy(run).orderBy(seq)
-    obs = F.coalesce(F.col("observation"), F.lit(""))
-    obs = F.when(F.length(obs) > output_limit,
-                 F.concat(F.substring(obs, 1, output_limit), F.lit(T.HISTORY_CUT_MARK))).otherwise(obs)
-    blocks = (acts.withColumn("n", F.row_number().over(cw))
-              .withColumn("block", F.concat(F.lit("Command "), F.col("n").cast("string"), F.lit(": "),
-                                            F.col("command"), F.lit("\nOutput: "), obs)))
-    hist = blocks.groupBy(run).agg(
-        F.count(F.lit(1)).alias("n_commands"),
-        F.array_sort(F.collect_list(F.struct("n", "block"))).alias("_b"))
-    return hist.select(run, "n_commands",
-                       F.concat(F.lit(T.HISTORY_HEADER),
-                                F.array_join(F.transform("_b", lambda s: s["block"]), T.HISTORY_SEPARATOR),
-                                F.lit(T.HISTORY_FOOTER)).alias("history"))
+    t = _history_rows(turns, run, seq, role, content, output_limit)
+    hist = t.groupBy(run).agg(F.count_if("_is_cmd").alias("n_commands"),
+                              F.collect_list("_block").alias("_b"))
+    return hist.filter(F.col("n_commands") > 0).select(run, "n_commands", _history_text(F.col("_b")).alias("history"))
 
 
 def compact_history(turns: DataFrame, min_chars: int, run: str = "run_id", seq: str = "turn",
-                    role: str = "role", content: str = "content") -> DataFrame:
+                    role: str = "role", content: str = "content",
+                    output_limit: int = T.HISTORY_OUTPUT_LIMIT) -> DataFrame:
     """For runs whose chat exceeds ``min_chars`` characters: the compacted first
     user message = original first user message + summary of all commands.
-    Older summaries are never nested (the original message is used)."""
-    w = Window.partitionBy(run).orderBy(seq)
-    sized = turns.withColumn("_pos", F.row_number().over(w))
-    per_run = sized.groupBy(run).agg(
-        F.sum(F.length(content)).alias("chat_chars"),
-        F.max(F.when((F.col("_pos") == 2) & (F.col(role) == "user"), F.col(content))).alias("first_user"))
-    big = per_run.filter(F.col("chat_chars") > min_chars)
-    hist = command_history(turns, run, seq, role, content)
-    out = big.join(hist, run, "left")
+    Older summaries are never nested (the original message is used).  One
+    pass: the run's size is a window, so small runs are dropped before any
+    block is collected, and one aggregate builds the result (no join)."""
+    t = _history_rows(turns, run, seq, role, content, output_limit)
+    t = t.withColumn("_chars", F.sum(F.length(content)).over(Window.partitionBy(run))) \
+        .filter(F.col("_chars") > min_chars)
+    per_run = t.groupBy(run).agg(
+        F.max("_chars").alias("chat_chars"),
+        F.max(F.when((F.col("_pos") == 2) & (F.col(role) == "user"), F.col(content))).alias("first_user"),
+        F.count_if("_is_cmd").alias("n_commands"),
+        F.collect_list("_block").alias("_b"))
     first = F.coalesce(F.col("first_user"), F.lit(""))
-    return out.select(
-        run, "chat_chars", F.coalesce(F.col("n_commands"), F.lit(0)).alias("n_commands"),
-        F.when(F.col("history").isNull(), first)
-         .otherwise(F.concat(first, F.lit("\n\n"), F.col("history"))).alias("compacted_user"))
+    return per_run.select(
+        run, "chat_chars", "n_commands",
+        F.when(F.col("n_commands") == 0, first)
+         .otherwise(F.concat(first, F.lit("\n\n"), _history_text(F.col("_b")))).alias("compacted_user"))
 
 
 # A9 / A10 ------------------------------------------------------------------------
