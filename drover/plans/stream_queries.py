@@ -8,6 +8,7 @@ from drover.operators import framing as FR
 from drover.plans import duck as D
 from drover.plans.fixtures import view, with_views
 from drover.plans.registry import register
+from drover.session import shared_path
 
 _FRAMED = f"""
 , c AS (SELECT session_id, seq, string_split(coalesce(chunk, ''), chr(10)) AS pieces FROM chunks),
@@ -50,3 +51,102 @@ FROM last l LEFT JOIN tail t ON l.session_id = t.session_id
 """.replace("\n, ", ", ", 1), "chunks"), ("T2", "T3"))
 def q_pending_commands(spark, sf):
     return FR.pending_commands(view(spark, sf, "chunks"))
+
+
+# --- streaming operators run to completion over replayed, Spark-derived rows ----
+from pyspark.sql import functions as F  # noqa: E402
+
+from drover.operators import trajectory as TR  # noqa: E402
+from drover.streaming import episodes as EP  # noqa: E402
+from drover.streaming import framing as SFR  # noqa: E402
+from drover.streaming import progress as PR  # noqa: E402
+from drover.streaming.replay import replay_as_stream, run_to_parquet  # noqa: E402
+
+
+def _stateful_partitions(spark, n: int = 4):
+    """State partitions are fixed per checkpoint; a small number keeps the
+    per-trigger cost low for these replayed runs."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+
+
+def _oracle_of(name: str) -> str:
+    from drover.plans.registry import QUERIES
+    return QUERIES[name].oracle
+
+
+@register("stream_episodes", "SELECT * FROM (" + _oracle_of("episode_outcome").replace(
+    "FROM cnt c LEFT JOIN term t ON c.run_id = t.run_id",
+    "FROM cnt c LEFT JOIN term t ON c.run_id = t.run_id WHERE t.end_turn IS NOT NULL") + ") x",
+    ("T1",))
+def q_stream_episodes(spark, sf):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        _stateful_partitions(spark)
+        steps = view(spark, sf, "steps").withColumn("slice", F.least(F.floor((F.col("turn") - 1) / 2), F.lit(2)))
+        stream = EP.stream_episodes(replay_as_stream(steps, "slice"), max_turns=4, max_time=86400,
+                                    watermark="3650 days")
+        return run_to_parquet(stream, "episodes").filter("end_turn IS NOT NULL")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@register("stream_frame_commands", "SELECT *, false AS timed_out FROM (" + _oracle_of("frame_commands") + ") f",
+          ("T2", "T3"))
+def q_stream_frame_commands(spark, sf):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        _stateful_partitions(spark)
+        chunks = view(spark, sf, "chunks").withColumn("slice", F.floor(F.col("seq") / 3))
+        # slices arrive newest first: the framer buffers chunks until gaps fill
+        stream = SFR.stream_frame_commands(replay_as_stream(chunks, "slice", "reverse"))
+        return run_to_parquet(stream, "frames")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@register("stream_progress", with_views("""
+SELECT count(*) AS completed,
+       count(*) FILTER (WHERE NOT coalesce(docker_build_success, false)) AS failed,
+       count(*) FILTER (WHERE coalesce(docker_build_success, false)) AS succeeded
+FROM conversion_results
+""", "conversion_results"), ("T4",))
+def q_stream_progress(spark, sf):
+    res = view(spark, sf, "conversion_results").withColumn("slice", F.coalesce(F.col("exit_code"), F.lit(-1)))
+    return run_to_parquet(PR.stream_progress(replay_as_stream(res, "slice")), "progress", mode="complete")
+
+
+@register("stream_summaries", _oracle_of("pass_at_k"), ("T6", "A2"))
+def q_stream_summaries(spark, sf):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        _stateful_partitions(spark)
+        runs = view(spark, sf, "runs").withColumn("slice", F.col("attempt") % 3)
+        out = shared_path(spark, "summaries-stream")
+        ckpt = shared_path(spark, "summaries-ckpt")
+        PR.stream_summaries(replay_as_stream(runs, "slice"), out, ckpt) \
+            .trigger(availableNow=True).start().awaitTermination()
+        got = PR.latest_summaries(spark, out)
+        return got.select("task_id", "num_runs", "num_success", F.col("k").cast("int").alias("k"),
+                          F.round("pass_at_k", 9).alias("pass_at_k"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@register("stream_results_sink", with_views("""
+SELECT task_name, TRY_CAST(nullif(regexp_extract(log, 'Mean[: \\t\\x0b\\x0c\\r│]+([0-9.]+)', 1), '') AS DOUBLE) AS reward,
+       TRY_CAST(nullif(regexp_extract(log, '│ Errors[ \\t\\x0b\\x0c\\r]+│[ \\t\\x0b\\x0c\\r]+([0-9]+)', 1), '') AS INTEGER) AS errors,
+       0 AS exit_code
+FROM benchmark_logs
+""", "benchmark_logs"), ("T5", "S11"))
+def q_stream_results_sink(spark, sf):
+    from drover.operators import funnel as FU
+    from drover.sources import files as S
+    scores = FU.benchmark_scores(view(spark, sf, "benchmark_logs")) \
+        .withColumn("exit_code", F.lit(0)) \
+        .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))  # one arrival time for all
+    # every result is delivered twice (a re-sent result file); the sink keeps one row per task
+    twice = scores.withColumn("slice", F.lit(0)).unionByName(scores.withColumn("slice", F.lit(1)))
+    out, ckpt = shared_path(spark, "results-stream"), shared_path(spark, "results-ckpt")
+    PR.stream_results_sink(replay_as_stream(twice, "slice"), out, ckpt) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return S.scan_benchmark_results(spark, f"{out}/*")
