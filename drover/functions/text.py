@@ -67,9 +67,9 @@ TIMEOUT_WAIT = 2
 
 DEFAULT_MAX_TIME = 600
 DECISION_DEFAULT_TIMEOUT = 180.0
-# ---------------------------------------------------------------------------
 
-# Regex patterns (Java dialect; the oracle keeps its own RE2 copies).
+# Patterns (Java regex dialect; the oracle keeps its own RE2 copies).  Where
+# Python's ``\s`` would differ from Java's, the Python whitespace class is used.
 TASK_RE = r"(?s)<task>(.*?)</task>"
 TRUTH_RE = r"(?s)<truth>(.*?)</truth>"
 PY_FENCE_RE = r"(?is)```(?:python)?\n(.*?)```"
@@ -78,6 +78,11 @@ DONE_RE = "(?i)<action>" + WS + "*done" + WS + "*</action>"
 COMMAND_RE = "(?is)<command>" + WS + "*(.*?)" + WS + "*</command>"
 ANSI_RE = r"\x1b\[[0-?]*[ -/]*[@-~]"
 MARKER_RE = r"__CMD_DONE__[0-9a-f]+__:"
+LINE_SPACE = r"[ \t\x0b\x0c\r]"
+REWARD_RE = r"Mean[: \t\x0b\x0c\r│]+([0-9.]+)"
+ERRORS_RE = "│ Errors" + LINE_SPACE + "+│" + LINE_SPACE + r"+([0-9]+)"
+FROM_RE = "^(?i:FROM) " + WS + "*(" + NON_WS + "+)"
+# ---------------------------------------------------------------------------
 
 
 def _c(x) -> Column:
@@ -271,11 +276,6 @@ def format_observation(kind, exit_code, output, error=None,
 
 
 # F13 ------------------------------------------------------------------------
-LINE_SPACE = r"[ \t\x0b\x0c\r]"
-REWARD_RE = r"Mean[: \t\x0b\x0c\r│]+([0-9.]+)"
-ERRORS_RE = "│ Errors" + LINE_SPACE + "+│" + LINE_SPACE + r"+([0-9]+)"
-
-
 def log_reward_text(log) -> Column:
     return F.nullif(F.regexp_extract(_c(log), REWARD_RE, 1), F.lit(""))
 
@@ -330,9 +330,6 @@ def planned_wait(error, attempt, policy: str = "generate") -> Column:
 
 
 # F17 ------------------------------------------------------------------------
-FROM_RE = "^(?i:FROM) " + WS + "*(" + NON_WS + "+)"
-
-
 def parse_from_line(line) -> Column:
     return F.nullif(F.regexp_extract(py_strip(line), FROM_RE, 1), F.lit(""))
 
