@@ -23,6 +23,9 @@ PROMPT_SENTENCE = ("Write a new task focusing on {category}. Complexity: {comple
                    "automated test will check. Write the task description in a way that a user "
                    "might ask an AI assistant. The task should be a realistic end-to-end scenario "
                    "that an AI agent could perform in a Linux terminal.")
+# The strict decision object: its only keys, and the allowed types.
+DECISION_KEYS = ["type", "command", "timeout_sec"]
+DECISION_TYPES = ["command", "done", "invalid"]
 # ---------------------------------------------------------------------------
 
 
@@ -107,8 +110,6 @@ def name_collisions(named: DataFrame, name: str = "task_name") -> DataFrame:
 
 
 # R12 / F24 ---------------------------------------------------------------------------------
-DECISION_KEYS = ["type", "command", "timeout_sec"]
-DECISION_TYPES = ["command", "done", "invalid"]
 
 
 def _kind(v: Column, path: str) -> Column:

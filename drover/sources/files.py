@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from drover.functions import text as T
 
 # ---------------------------------------------------------------------------
-# Fixed values (must equal the reference behaviour): bundle member files.
+# Fixed values (must equal the reference behaviour): bundle member files and
+# the record formats of the files the tools read and write.
 TASK_JSON = "task.json"
 INITIAL_TEST = "test_initial_state.py"
 FINAL_TEST = "test_final_state.py"
@@ -29,7 +30,6 @@ SOLUTIONS_DIR = "solutions"
 SUMMARY_SUFFIX = "_summary.json"
 BENCHMARK_HEADER = ["task_name", "reward", "errors", "exit_code"]
 BENCHMARK_NULL = "NA"
-# ---------------------------------------------------------------------------
 
 MEMBER_COLUMNS = {TASK_JSON: "task_json", INITIAL_TEST: "initial_test",
                   FINAL_TEST: "final_test", CONTAINER_DEF: "container_def"}
@@ -47,6 +47,7 @@ MANIFEST_SCHEMA = ("task_id STRING, instruction STRING, metadata STRUCT<difficul
                    "config STRUCT<verifier_timeout_sec: DOUBLE, agent_timeout_sec: DOUBLE, "
                    "environment: STRUCT<build_timeout_sec: DOUBLE, cpus: INT, memory_mb: INT, storage_mb: INT>>")
 BENCHMARK_SCHEMA = "task_name STRING, reward DOUBLE, errors INT, exit_code INT"
+# ---------------------------------------------------------------------------
 
 NAME_RULES = {
     "prefix": lambda n: n.startswith("task_"),
