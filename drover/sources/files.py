@@ -79,25 +79,39 @@ def read_task_bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+def _writer(root: str):
+    """A function ``write(relative_path, text)`` for any filesystem pyarrow
+    knows (local paths, ``file://``, ``s3://``, ``hdfs://``); built on the
+    executor that uses it."""
+    from pyarrow import fs as pafs
+    uri = root if "://" in root else "file://" + os.path.abspath(_local(root))
+    filesystem, base = pafs.FileSystem.from_uri(uri)
+
+    def write(rel: str, text: str) -> None:
+        path = f"{base.rstrip('/')}/{rel}"
+        filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(path) as fh:
+            fh.write(text.encode("utf-8"))
+
+    return write
+
+
 def export_task_directories(bundles: DataFrame, root: str) -> None:
     """Directory layout (one folder per task with the member files and an empty
     run summary), written in parallel by the partition that holds each task.
-    ``root`` must be a shared POSIX path."""
-    root = _local(root)
+    A retried task rewrites the same files (idempotent)."""
     cols = ["task_id", "description", "truth", "initial_test", "final_test", "container_def"]
 
     def write_partition(rows):
+        write = _writer(root)
         for r in rows:
-            d = os.path.join(root, r["task_id"])
-            os.makedirs(os.path.join(d, SOLUTIONS_DIR), exist_ok=True)
             task = {"description": r["description"], "truth": r["truth"], "name": r["task_id"]}
             members = {TASK_JSON: json.dumps(task, indent=4), INITIAL_TEST: r["initial_test"],
                        FINAL_TEST: r["final_test"], CONTAINER_DEF: r["container_def"],
-                       os.path.join(SOLUTIONS_DIR, "summary.json"): json.dumps({}, indent=4)}
+                       f"{SOLUTIONS_DIR}/summary.json": json.dumps({}, indent=4)}
             for name, text in members.items():
                 if text is not None:
-                    with open(os.path.join(d, name), "w", encoding="utf-8") as fh:
-                        fh.write(text)
+                    write(f"{r['task_id']}/{name}", text)
 
     bundles.select(*cols).foreachPartition(write_partition)
 
@@ -243,13 +257,10 @@ def scan_benchmark_results(spark: SparkSession, path: str) -> DataFrame:
 
 def write_benchmark_logs(logs: DataFrame, root: str, key: str = "task_name", log: str = "log") -> None:
     """One ``<task>.log`` file per task, written by the partition holding it."""
-    root = _local(root)
-
     def write_partition(rows):
-        os.makedirs(root, exist_ok=True)
+        write = _writer(root)
         for r in rows:
-            with open(os.path.join(root, f"{r[key]}.log"), "w", encoding="utf-8") as fh:
-                fh.write(r[log] if r[log] is not None else "")
+            write(f"{r[key]}.log", r[log] if r[log] is not None else "")
 
     logs.select(key, log).foreachPartition(write_partition)
 
