@@ -61,6 +61,7 @@ def get_session(master: str | None = None, app: str = "drover",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
@@ -92,3 +93,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if "://" not in root:
         os.makedirs(root, exist_ok=True)
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``drover`` importable on the executors' Python workers (UDFs,
+    ``mapInPandas``, streaming state, table functions): the package is zipped
+    in memory, written once into the shared folder and added with
+    ``addPyFile`` (what ``--py-files`` does at submit time).  Idempotent per
+    application."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, filenames in os.walk(pkg):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in filenames:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = shared_path(spark, "pyfiles") + "/drover.zip"
+    from pyarrow import fs as pafs
+    uri = target if "://" in target else "file://" + os.path.abspath(target[len("file:"):] if target.startswith("file:") else target)
+    filesystem, path = pafs.FileSystem.from_uri(uri)
+    filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with filesystem.open_output_stream(path) as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(uri)
+    _SHIPPED.add(app)
