@@ -90,8 +90,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared checkpoint folder."""
     root = checkpoint_root(spark)
-    if "://" not in root:
-        os.makedirs(root, exist_ok=True)
+    if "://" not in root:  # a local folder, possibly written as "file:/..."
+        os.makedirs(root[len("file:"):] if root.startswith("file:") else root, exist_ok=True)
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
