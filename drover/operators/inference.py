@@ -34,11 +34,22 @@ def retry_wait(error: str, attempt: int) -> float:
     return float(2 ** attempt)
 
 
+def pending_requests(requests: DataFrame, completed: DataFrame | None, key: str = "request_id") -> DataFrame:
+    """Resume: only requests without a stored completion (an anti-join on the
+    request key), so a re-run never repeats a call."""
+    if completed is None:
+        return requests
+    return requests.join(completed.filter("response IS NOT NULL").select(key), key, "left_anti")
+
+
 def with_completions(requests: DataFrame, client_factory: Callable, messages: str = "messages",
                      max_concurrency: int = 8, max_retries: int = T.GENERATE_MAX_RETRIES,
-                     sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+                     sleep: Callable[[float], None] = time.sleep,
+                     num_partitions: int | None = None) -> DataFrame:
     """Adds ``response``, ``error`` and ``attempts``.  ``client_factory()`` must
-    return a callable ``client(messages: list[dict]) -> str``."""
+    return a callable ``client(messages: list[dict]) -> str``.  With
+    ``num_partitions`` the requests are spread over that many tasks first, which
+    caps the calls in flight at ``num_partitions * max_concurrency``."""
     schema = TY.StructType(requests.schema.fields + [
         TY.StructField("response", TY.StringType()), TY.StructField("error", TY.StringType()),
         TY.StructField("attempts", TY.IntegerType())])
@@ -66,7 +77,8 @@ def with_completions(requests: DataFrame, client_factory: Callable, messages: st
                 out["attempts"] = pd.array([r[2] for r in res], dtype="Int32")
                 yield out
 
-    return requests.mapInPandas(run, schema)
+    source = requests if num_partitions is None else requests.repartition(num_partitions)
+    return source.mapInPandas(run, schema)
 
 
 def persist_completions(df: DataFrame, spark: SparkSession | None = None, name: str = "completions") -> DataFrame:

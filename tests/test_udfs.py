@@ -78,3 +78,14 @@ def test_sql_functions_match_columns(spark):
                     T.classify_exit("e").alias("e"), T.parse_from_line("l").alias("l")).collect()[0]
     assert (got.a, got.s, got.o, got.e, got.l) == tuple(ref)
     assert got.c is False and got.i == T.IMAGE_PREFIX + "t-1"
+
+
+def test_resume_calls_only_missing(spark):
+    req = spark.range(1, 11).select(F.col("id").alias("request_id"), F.array(
+        F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"))
+    first = INF.persist_completions(INF.with_completions(req, FlakyClient, sleep=lambda s: None), spark)
+    # ids divisible by 5 failed; only they are requested again
+    todo = INF.pending_requests(req, first)
+    assert sorted(r.request_id for r in todo.collect()) == [5, 10]
+    again = INF.with_completions(todo, FlakyClient, sleep=lambda s: None, num_partitions=2)
+    assert again.count() == 2
