@@ -26,6 +26,9 @@ DEFAULT_EVAL_COUNT = 100
 
 
 SAMPLES_PER_BUCKET = 16
+# Top-N selections (validation set, slices) up to this many rows use a
+# distributed TakeOrdered; larger ones use the bucketed global order.
+MAX_TAKE_ORDERED = 100_000
 # Upper bound on value-range buckets: keeps the driver-side sample at 16k key
 # tuples and the bucket expression at a depth-10 binary search.
 MAX_BUCKETS = 1024
@@ -119,8 +122,14 @@ def assign_batches(df: DataFrame, batch_size: int, key: str = "task_id") -> Data
 
 
 # W2 --------------------------------------------------------------------------
-def slice_tasks(df: DataFrame, start_at: int, num_tasks: int, key: str = "task_id") -> DataFrame:
-    """Rows ``[start_at, start_at + num_tasks)`` of the id-sorted table."""
+def slice_tasks(df: DataFrame, start_at: int, num_tasks: int, key: str = "task_id",
+                max_take: int | None = None) -> DataFrame:
+    """Rows ``[start_at, start_at + num_tasks)`` of the id-sorted table.  A
+    slice that ends within ``max_take`` rows is a distributed TakeOrdered
+    (``orderBy().offset().limit()``); a deeper one uses the bucketed order."""
+    bound = MAX_TAKE_ORDERED if max_take is None else max_take
+    if start_at + num_tasks <= bound:
+        return df.orderBy(F.col(key)).offset(int(start_at)).limit(int(num_tasks))
     idx = global_index(df, [key], "_idx")
     return idx.filter((F.col("_idx") > start_at) & (F.col("_idx") <= start_at + num_tasks)).drop("_idx")
 
@@ -139,9 +148,6 @@ def seeded_shuffle(df: DataFrame, key: str = "task_id", seed: int = DEFAULT_SEED
 
 
 # W3 / J5 ---------------------------------------------------------------------------
-# Up to this many validation rows are taken with a distributed TakeOrdered and
-# broadcast; larger validation sets use the range-partitioned global order.
-MAX_TAKE_ORDERED = 100_000
 
 
 def train_val_split(tasks: DataFrame, eval_count: int = DEFAULT_EVAL_COUNT,

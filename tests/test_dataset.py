@@ -100,3 +100,10 @@ def test_split_strategies_agree(spark):
     a = {r.task_id: r.split for r in DS.train_val_split(tasks, 300, failed=failed).collect()}
     b = {r.task_id: r.split for r in DS.train_val_split(tasks, 300, failed=failed, max_take=10).collect()}
     assert a == b and len(a) == 1998
+
+
+def test_slice_strategies_agree(spark):
+    df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("task_id"))
+    a = sorted(r.task_id for r in DS.slice_tasks(df, 250, 400).collect())
+    b = sorted(r.task_id for r in DS.slice_tasks(df, 250, 400, max_take=10).collect())
+    assert a == b == list(range(250, 650))
