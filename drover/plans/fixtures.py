@@ -146,17 +146,30 @@ VIEW_TABLES = {name: sorted(set(re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", body))
                for name, body in VIEWS.items()}
 
 
-def register_tables(spark, sf_dir: str, tables) -> None:
-    """Register driver tables as temp views (lazy parquet scans; no data is read)."""
+def _private_name(table: str, sf_dir: str) -> str:
+    import hashlib
+    return f"_drover_{table}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}"
+
+
+def register_tables(spark, sf_dir: str, tables) -> dict:
+    """Register driver tables as temp views under private names (so views the
+    caller may have are never replaced); lazy parquet scans, no data read."""
+    names = {}
     for t in tables:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
+        names[t] = _private_name(t, sf_dir.rstrip("/"))
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(names[t])
+    return names
 
 
 def view(spark, sf_dir: str, name: str):
-    """A fixture view as a Spark DataFrame (the SQL is analysed immediately, so the
-    plan binds to the tables of ``sf_dir`` even if they are re-registered later)."""
-    register_tables(spark, sf_dir, VIEW_TABLES[name])
-    return spark.sql(VIEWS[name])
+    """A fixture view as a Spark DataFrame: the shared SQL text with its table
+    references pointed at the private views of ``sf_dir`` (analysed at once,
+    so the plan is bound to those tables)."""
+    names = register_tables(spark, sf_dir, VIEW_TABLES[name])
+    sql = VIEWS[name]
+    for t, private in names.items():
+        sql = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\g<2>{private}", sql)
+    return spark.sql(sql)
 
 
 def table(spark, sf_dir: str, name: str):
