@@ -38,16 +38,30 @@ def pass_at_k_value(n, c, k) -> Column:
             .otherwise(F.lit(1.0) - prod))
 
 
+K_CHUNK = 1024
+
+
 def pass_at_k(rollup: DataFrame, ks: list[int] | None = None, n: str = "num_runs",
-              c: str = "num_success") -> DataFrame:
+              c: str = "num_success", skew_safe: bool = False) -> DataFrame:
     """Long form ``(…, k, pass_at_k)`` for every k in 1..n (or only ``ks`` that
-    exist for the task, like the keys of a run summary)."""
-    if ks is None:
-        k = F.explode(F.sequence(F.lit(1), F.greatest(F.col(n), F.lit(1))))
-        out = rollup.filter(F.col(n) >= 1).withColumn("k", k)
-    else:
+    exist for the task, like the keys of a run summary).  ``skew_safe`` splits
+    each task's k range into chunks of 1024 and spreads the (task, chunk) rows
+    over all shuffle partitions before expanding them, so a task with a huge
+    number of attempts is computed by many tasks."""
+    if ks is not None:
         out = rollup.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))) \
             .filter(F.col("k") <= F.col(n))
+    elif skew_safe:
+        parts = int(rollup.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = [x for x in rollup.columns if x not in (n, c)]
+        chunks = rollup.filter(F.col(n) >= 1).withColumn(
+            "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / K_CHUNK).cast("int"))))
+        spread = chunks.repartition(parts, *keys, "_chunk")  # explicit count: not coalesced away
+        out = spread.withColumn("k", F.explode(F.sequence(
+            F.col("_chunk") * K_CHUNK + 1, F.least(F.col(n), (F.col("_chunk") + 1) * K_CHUNK)))).drop("_chunk")
+    else:
+        k = F.explode(F.sequence(F.lit(1), F.greatest(F.col(n), F.lit(1))))
+        out = rollup.filter(F.col(n) >= 1).withColumn("k", k)
     return out.withColumn("pass_at_k", pass_at_k_value(n, c, "k"))
 
 

@@ -156,3 +156,12 @@ def test_skew_safe_running_counts_equal_plain(spark):
     a = sorted(tuple(x) for x in TR.token_totals(data).collect())
     b = sorted(tuple(x) for x in TR.token_totals(data, skew_safe=True).collect())
     assert a == b
+
+
+def test_pass_at_k_skew_safe_equals_plain(spark):
+    df = spark.createDataFrame([("hot", 5000, 37), ("a", 16, 3), ("b", 1, 0), ("c", 1030, 1030)],
+                               "task_id string, num_runs int, num_success int")
+    cols = ["task_id", "k", "pass_at_k"]
+    a = sorted(tuple(r) for r in TR.pass_at_k(df).select(cols).collect())
+    b = sorted(tuple(r) for r in TR.pass_at_k(df, skew_safe=True).select(cols).collect())
+    assert a == b and len(a) == 5000 + 16 + 1 + 1030
