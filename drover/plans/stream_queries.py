@@ -74,10 +74,16 @@ def _oracle_of(name: str) -> str:
     return QUERIES[name].oracle
 
 
-@register("stream_episodes", "SELECT * FROM (" + _oracle_of("episode_outcome").replace(
-    "FROM cnt c LEFT JOIN term t ON c.run_id = t.run_id",
-    "FROM cnt c LEFT JOIN term t ON c.run_id = t.run_id WHERE t.end_turn IS NOT NULL") + ") x",
-    ("T1",))
+def _finished_episodes_sql() -> str:
+    """The batch outcome SQL restricted to finished episodes (a stream emits an
+    episode once it ends)."""
+    base, join = _oracle_of("episode_outcome"), "FROM cnt c LEFT JOIN term t ON c.run_id = t.run_id"
+    if join not in base:
+        raise AssertionError("episode_outcome oracle changed; update the finished-episode filter")
+    return "SELECT * FROM (" + base.replace(join, join + " WHERE t.end_turn IS NOT NULL") + ") x"
+
+
+@register("stream_episodes", _finished_episodes_sql(), ("T1",))
 def q_stream_episodes(spark, sf):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
