@@ -156,3 +156,16 @@ def q_stream_results_sink(spark, sf):
     PR.stream_results_sink(replay_as_stream(twice, "slice"), out, ckpt) \
         .trigger(availableNow=True).start().awaitTermination()
     return S.scan_benchmark_results(spark, f"{out}/*")
+
+
+# --- the skew-safe plans, checked against the same oracles ---------------------
+@register("frame_commands_skew_safe", _oracle_of("frame_commands"), ("T2", "F20"))
+def q_frame_commands_skew_safe(spark, sf):
+    return FR.frame_commands(view(spark, sf, "chunks"), skew_safe=True)
+
+
+@register("pass_at_k_skew_safe", _oracle_of("pass_at_k"), ("A1", "A2"))
+def q_pass_at_k_skew_safe(spark, sf):
+    out = TR.pass_at_k(TR.rollup_runs(view(spark, sf, "runs")), skew_safe=True)
+    return out.select("task_id", "num_runs", "num_success", F.col("k").cast("int").alias("k"),
+                      F.round("pass_at_k", 9).alias("pass_at_k"))
