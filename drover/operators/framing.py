@@ -62,8 +62,17 @@ def frame_lines(lines: DataFrame, session: str = "session_id", skew_safe: bool =
 
 def frame_commands(chunks: DataFrame, session: str = "session_id", seq: str = "seq",
                    chunk: str = "chunk", skew_safe: bool = False) -> DataFrame:
-    """One row per finished command: ``(session, record_no, output, exit_code)``."""
-    framed = frame_lines(chunk_lines(chunks, session, seq, chunk, skew_safe), session, skew_safe)
+    """One row per finished command: ``(session, record_no, output, exit_code)``.
+
+    In ``skew_safe`` mode the reassembled lines feed a sampling job and two plan
+    branches, so they are written once to the shared checkpoint folder
+    (``checkpoint()``) instead of being rebuilt for each use."""
+    lines = chunk_lines(chunks, session, seq, chunk, skew_safe)
+    if skew_safe:
+        from drover.session import checkpoint_root
+        checkpoint_root(lines.sparkSession)  # the setting from the session, or a private one
+        lines = lines.checkpoint(eager=True)
+    framed = frame_lines(lines, session, skew_safe)
     body = F.when(F.col("is_marker"),
                   F.regexp_extract("line", "(?s)^(.*?)" + MARKER_LINE_RE, 1)).otherwise(F.col("line"))
     recs = framed.groupBy(session, "record_no").agg(
