@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drover.llm.common import components, keep, map_groups, map_texts, starts_of
+from drover.llm.common import components, keep, map_groups, map_texts, reduced, starts_of
 
 TREES, LONGEST = 32, 8
 #: Members of a bucket that are compared inside one task, and of a tile side.
@@ -251,9 +251,10 @@ def similarity_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
         F.min("prefix").alias("prefix"), F.min("sig").alias("sig")), "join-classes")
     keys = classes.select("cls", F.posexplode("prefix").alias("tree", "key")) \
         .select("cls", F.xxhash64("tree", "key").alias("bucket"))
-    full = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("lead")) \
-        .filter("members > 1")
-    met = keep(keys.join(full, "bucket"), "join-buckets")
+    full = keep(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("lead"))
+                .filter("members > 1"), "join-full")
+    bucket = F.col("bucket")
+    met = keep(reduced(keys, bucket, full, bucket).join(full, "bucket"), "join-buckets")
     # six standard errors below the threshold
     least = similarity - 6 * (similarity * (1 - similarity) / (TREES * depth)) ** 0.5
     small = met.filter(F.col("members") <= SMALL).select("bucket", "cls").join(classes.select("cls", "sig"), "cls")
@@ -268,7 +269,7 @@ def similarity_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
     sized = keep(sized, "join-members")
     # shingles of one document of each class that takes part
     wanted = sized.select("cls", F.col("rep.id").alias("_id"), F.col("rep.text_key").alias("_key"))
-    texts = base.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))) \
+    texts = reduced(base, F.col("text_key"), wanted, F.col("_key")).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))) \
         .select("cls", "text").groupBy("cls").agg(F.any_value("text").alias("text"))
 
     def shingles():
