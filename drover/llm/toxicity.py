@@ -5,6 +5,7 @@ text's score is that of its worst window, over all overlapping windows."""
 from __future__ import annotations
 
 import itertools
+import pickle
 import zlib
 
 import numpy as np
@@ -217,9 +218,10 @@ class Scorer:
         return doc, out
 
     def worst(self, texts: list[str]) -> np.ndarray:
-        doc, logit = self.window_logits(texts)
         top = np.full(len(texts), -np.inf, np.float32)
-        np.maximum.at(top, doc, logit)
+        for k in range(0, len(texts), 512):
+            doc, logit = self.window_logits(texts[k: k + 512])
+            np.maximum.at(top, k + doc, logit)
         return top
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -241,7 +243,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
     texts, labels = [*texts, *[""] * blank], np.r_[labels, np.zeros(blank, labels.dtype)]
     lists = [t.split() for t in texts]
     number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in lists]
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)) for words in lists]
+    del lists
     feats = features([*number, ""])  # the last one pads
     # word odds over texts, per hashed word: where to look first, and a good start
     seen = np.ones((2, WORD_ROWS))
@@ -258,9 +261,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
     step = 0
     for rnd in range(rounds):
         if rnd:
-            doc, logit = Scorer(net).window_logits(texts)
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            pick = [int(np.argmax(logit[a:b])) for a, b in zip(ends, ends[1:])]
+            scorer, pick = Scorer(net), []
+            for k in range(0, len(texts), 512):
+                doc, logit = scorer.window_logits(texts[k: k + 512])
+                ends = np.searchsorted(doc, np.arange(min(512, len(texts) - k) + 1))
+                pick += [int(np.argmax(logit[a:b])) for a, b in zip(ends, ends[1:])]
         chosen = [(i, p) for i, p in enumerate(pick)] + \
             [(i, int(g.integers(len(spans[i])))) for i in np.flatnonzero(labels == 0)]
         for _ in range(epochs):
@@ -297,20 +302,28 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        held_mod: int = 5, held_rest: int = 0, docs_per_class: int = 1500, max_chars: int = 16_000) -> BiGru:
+        held_mod: int = 5, held_rest: int = 0, docs_per_class: int = 1200, max_chars: int = 12_000) -> BiGru:
     """Train on about ``docs_per_class`` labelled documents of either class
     (chosen by a hash of the id, none held out), at most ``max_chars``
-    characters of each; the sample is collected to the driver, at most 50 MB."""
+    characters of each.  The sample, at most 30 MB, is trained on in one task,
+    which Spark runs again if its executor is lost; the network comes back."""
     known = labels.filter(F.col(label_col).isin(0, 1) & (crc_mod(id_col, held_mod) != held_rest)) \
         .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, docs_per_class / max(1, n.get(1, 0))).otherwise(docs_per_class / max(1, n.get(0, 0)))
     some = known.filter(unit < share).groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), 1, max_chars).alias("t")) \
-        .join(F.broadcast(some), "id").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r["id"])
-    return train([r["t"] or "" for r in rows], np.array([r["y"] for r in rows], np.int64))
+    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), 1, max_chars).alias("t")) \
+        .join(F.broadcast(some), "id").dropDuplicates(["id"])
+
+    def task(batches):
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "y", "t")))),
+                      key=lambda r: r[0])
+        net = train([t or "" for _, _, t in rows], np.array([y for _, y, _ in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    got = sample.coalesce(1).mapInArrow(task, "net binary").first()
+    return pickle.loads(got["net"]) if got else train([], np.zeros(0, np.int64))
 
 
 _SCORERS: dict[int, Scorer] = {}
