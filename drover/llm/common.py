@@ -90,13 +90,15 @@ def text_slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[
         yield begin, out
 
 
-def reduced(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, cells: int = 1 << 20) -> DataFrame:
+def reduced(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, cells: int = 1 << 20,
+            how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key can be among the wanted ones: keys are hashed to
     ``cells`` cells and the wanted cells broadcast, at most ``cells`` numbers
-    (8 MB).  A join on the key itself must follow; this only spares it rows."""
+    (8 MB).  A join on the key itself must follow; this only spares it rows
+    (with ``left_anti``: the rows whose key is surely not among them)."""
     some = wanted.select(F.pmod(F.xxhash64(wanted_key, F.lit(5)), F.lit(cells)).alias("_cell")).distinct()
     return df.withColumn("_cell", F.pmod(F.xxhash64(key, F.lit(5)), F.lit(cells))) \
-        .join(F.broadcast(some), "_cell", "left_semi").drop("_cell")
+        .join(F.broadcast(some), "_cell", how).drop("_cell")
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

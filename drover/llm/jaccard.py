@@ -306,14 +306,19 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
                          text_col: str = "text") -> DataFrame:
     """One document of each class of ``similarity_join`` stays, the one with the
     smallest id; texts without a word all stay.  Columns unchanged."""
-    joined = similarity_join(docs, similarity, words, id_col=id_col, text_col=text_col)
-    heads = keep(joined.filter("kept is not null").groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
+    joined = keep(similarity_join(docs, similarity, words, id_col=id_col, text_col=text_col)
+                  .select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "kept"), "join-kept")
+    heads = keep(joined.filter("kept is not null").groupBy("_id", "_key")
                  .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")), "join-heads")
-    rows = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`"))).join(
-        heads, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    # texts none of which is dropped or repeated pass without a shuffle
+    doubt = joined.filter("kept is null").select("_key").unionByName(
+        heads.filter("_kept = 'head' and _rows > 1").select("_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`")))
+    key = F.col("_text_key")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = reduced(keyed, key, doubt, F.col("_key"), how="left_anti").select(*columns)
+    rows = reduced(keyed, key, doubt, F.col("_key")).join(
+        heads, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
     single = (F.col("_kept") == "alone") | (F.col("_rows") == 1)
-    if heads.filter("_kept = 'head' and _rows > 1").isEmpty():
-        return rows.select(*columns)
     again = rows.filter(~single).dropDuplicates(["_text_key", id_col])  # rows repeated as a whole
-    return rows.filter(single).select(*columns).unionByName(again.select(*columns))
+    return sure.unionByName(rows.filter(single).select(*columns)).unionByName(again.select(*columns))
