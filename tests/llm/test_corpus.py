@@ -163,13 +163,13 @@ def test_phrases_equal_a_plain_parse():
             whole = np.r_[p.alphabet.symbols(sample[0])[0], langid.BREAK].tobytes()
             count = 0
             for a in range(0, len(s), langid.SEGMENT):
-                part, at = s[a:a + langid.SEGMENT].tobytes(), 0
-                while at < len(part):
-                    n = 1
-                    while n < langid.LONGEST and at + n < len(part) and part[at:at + n + 1] in whole:
-                        n += 1
-                    at += n
-                    count += 1
+                phrase, count = b"", count + 1
+                for c in s[a:a + langid.SEGMENT]:
+                    c = bytes([c])
+                    if len(phrase) < langid.LONGEST and phrase + c in whole:
+                        phrase += c
+                    else:  # a symbol the sample lacks goes with the next phrase
+                        phrase, count = c if c in whole else b"", count + 1
             assert total[0, lang] == count, (text, lang)
 
 
