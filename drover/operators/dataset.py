@@ -1,11 +1,9 @@
 """Ordering, slicing and the deterministic train/validation split.
 
 Global positions are computed without a single-partition window: rows are
-bucketed by value range (boundaries sampled once and embedded as literals, so
-every branch and every re-execution agrees), numbered inside each bucket, and
-each bucket's offset comes from a table with one row per bucket (a proven size
-bound, broadcast).  Top-N selections use ``orderBy().limit()`` which Spark
-plans as a distributed TakeOrdered.
+dealt over value ranges by one range exchange, written once to the shared folder,
+numbered inside each range, and shifted by the sizes of the earlier ranges (a
+table with one row per range, broadcast).
 """
 
 from __future__ import annotations
@@ -25,87 +23,63 @@ DEFAULT_EVAL_COUNT = 100
 # ---------------------------------------------------------------------------
 
 
-SAMPLES_PER_BUCKET = 16
-# Top-N selections (validation set, slices) up to this many rows use a
-# distributed TakeOrdered; larger ones use the bucketed global order.
-MAX_TAKE_ORDERED = 100_000
-# Upper bound on value-range buckets: keeps the driver-side sample at 16k key
-# tuples and the bucket expression at a depth-10 binary search.
-MAX_BUCKETS = 1024
-
-
-def _tuple_ge(cols: list, values: tuple) -> Column:
-    """Lexicographic ``(cols) >= values`` (no struct comparison needed)."""
-    out = F.lit(True)
-    for c, v in reversed(list(zip(cols, values))):
-        out = (c > F.lit(v)) | ((c == F.lit(v)) & out)
-    return out
-
-
-def _bucket_expr(cols: list, bounds: list) -> Column:
-    """Number of boundaries at or below the row's key tuple, by binary search
-    over boundaries sorted once on the driver (depth log2 of their count)."""
-    def search(lo: int, hi: int) -> Column:  # answer lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2  # is tuple >= bounds[mid - 1] ?
-        return F.when(_tuple_ge(cols, bounds[mid - 1]), search(mid, hi)).otherwise(search(lo, mid - 1))
-    return search(0, len(bounds))
-
-
-def value_buckets(df: DataFrame, order_cols: list, num_buckets: int | None = None,
-                  seed: int = 17) -> Column:
-    """A deterministic range bucket for every row: boundaries are taken once
-    from a bounded random sample of the key tuples (collected to the driver,
-    ``num_buckets * 16`` rows at most) and embedded as literals.  Because the
-    bucket is a function of the row's own values, every branch of a plan (and
-    every re-execution after a lost executor) assigns the same bucket, which
-    ``repartitionByRange`` does not guarantee when the input order varies."""
+def _ranged(df: DataFrame, order: list, name: str, num_partitions: int | None) -> DataFrame:
+    """The rows dealt over value ranges of ``order``, written once into the shared
+    folder with the number of their range in ``_pid``.  Ranges are sampled by the
+    exchange itself; writing them fixes the choice, so that every later read (and
+    every re-execution after a lost executor) sees the same ranges.  There are as
+    many as shuffle partitions, which follow the size of the data."""
+    from drover.session import shared_path
     spark = df.sparkSession
-    n = min(MAX_BUCKETS, num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    sample = [tuple(r) for r in df.select(*cols).orderBy(F.rand(seed)).limit(n * SAMPLES_PER_BUCKET).collect()]
-    sample = sorted(t for t in sample if None not in t)
-    step = max(1, len(sample) // n)
-    bounds = sorted(set(sample[step::step]))[: n - 1]
-    return _bucket_expr(cols, bounds)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, name)
+    out = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def global_index(df: DataFrame, order_cols: list, name: str = "idx",
-                 num_partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in the order of ``order_cols`` (which must
-    be unique and non-null).  Rows are bucketed by value range, numbered inside
-    their bucket, and shifted by the sizes of the earlier buckets (a table with
-    one row per bucket, broadcast)."""
+                 num_partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """1-based position of every row in the order of ``order_cols`` (which should
+    be unique; nulls come first).  Rows are numbered inside their value range and
+    shifted by the sizes of the earlier ranges (one row per range, broadcast).
+    ``total`` names a column for the number of rows."""
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    b = df.withColumn("_pid", value_buckets(df, order_cols, num_partitions))
+    b = _ranged(df, order, "global-index", num_partitions)
     numbered = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket: the running total over buckets is tiny
+    # one row per range: the running total over ranges is tiny
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", "_off")
-    return (numbered.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_rn")).cast("bigint"))
-            .drop("_pid", "_rn", "_off"))
+    whole = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))) \
+        .withColumn("_all", F.sum("_n").over(whole)).select("_pid", "_off", "_all")
+    out = numbered.join(F.broadcast(offsets), "_pid") \
+        .withColumn(name, (F.col("_off") + F.col("_rn")).cast("bigint"))
+    if total:
+        out = out.withColumn(total, F.col("_all"))
+    return out.drop("_pid", "_rn", "_off", "_all")
 
 
 def keyed_prefix_sum(df: DataFrame, key: str, order_cols: list, value, out: str,
                      inclusive: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``order_cols`` order that stays
-    balanced when one key holds a large share of the rows: rows are bucketed by
-    (key, order) value ranges so a hot key spans several buckets, summed
-    locally per (bucket, key), and shifted by the totals of the key's earlier
-    buckets (a table of about one row per key and bucket)."""
+    balanced when one key holds a large share of the rows: rows are dealt over
+    (key, order) value ranges so a hot key spans several of them, summed locally
+    per (range, key), and shifted by the totals of the key's earlier ranges (a
+    table of about one row per key and range).  Rows with a null key are kept,
+    as one key."""
     v = F.col(value) if isinstance(value, str) else value
-    b = df.withColumn("_v", v).withColumn("_pid", value_buckets(df, [key] + list(order_cols), num_partitions))
+    order = [F.col(key), *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
+    b = _ranged(df.withColumn("_v", v), order, "prefix-sum", num_partitions)
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     local = b.withColumn("_loc", F.coalesce(
         F.sum("_v").over(Window.partitionBy("_pid", key).orderBy(*order_cols).rowsBetween(*frame)), F.lit(0)))
     totals = b.groupBy("_pid", key).agg(F.sum("_v").alias("_tot"))
     bases = totals.withColumn("_base", F.coalesce(F.sum("_tot").over(
         Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(bases.select("_pid", key, "_base"), ["_pid", key]) \
-        .withColumn(out, F.col("_base") + F.col("_loc")).drop("_pid", "_v", "_loc", "_base")
+    bases = bases.select(F.col("_pid").alias("_bp"), F.col(key).alias("_bk"), "_base")
+    return local.join(bases, (F.col("_pid") == F.col("_bp")) & F.col(key).eqNullSafe(F.col("_bk"))) \
+        .withColumn(out, F.col("_base") + F.col("_loc")).drop("_pid", "_v", "_loc", "_base", "_bp", "_bk")
 
 
 # O1 --------------------------------------------------------------------------
@@ -122,16 +96,11 @@ def assign_batches(df: DataFrame, batch_size: int, key: str = "task_id") -> Data
 
 
 # W2 --------------------------------------------------------------------------
-def slice_tasks(df: DataFrame, start_at: int, num_tasks: int, key: str = "task_id",
-                max_take: int | None = None) -> DataFrame:
-    """Rows ``[start_at, start_at + num_tasks)`` of the id-sorted table.  A
-    slice that ends within ``max_take`` rows is a distributed TakeOrdered
-    (``orderBy().offset().limit()``); a deeper one uses the bucketed order."""
-    bound = MAX_TAKE_ORDERED if max_take is None else max_take
-    if start_at + num_tasks <= bound:
-        return df.orderBy(F.col(key)).offset(int(start_at)).limit(int(num_tasks))
+def slice_tasks(df: DataFrame, start_at: int, num_tasks: int, key: str = "task_id") -> DataFrame:
+    """Rows ``[start_at, start_at + num_tasks)`` of the id-sorted table, sorted."""
     idx = global_index(df, [key], "_idx")
-    return idx.filter((F.col("_idx") > start_at) & (F.col("_idx") <= start_at + num_tasks)).drop("_idx")
+    return idx.filter((F.col("_idx") > start_at) & (F.col("_idx") <= start_at + num_tasks)) \
+        .orderBy("_idx").drop("_idx")
 
 
 # O2 --------------------------------------------------------------------------
@@ -152,23 +121,14 @@ def seeded_shuffle(df: DataFrame, key: str = "task_id", seed: int = DEFAULT_SEED
 
 def train_val_split(tasks: DataFrame, eval_count: int = DEFAULT_EVAL_COUNT,
                     seed: int = DEFAULT_SEED, key: str = "task_id",
-                    failed: DataFrame | None = None, max_take: int = MAX_TAKE_ORDERED) -> DataFrame:
+                    failed: DataFrame | None = None) -> DataFrame:
     """The last ``eval_count`` positions of the seeded order are validation,
     the rest train.  Positions are fixed *before* failed builds are removed, so
-    validation can come out smaller than ``eval_count``."""
-    keyed = tasks.withColumn("_sk", shuffle_key(key, seed))
-    if eval_count <= max_take:
-        # distributed TakeOrdered of eval_count rows (a bound checked above)
-        val = keyed.orderBy(F.col("_sk").desc(), F.col(key).desc()).limit(int(eval_count)) \
-            .select(key, F.lit(True).alias("_val"))
-        out = keyed.join(F.broadcast(val), key, "left") \
-            .withColumn("split", F.when(F.col("_val"), F.lit("validation")).otherwise(F.lit("train"))) \
-            .drop("_sk", "_val")
-    else:
-        total = tasks.count()
-        ranked = global_index(keyed, ["_sk", key], "_pos")
-        out = ranked.withColumn("split", F.when(F.col("_pos") > total - eval_count, F.lit("validation"))
-                                .otherwise(F.lit("train"))).drop("_sk", "_pos")
+    validation can come out smaller than ``eval_count``.  Further columns of
+    ``tasks`` are carried along, so that nothing need be joined back."""
+    ranked = global_index(tasks.withColumn("_sk", shuffle_key(key, seed)), ["_sk", key], "_pos", total="_all_rows")
+    out = ranked.withColumn("split", F.when(F.col("_pos") > F.col("_all_rows") - int(eval_count), F.lit("validation"))
+                            .otherwise(F.lit("train"))).drop("_sk", "_pos", "_all_rows")
     if failed is not None:
         out = anti_join_failed_builds(out, failed, key)
     return out

@@ -118,14 +118,16 @@ def _kind(v: Column, path: str) -> Column:
 
 def parse_decisions(df: DataFrame, text: str = "json") -> DataFrame:
     """Strict decision objects: only the keys type/command/timeout_sec, type one
-    of command/done/invalid, command a string or null, timeout a number or null
-    (absent -> 180).  Anything else is rejected."""
+    of command/done/invalid, command a string or null, timeout a number, a string
+    that holds one, or null (absent -> 180).  Anything else is rejected."""
     v = F.try_parse_json(F.col(text))
     keys = F.json_object_keys(F.col(text))
     t_kind, c_kind, s_kind = _kind(v, "$.type"), _kind(v, "$.command"), _kind(v, "$.timeout_sec")
     has = lambda k: F.array_contains(keys, k)
     is_num = s_kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$")
     typ = F.try_variant_get(v, "$.type", "string")
+    told = F.trim(F.try_variant_get(v, "$.timeout_sec", "string"))
+    is_num = is_num | ((s_kind == "STRING") & told.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"))
     valid = (keys.isNotNull()
              & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in DECISION_KEYS]))) == 0)
              & has("type") & (t_kind == "STRING") & typ.isin(*DECISION_TYPES)
@@ -133,7 +135,7 @@ def parse_decisions(df: DataFrame, text: str = "json") -> DataFrame:
              & (~has("timeout_sec") | is_num | (s_kind == "VOID")))
     valid = F.coalesce(valid, F.lit(False))
     timeout = F.when(~has("timeout_sec"), F.lit(T.DECISION_DEFAULT_TIMEOUT)) \
-        .otherwise(F.try_variant_get(v, "$.timeout_sec", "double"))
+        .otherwise(told.try_cast("double"))
     return (df.withColumn("valid", valid)
             .withColumn("type", F.when(valid, typ))
             .withColumn("command", F.when(valid, F.try_variant_get(v, "$.command", "string")))
@@ -141,11 +143,6 @@ def parse_decisions(df: DataFrame, text: str = "json") -> DataFrame:
 
 
 # R13 / F27 / P7 ------------------------------------------------------------------------------
-# Dimensions up to this many distinct values are inlined as an array literal
-# (their size is counted first); larger ones are joined on the picked index.
-MAX_INLINE_DIMENSION = 10_000
-
-
 def dimension(values: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
     """Distinct values of a dimension numbered 0..n-1 in sorted order."""
     from drover.operators.dataset import global_index
@@ -159,27 +156,17 @@ def _pick_index(seed: int, key: str, name: str, n: int) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % F.lit(n)
 
 
-def sample_prompts(requests: DataFrame, dims: dict, seed: int = 42, key: str = "request_id",
-                   max_inline: int = MAX_INLINE_DIMENSION) -> DataFrame:
+def sample_prompts(requests: DataFrame, dims: dict, seed: int = 42, key: str = "request_id") -> DataFrame:
     """One generation request per row: an independent, uniform, seeded pick from
     every dimension (``dims``: name -> (table, column)), rendered into the
-    request sentence.  A dimension whose distinct count is within ``max_inline``
-    becomes an array literal (a projection, no join); a larger one is numbered
-    and joined on the picked index."""
+    request sentence.  Each dimension's distinct values are numbered in sorted
+    order and joined on the picked number (AQE broadcasts the small ones)."""
     out = requests
     for name, (tbl, col) in dims.items():
-        distinct = tbl.select(F.col(col).alias(name)).filter(F.col(name).isNotNull()).distinct()
-        # one bounded action: at most max_inline + 1 values reach the driver
-        head = [r[0] for r in distinct.limit(max_inline + 1).collect()]
-        if not head:
+        d, n = dimension(tbl, col, name)
+        if not n:
             raise ValueError(f"dimension {name} is empty")
-        if len(head) <= max_inline:
-            values = sorted(head)
-            out = out.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]),
-                                                    (_pick_index(seed, key, name, len(values)) + 1).cast("int")))
-        else:
-            d, n = dimension(tbl, col, name)
-            out = out.withColumn(f"{name}_idx", _pick_index(seed, key, name, n)) \
-                .join(d, f"{name}_idx", "inner").drop(f"{name}_idx")
+        out = out.withColumn(f"{name}_idx", _pick_index(seed, key, name, n)) \
+            .join(d, f"{name}_idx", "inner").drop(f"{name}_idx")
     fields = {n: n for n in dims}
     return out.withColumn("prompt", C.render_template(PROMPT_SENTENCE, **fields))

@@ -18,9 +18,10 @@ def _b(c: str):
 
 # P5 / A7 -------------------------------------------------------------------------
 def filter_failed_results(results: DataFrame, success: str = "success") -> DataFrame:
-    """``success`` false.  A missing or null flag counts as success (a typed read
-    cannot tell the two apart; the reference treats only missing that way)."""
-    return results.filter(~F.coalesce(F.col(success), F.lit(True)))
+    """``success`` false or null: a flag that is there without a value is a
+    failure, as it is in the funnel.  Readers of JSON reports, where a missing
+    key counts as success, fill it in when they read."""
+    return results.filter(~F.coalesce(F.col(success), F.lit(False)))
 
 
 def distinct_failed_tasks(results: DataFrame, key: str = "task_id") -> DataFrame:

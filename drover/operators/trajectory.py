@@ -41,28 +41,43 @@ def pass_at_k_value(n, c, k) -> Column:
 K_CHUNK = 1024
 
 
+def _pass_at_k_run(n: Column, c: Column, first: Column, last: Column) -> Column:
+    """pass@k for k = first..last as one array: the failure probability of the
+    first k is one product, each further one the last times (n-c-k+1)/(n-k+1)."""
+    fail = F.lit(1.0) - pass_at_k_value(n, c, first)
+    more = F.when(last > first, F.sequence(first + 1, last)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(fail.alias("p"), F.array(fail).alias("all"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * F.greatest(n - c - k + 1, F.lit(0)) / (n - k + 1)
+        return F.struct(p.alias("p"), F.concat(acc["all"], F.array(p)).alias("all"))
+
+    run = F.aggregate(more, start, step, lambda acc: acc["all"])
+    return F.transform(run, lambda p: F.when(c <= 0, F.lit(0.0)).otherwise(F.lit(1.0) - p))
+
+
 def pass_at_k(rollup: DataFrame, ks: list[int] | None = None, n: str = "num_runs",
               c: str = "num_success", skew_safe: bool = False) -> DataFrame:
     """Long form ``(…, k, pass_at_k)`` for every k in 1..n (or only ``ks`` that
-    exist for the task, like the keys of a run summary).  ``skew_safe`` splits
-    each task's k range into chunks of 1024 and spreads the (task, chunk) rows
-    over all shuffle partitions before expanding them, so a task with a huge
-    number of attempts is computed by many tasks."""
+    exist for the task, like the keys of a run summary).  A task's k range is
+    cut into chunks of 1024, each a running product, so the work is linear in
+    n.  ``skew_safe`` also spreads the (task, chunk) rows over all shuffle
+    partitions, so a task with a huge number of attempts is computed by many."""
     if ks is not None:
         out = rollup.withColumn("k", F.explode(F.array(*[F.lit(x) for x in ks]))) \
             .filter(F.col("k") <= F.col(n))
-    elif skew_safe:
+        return out.withColumn("pass_at_k", pass_at_k_value(n, c, "k"))
+    chunks = rollup.filter(F.col(n) >= 1).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / K_CHUNK).cast("int"))))
+    if skew_safe:
         parts = int(rollup.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keys = [x for x in rollup.columns if x not in (n, c)]
-        chunks = rollup.filter(F.col(n) >= 1).withColumn(
-            "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / K_CHUNK).cast("int"))))
-        spread = chunks.repartition(parts, *keys, "_chunk")  # explicit count: not coalesced away
-        out = spread.withColumn("k", F.explode(F.sequence(
-            F.col("_chunk") * K_CHUNK + 1, F.least(F.col(n), (F.col("_chunk") + 1) * K_CHUNK)))).drop("_chunk")
-    else:
-        k = F.explode(F.sequence(F.lit(1), F.greatest(F.col(n), F.lit(1))))
-        out = rollup.filter(F.col(n) >= 1).withColumn("k", k)
-    return out.withColumn("pass_at_k", pass_at_k_value(n, c, "k"))
+        chunks = chunks.repartition(parts, *keys, "_chunk")  # explicit count: not coalesced away
+    first = (F.col("_chunk") * K_CHUNK + 1).cast("int")
+    last = F.least(F.col(n), (F.col("_chunk") + 1) * K_CHUNK).cast("int")
+    run = _pass_at_k_run(F.col(n), F.col(c), first, last)
+    return chunks.select(*rollup.columns, first.alias("_first"), F.posexplode(run).alias("_at", "pass_at_k")) \
+        .select(*rollup.columns, (F.col("_first") + F.col("_at")).alias("k"), "pass_at_k")
 
 
 # R4 / F6 / F19 ---------------------------------------------------------------
@@ -122,7 +137,8 @@ def truncate_at_done(turns: DataFrame, max_actions: int = 16, run: str = "run_id
                      seq: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
     """Cut each attempt at its first ``done`` reply or after ``max_actions``
     replies.  The done reply is the last row kept; at the action limit the last
-    reply's observation is still kept (it was executed)."""
+    reply's observation is still kept (it was executed).  ``ended_by`` is done,
+    max_actions, or incomplete for an attempt that reached neither."""
     numbered = number_turns(turns, run, seq, role)
     is_done = (F.col(role) == "assistant") & (T.action_type(content) == "done")
     whole = Window.partitionBy(run)
@@ -130,8 +146,9 @@ def truncate_at_done(turns: DataFrame, max_actions: int = 16, run: str = "run_id
     out = (numbered.withColumn("first_done", first_done)
            .withColumn("cut", F.least(F.coalesce(F.col("first_done"), F.lit(max_actions)), F.lit(max_actions)))
            .withColumn("ended_by", F.when(F.col("first_done") <= max_actions, F.lit("done"))
-                       .otherwise(F.lit("max_actions"))))
-    at_cut_kept = (F.col(role) == "assistant") | (F.col("ended_by") == "max_actions")
+                       .when(F.max("turn_no").over(whole) >= max_actions, F.lit("max_actions"))
+                       .otherwise(F.lit("incomplete"))))
+    at_cut_kept = (F.col(role) == "assistant") | (F.col("ended_by") != "done")
     keep = (F.col("turn_no") < F.col("cut")) | ((F.col("turn_no") == F.col("cut")) & at_cut_kept)
     return out.filter(keep).drop("first_done")
 
@@ -140,15 +157,17 @@ def truncate_at_done(turns: DataFrame, max_actions: int = 16, run: str = "run_id
 def active_per_turn(turns: DataFrame, max_actions: int = 16, run: str = "run_id",
                     seq: str = "turn", role: str = "role", content: str = "content") -> DataFrame:
     """Survivor curve: attempts still running after each turn (an attempt stops
-    being active on the turn of its done reply or at the action limit)."""
+    being active on the turn of its done reply or at the action limit; one that
+    reached neither is still active after its last turn)."""
     kept = truncate_at_done(turns, max_actions, run, seq, role, content)
     ends = kept.filter(F.col(role) == "assistant").groupBy(run).agg(
         F.max("turn_no").alias("last_turn"), F.max("ended_by").alias("ended_by"))
-    # an attempt is active after turn t when t < last_turn (cut by done or limit)
+    # an attempt is active after turn t when t < last_turn, or when nothing ended it
     per_turn = ends.withColumn("turn_no", F.explode(F.sequence(F.lit(1), F.col("last_turn"))))
     return per_turn.groupBy("turn_no").agg(
         F.count(F.lit(1)).alias("n_started"),
-        F.count_if(F.col("turn_no") < F.col("last_turn")).alias("n_active_after"))
+        F.count_if((F.col("turn_no") < F.col("last_turn")) | (F.col("ended_by") == "incomplete"))
+        .alias("n_active_after"))
 
 
 # J7 --------------------------------------------------------------------------
@@ -329,4 +348,5 @@ def filter_solved_tasks(summaries: DataFrame, k: int = 16, strict: bool = False,
     if strict:
         # the check is part of a predicate, so it cannot be pruned away
         s = s.filter(F.assert_true(F.col(n) >= k, F.lit(f"run summary without pass@{k}")).isNull())
-    return pass_at_k(s, ks=[k], n=n, c=c).filter(F.col("pass_at_k") > 0)
+    # pass@k > 0 exactly when some attempt succeeded
+    return pass_at_k(s.filter((F.col(c) > 0) & (F.col(n) >= k)), ks=[k], n=n, c=c)

@@ -251,7 +251,7 @@ def q_union_reports(spark, sf):
 
 
 @register("distinct_failed_tasks", with_views(f"""
-SELECT DISTINCT task_id FROM ({_REPORTS_SQL}) r WHERE NOT coalesce(success, true)
+SELECT DISTINCT task_id FROM ({_REPORTS_SQL}) r WHERE NOT coalesce(success, false)
 """, "conversion_results"), ("A7",))
 def q_distinct_failed_tasks(spark, sf):
     from drover.operators.funnel import distinct_failed_tasks

@@ -48,7 +48,8 @@ FROM documents
 
 VIEWS["responses"] = """\
 SELECT conv_id AS run_id, turn, role,
-       CASE WHEN role <> 'assistant' THEN text ELSE
+       CASE WHEN role = 'user' AND conv_id % 29 = 3 THEN repeat(text, cast(floor(60000.0 / (length(text) + 1)) AS int) + 1)
+            WHEN role <> 'assistant' THEN text ELSE
          CASE (conv_id * 7 + turn) % 6
            WHEN 0 THEN concat('<think>ok</think><command> ls ', cast(turn AS varchar(20)), ' </command>')
            WHEN 1 THEN concat('<command>a</command> x <COMMAND>', chr(10), 'cat f', cast(conv_id AS varchar(20)), '</COMMAND>')
@@ -105,7 +106,8 @@ FROM orders
 """
 
 VIEWS["terminal_output"] = """\
-SELECT page_id, concat(chr(27), '[31m', html, chr(27), '[0m', chr(13), chr(10),
+SELECT page_id, concat(chr(27), '[31m',
+       CASE WHEN page_id % 25 = 3 THEN repeat(html, cast(floor(60000.0 / (length(html) + 1)) AS int) + 1) ELSE html END, chr(27), '[0m', chr(13), chr(10),
        'bash: no job control in this shell', chr(10), chr(10), chr(10), chr(10), 'WARNING: TERM environment variable not set x', chr(10), 'end  ') AS output
 FROM pages
 """
@@ -130,10 +132,11 @@ FROM events
 """
 
 VIEWS["decisions"] = """\
-SELECT event_id, CASE event_id % 4
-         WHEN 0 THEN concat('{"type":"command","command":"ls ', cast(user_id AS varchar(20)), '"}')
-         WHEN 1 THEN '{"type":"done","timeout_sec":5}'
-         WHEN 2 THEN '{"type":"command","command":"x","extra":1}'
+SELECT event_id, CASE WHEN event_id % 28 = 5 THEN '{"type":"done","timeout_sec":" 7.5 "}'
+         WHEN event_id % 28 = 9 THEN '{"type":"done","timeout_sec":"soon"}'
+         WHEN event_id % 4 = 0 THEN concat('{"type":"command","command":"ls ', cast(user_id AS varchar(20)), '"}')
+         WHEN event_id % 4 = 1 THEN '{"type":"done","timeout_sec":5}'
+         WHEN event_id % 4 = 2 THEN '{"type":"command","command":"x","extra":1}'
          ELSE props END AS json
 FROM events
 """

@@ -41,7 +41,7 @@ def q_stage_funnel(spark, sf):
 
 
 @register("filter_failed_results", with_views("""
-SELECT task_id FROM conversion_results WHERE NOT coalesce(success, true)
+SELECT task_id FROM conversion_results WHERE NOT coalesce(success, false)
 """, "conversion_results"), ("P5",))
 def q_filter_failed_results(spark, sf):
     return FU.filter_failed_results(view(spark, sf, "conversion_results")).select("task_id")

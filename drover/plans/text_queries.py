@@ -75,7 +75,7 @@ def q_extract_definitions(spark, sf):
     return X.extract_definitions(view(spark, sf, "code_replies")).select("request_id", "def_text", "dockerfile")
 
 
-_CLEAN_LIMIT = 120
+_CLEAN_LIMIT = T.MAX_OUTPUT_LENGTH
 
 
 @register("clean_transcripts", with_views(f"""
@@ -137,7 +137,9 @@ _DEC_VALID = """(json_valid(json) AND json_type(json) = 'OBJECT'
   AND json_extract_string(json, '$.type') IN ('command', 'done', 'invalid')
   AND (NOT list_contains(json_keys(json), 'command') OR json_type(json, '$.command') IN ('VARCHAR', 'NULL'))
   AND (NOT list_contains(json_keys(json), 'timeout_sec')
-       OR json_type(json, '$.timeout_sec') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'NULL')))"""
+       OR json_type(json, '$.timeout_sec') IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'NULL')
+       OR (json_type(json, '$.timeout_sec') = 'VARCHAR' AND regexp_full_match(
+           trim(json_extract_string(json, '$.timeout_sec')), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))))"""
 
 
 @register("parse_decisions", with_views(f"""
@@ -145,7 +147,7 @@ SELECT event_id, coalesce({_DEC_VALID}, false) AS valid,
        CASE WHEN {_DEC_VALID} THEN json_extract_string(json, '$.type') END AS type,
        CASE WHEN {_DEC_VALID} THEN json_extract_string(json, '$.command') END AS command,
        CASE WHEN {_DEC_VALID} THEN (CASE WHEN NOT list_contains(json_keys(json), 'timeout_sec') THEN 180.0
-            ELSE TRY_CAST(json_extract_string(json, '$.timeout_sec') AS DOUBLE) END) END AS timeout_sec
+            ELSE TRY_CAST(trim(json_extract_string(json, '$.timeout_sec')) AS DOUBLE) END) END AS timeout_sec
 FROM decisions
 """, "decisions"), ("R12", "F24"))
 def q_parse_decisions(spark, sf):

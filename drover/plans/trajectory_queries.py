@@ -107,10 +107,12 @@ cut AS (
   SELECT *, min(CASE WHEN is_done THEN turn_no END) OVER (PARTITION BY run_id) AS first_done FROM numbered),
 marked AS (
   SELECT *, least(coalesce(first_done, {{m}}), {{m}}) AS cut,
-         CASE WHEN first_done <= {{m}} THEN 'done' ELSE 'max_actions' END AS ended_by FROM cut),
+         CASE WHEN first_done <= {{m}} THEN 'done'
+              WHEN max(turn_no) OVER (PARTITION BY run_id) >= {{m}} THEN 'max_actions'
+              ELSE 'incomplete' END AS ended_by FROM cut),
 kept AS (
   SELECT * FROM marked
-  WHERE turn_no < cut OR (turn_no = cut AND (role = 'assistant' OR ended_by = 'max_actions')))
+  WHERE turn_no < cut OR (turn_no = cut AND (role = 'assistant' OR ended_by <> 'done')))
 """
 
 
@@ -130,9 +132,10 @@ def q_truncate_at_done(spark, sf):
 # --- X3 ----------------------------------------------------------------------------
 @register("active_minus_done", with_views(f"""
 , {_w6(16)},
-ends AS (SELECT run_id, max(turn_no) AS last_turn FROM kept WHERE role = 'assistant' GROUP BY run_id)
+ends AS (SELECT run_id, max(turn_no) AS last_turn, max(ended_by) AS ended_by
+         FROM kept WHERE role = 'assistant' GROUP BY run_id)
 SELECT CAST(t AS INTEGER) AS turn_no, count(*) AS n_started,
-       count(*) FILTER (WHERE t < last_turn) AS n_active_after
+       count(*) FILTER (WHERE t < last_turn OR ended_by = 'incomplete') AS n_active_after
 FROM ends, LATERAL (SELECT unnest(range(1, last_turn + 1)) AS t) x
 GROUP BY t
 """.replace("\n, ", ", ", 1), "responses"), ("X3",))
@@ -269,7 +272,7 @@ def q_wallclock_cutoff(spark, sf):
 
 
 # --- R6 / F10 / F11 -----------------------------------------------------------------
-_OBS_LIMIT = 120
+_OBS_LIMIT = T.MAX_OUTPUT_LENGTH
 
 
 @register("format_observations", with_views(f"""

@@ -25,14 +25,13 @@ MB = 1 << 20
 
 
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * MB,
-               min_partitions: int = 200, max_partitions: int = 200_000) -> dict:
+               min_partitions: int = 200) -> dict:
     """Partition sizing for a job reading ``input_bytes``: shuffle partitions
     so each holds about ``target_partition_bytes`` (AQE coalesces small ones
     and splits skewed ones at runtime), file splits of the same size, and skew
-    thresholds a few times the target.  At 100 TB this gives ~400k partitions
-    capped to ``max_partitions`` (~512 MB each), which fit executor memory
-    with sort-based spill."""
-    parts = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    thresholds a few times the target.  At 100 TB this gives ~400k partitions;
+    a larger target gives fewer."""
+    parts = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
@@ -82,6 +81,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # not set at all
             configured = None
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="drover-ckpt-")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")

@@ -3,9 +3,10 @@
 State per session holds only the unfinished tail (text after the last
 complete marker line), out-of-order chunks waiting for a gap to fill, and a
 record counter.  A chunk completes every marker line it terminates; each
-complete marker line emits one record.  With a command timeout, a session
-whose command produced no marker within the limit emits a failure record with
-the first 500 characters of its partial output and drops that (stale) text.
+complete marker line emits one record.  With a command timeout, a command has
+one deadline, counted from its first output: without a marker by then it emits a
+failure record with the first 500 characters of what had come, and the rest of
+its output is dropped up to and including its marker line.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from drover.functions import text as T
 
 OUTPUT_SCHEMA = "session_id BIGINT, record_no BIGINT, output STRING, exit_code INT, timed_out BOOLEAN"
-STATE_SCHEMA = ("next_seq BIGINT, tail STRING, record_no BIGINT, started_ms BIGINT, "
+STATE_SCHEMA = ("next_seq BIGINT, tail STRING, record_no BIGINT, started_ms BIGINT, late BOOLEAN, "
                 "p_seq ARRAY<BIGINT>, p_chunk ARRAY<STRING>")
 
 _MARKER = re.compile(T.MARKER_RE)
@@ -55,44 +56,50 @@ def split_records(tail: str):
     return records, "\n".join(lines[start:])
 
 
+def _record(session, rec: int, body: str, code, timed_out: bool) -> dict:
+    return {"session_id": session, "record_no": rec, "output": body, "exit_code": code, "timed_out": timed_out}
+
+
 def _framing_fn(timeout_ms: int | None, first_seq: int):
     def step(key, pdfs, state):
         (session,) = key
-        if state.hasTimedOut:
-            nxt, tail, rec, _, ps, pc = state.get
-            if tail:
-                yield pd.DataFrame([{"session_id": session, "record_no": rec, "output": tail[:T.ERROR_TEXT_LIMIT],
-                                     "exit_code": None, "timed_out": True}])
-                rec += 1
-            state.update((nxt, "", rec, None, ps, pc))
-            return
+        now = state.getCurrentProcessingTimeMs()
         if state.exists:
-            nxt, tail, rec, started, ps, pc = state.get
+            nxt, tail, rec, started, late, ps, pc = state.get
             pending = dict(zip(ps or [], pc or []))
         else:
-            nxt, tail, rec, started, pending = first_seq, "", 0, None, {}
+            nxt, tail, rec, started, late, pending = first_seq, "", 0, None, False, {}
+        out = []
+        if timeout_ms is not None and started is not None and not late and now >= started + timeout_ms:
+            out.append(_record(session, rec, tail[:T.ERROR_TEXT_LIMIT], None, True))
+            rec, late = rec + 1, True
         for pdf in pdfs:
             for s, c in zip(pdf["seq"], pdf["chunk"]):
                 pending[int(s)] = "" if c is None else c
-        grew = False
+        new = []
         while nxt in pending:
-            tail += pending.pop(nxt)
+            new.append(pending.pop(nxt))
             nxt += 1
-            grew = True
-        records, tail = split_records(tail)
-        out = []
+        # only the last, unfinished line of what was held can become a marker
+        records, tail = split_records(tail + "".join(new))
         for body, code in records:
-            out.append({"session_id": session, "record_no": rec, "output": body, "exit_code": code,
-                        "timed_out": False})
+            if late:  # the rest of a command that was given up
+                late = False
+                continue
+            out.append(_record(session, rec, body, code, False))
             rec += 1
+        if late:
+            tail = tail[tail.rfind("\n") + 1:]  # a marker can only be on the last line
         if records:
             started = None
-        if grew and tail and started is None:
-            started = state.getCurrentProcessingTimeMs()
+        if tail and started is None:
+            started = now
+        elif not tail and not late:
+            started = None
         ks = sorted(pending)
-        state.update((nxt, tail, rec, started, ks, [pending[k] for k in ks]))
-        if timeout_ms is not None and tail:
-            state.setTimeoutDuration(timeout_ms)
+        state.update((nxt, tail, rec, started, late, ks, [pending[k] for k in ks]))
+        if timeout_ms is not None and started is not None and not late:
+            state.setTimeoutDuration(max(1, started + timeout_ms - now))  # one deadline per command
         if out:
             yield pd.DataFrame(out)
 

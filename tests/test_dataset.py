@@ -82,28 +82,53 @@ def test_stage_filters(spark):
     assert empty.success_rate == 0.0
 
 
-def test_sample_prompts_inline_equals_join(spark):
+def test_sample_prompts_picks_by_hash(spark):
     from drover.operators.extract import sample_prompts
     reqs = spark.range(300).withColumnRenamed("id", "request_id")
     dims = {"category": (spark.createDataFrame([(f"c{i}",) for i in range(37)], "v string"), "v"),
             "complexity": (spark.createDataFrame([("lo",), ("hi",), ("lo",)], "v string"), "v"),
             "scenario": (spark.createDataFrame([(f"s{i}",) for i in range(5)], "v string"), "v")}
     a = sample_prompts(reqs, dims, 42).select("request_id", "category", "complexity", "scenario", "prompt")
-    b = sample_prompts(reqs, dims, 42, max_inline=0).select(a.columns)
-    assert sorted(a.collect()) == sorted(b.collect())
+    import hashlib
+    values = {"category": sorted(f"c{i}" for i in range(37)), "complexity": ["hi", "lo"],
+              "scenario": [f"s{i}" for i in range(5)]}
+    for r in a.collect():
+        for name, v in values.items():
+            h = hashlib.md5(f"42:{r.request_id}:{name}".encode()).hexdigest()
+            assert r[name] == v[int(h[:8], 16) % len(v)]
     assert a.select("complexity").distinct().count() == 2
 
 
-def test_split_strategies_agree(spark):
-    tasks = spark.createDataFrame([(f"task_{i:05d}",) for i in range(2000)], "task_id string")
+def test_split_equals_a_sorted_list(spark):
+    import hashlib
+    names = [f"task_{i:05d}" for i in range(2000)]
     failed = spark.createDataFrame([("task_00007",), ("task_01234",)], "task_id string")
-    a = {r.task_id: r.split for r in DS.train_val_split(tasks, 300, failed=failed).collect()}
-    b = {r.task_id: r.split for r in DS.train_val_split(tasks, 300, failed=failed, max_take=10).collect()}
-    assert a == b and len(a) == 1998
+    got = {r.task_id: r.split for r in DS.train_val_split(
+        spark.createDataFrame([(n,) for n in names], "task_id string"), 300, failed=failed).collect()}
+    order = sorted(names, key=lambda n: (hashlib.md5(f"42:{n}".encode()).hexdigest(), n))
+    want = {n: "validation" if i >= 1700 else "train" for i, n in enumerate(order)}
+    assert got == {n: s for n, s in want.items() if n not in ("task_00007", "task_01234")}
 
 
-def test_slice_strategies_agree(spark):
+def test_slices_are_sorted_and_exact(spark):
     df = spark.range(0, 3000).select((F.col("id") * 7 % 3000).alias("task_id"))
-    a = sorted(r.task_id for r in DS.slice_tasks(df, 250, 400).collect())
-    b = sorted(r.task_id for r in DS.slice_tasks(df, 250, 400, max_take=10).collect())
-    assert a == b == list(range(250, 650))
+    assert [r.task_id for r in DS.slice_tasks(df, 250, 400).collect()] == list(range(250, 650))
+
+
+def test_global_index_over_many_ranges_with_nulls(spark):
+    df = spark.range(0, 3000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    rows = DS.global_index(df, ["k"], "idx", num_partitions=4096, total="n").collect()
+    assert sorted((-1 if r.k is None else r.k, r.idx, r.n) for r in rows) == \
+        [(-1, 1, 3000)] + [(i, i + 1, 3000) for i in range(1, 3000)]
+    assert DS.global_index(df.limit(0), ["k"]).count() == 0
+
+
+def test_prefix_sum_keeps_null_keys_and_spreads_a_hot_one(spark):
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 4 > 0, F.lit("hot")).when(F.col("id") % 8 == 0, F.lit("b")).alias("k"), F.col("id").alias("o"))
+    got = DS.keyed_prefix_sum(df, "k", ["o"], F.lit(1), "s", inclusive=True, num_partitions=16).collect()
+    seen: dict = {}
+    for r in sorted(got, key=lambda r: r.o):
+        seen[r.k] = seen.get(r.k, 0) + 1
+        assert r.s == seen[r.k]
+    assert len(got) == 4000 and seen == {"hot": 3000, "b": 500, None: 500}

@@ -7,7 +7,7 @@ from drover.session import scale_conf, shared_path
 
 def test_scale_conf_bounds():
     assert scale_conf(10**9)["spark.sql.shuffle.partitions"] == "200"
-    assert scale_conf(100 * 2**40)["spark.sql.shuffle.partitions"] == "200000"
+    assert scale_conf(100 * 2**40)["spark.sql.shuffle.partitions"] == "409600"
     mid = int(scale_conf(10 * 2**40)["spark.sql.shuffle.partitions"])
     assert mid == 10 * 2**40 // (256 * 2**20)
 
