@@ -80,10 +80,12 @@ def extract_definitions(replies: DataFrame, response: str = "response") -> DataF
 # R5 / F7-F10 --------------------------------------------------------------------------
 def clean_transcripts(outputs: DataFrame, output: str = "output",
                       limit: int = T.MAX_OUTPUT_LENGTH) -> DataFrame:
-    cleaned = T.clean_output(output)
-    return (outputs.withColumn("cleaned", T.truncate_output(cleaned, limit))
-            .withColumn("chars_saved", F.length(output) - F.length(cleaned))
-            .withColumn("truncated", F.length(cleaned) > limit))
+    # used three times below: Catalyst keeps it as a projection of its own
+    whole = F.col("_whole")
+    return (outputs.withColumn("_whole", T.clean_output(output))
+            .withColumn("cleaned", T.truncate_output(whole, limit))
+            .withColumn("chars_saved", F.length(output) - F.length(whole))
+            .withColumn("truncated", F.length(whole) > limit).drop("_whole"))
 
 
 # R10 / F18 / P11 --------------------------------------------------------------------------

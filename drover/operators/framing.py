@@ -75,11 +75,17 @@ def frame_commands(chunks: DataFrame, session: str = "session_id", seq: str = "s
     framed = frame_lines(lines, session, skew_safe)
     body = F.when(F.col("is_marker"),
                   F.regexp_extract("line", "(?s)^(.*?)" + MARKER_LINE_RE, 1)).otherwise(F.col("line"))
+    # the unfinished tail goes before anything is gathered, however long it is
+    if skew_safe:
+        closed = framed.filter("is_marker").select(session, "record_no")
+        framed = framed.join(closed, [session, "record_no"], "left_semi")
+    else:
+        n_closed = F.count_if("is_marker").over(Window.partitionBy(session))
+        framed = framed.withColumn("_closed", n_closed).filter(F.col("record_no") < F.col("_closed"))
     recs = framed.groupBy(session, "record_no").agg(
-        F.max("is_marker").alias("_closed"),
         F.max(F.when(F.col("is_marker"), T.marker_exit_code("line"))).alias("exit_code"),
         F.array_sort(F.collect_list(F.struct("line_no", body.alias("b")))).alias("_b"))
-    return recs.filter("_closed").select(
+    return recs.select(
         session, "record_no", F.array_join(F.transform("_b", lambda x: x["b"]), "\n").alias("output"),
         "exit_code")
 

@@ -292,8 +292,10 @@ def episode_outcome(steps: DataFrame, max_turns: int = 16, max_time: float = 600
                     action: str = "action_type", passes: str = "verifier_passes") -> DataFrame:
     """One row per episode: the first terminal step (rows after it are ignored);
     episodes with no terminal step are still running (null end).  One pass:
-    per-run windows, then one aggregate on the same partitioning (no join)."""
-    s = step_outcomes(steps, max_turns, max_time, run, turn, ts, action, passes)
+    per-run windows, then one aggregate on the same partitioning (no join).
+    Turns count from 1 without gaps, so rows beyond the turn limit can't matter
+    and never reach a window."""
+    s = step_outcomes(steps.filter(F.col(turn) <= max_turns), max_turns, max_time, run, turn, ts, action, passes)
     s = s.withColumn("_end", F.min(F.when(F.col("done"), F.col(turn))).over(Window.partitionBy(run)))
     at_end = F.col(turn) == F.col("_end")
 
@@ -313,7 +315,9 @@ def wallclock_cutoff(steps: DataFrame, max_episodes: int = 64, max_time: float =
                      run: str = "run_id", turn: str = "turn", ts: str = "ts",
                      action: str = "action_type") -> DataFrame:
     """Benchmark-agent stop rule: stop on a done reply, else after a step whose
-    elapsed time exceeds ``max_time``, else at ``max_episodes`` episodes."""
+    elapsed time exceeds ``max_time``, else at ``max_episodes`` episodes (rows
+    beyond that turn never reach a window)."""
+    steps = steps.filter(F.col(turn) <= max_episodes)
     late = _elapsed_us(ts, run) > F.lit(int(max_time * 1_000_000))
     reason = (F.when(F.col(action) == "done", F.lit("done"))
               .when(late, F.lit("time"))

@@ -95,6 +95,16 @@ SELECT conv_id AS session_id, turn AS seq,
 FROM conversations
 """
 
+VIEWS["timed_chunks"] = """\
+SELECT conv_id AS session_id, turn AS seq,
+       CASE turn % 3
+         WHEN 1 THEN concat(text, chr(10), '__CMD_DONE__ab12__:')
+         WHEN 2 THEN concat(cast(conv_id % 2 AS varchar(5)), chr(10), text)
+         ELSE text END AS chunk,
+       cast('2024-01-01 00:00:00' AS timestamp) + INTERVAL '1' SECOND * cast(turn * (conv_id % 4) * 3 AS int) AS ts
+FROM conversations
+"""
+
 VIEWS["conversion_results"] = """\
 SELECT concat('task_', lpad(cast(o_orderkey AS varchar(20)), 6, '0')) AS task_id,
        o_orderkey % 10 <> 0 AS dockerfile_generated,

@@ -37,14 +37,14 @@ FROM bundles WHERE ({_REJECT_SQL}) IS NULL
 @register("bundle_round_trip", with_views(_complete_sql(), "bundles"), ("S7", "S1"))
 def q_bundle_round_trip(spark, sf):
     path = shared_path(spark, "bundles")
-    S.write_task_bundles(_complete(spark, sf), path, buckets=8)
+    S.write_task_bundles(_complete(spark, sf), path)
     return S.read_task_bundles(spark, path)
 
 
 @register("bundle_directory_round_trip", with_views(f"""
 SELECT task_id, description, truth, task_id AS name, initial_test, final_test, container_def
 FROM ({_complete_sql()}) c
-""", "bundles"), ("S7", "S1", "S6"))
+""", "bundles"), ("S7", "S1"))
 def q_bundle_directory_round_trip(spark, sf):
     root = shared_path(spark, "taskdirs")
     S.export_task_directories(_complete(spark, sf), root)
@@ -60,7 +60,7 @@ SELECT task_id, model, CAST(num_runs AS INTEGER) AS num_runs, CAST(num_success A
                        CAST(num_runs + 1 AS BIGINT)), lambda i: 1.0 - 4.0 / CAST(i AS DOUBLE)),
                        lambda a, b: a * b, 1.0) END, 9) AS pass_at_4
 FROM summaries
-""", "summaries"), ("S8", "S3", "A2"))
+""", "summaries"), ("S8", "A2"))
 def q_summary_round_trip(spark, sf):
     s = view(spark, sf, "summaries").select(
         "task_id", "model", F.col("num_runs").cast("int").alias("num_runs"),
@@ -107,7 +107,7 @@ def q_manifest_round_trip(spark, sf):
 @register("conversion_report_round_trip", with_views("""
 SELECT task_id AS task_dir, success, NULL::VARCHAR AS error, dockerfile_generated, docker_build_success, tests_passed
 FROM conversion_results
-""", "conversion_results"), ("S10", "S4"))
+""", "conversion_results"), ("S10",))
 def q_conversion_report_round_trip(spark, sf):
     r = view(spark, sf, "conversion_results").select(
         F.col("task_id").alias("task_dir"), "success", F.lit(None).cast("string").alias("error"),
@@ -135,3 +135,76 @@ def q_benchmark_results_round_trip(spark, sf):
     csv = shared_path(spark, "results_csv")
     S.append_benchmark_results(scores, csv)
     return S.scan_benchmark_results(spark, csv)
+
+
+@register("task_json_round_trip", with_views(f"""
+SELECT task_id, description, truth, task_id AS name FROM ({_complete_sql()}) c
+""", "bundles"), ("S6",))
+def q_task_json_round_trip(spark, sf):
+    root = shared_path(spark, "taskjson")
+    S.export_task_directories(_complete(spark, sf), root)
+    return S.scan_task_json(spark, root)
+
+
+@register("conversion_documents", with_views("""
+SELECT task_id AS task_dir, success, CAST(NULL AS VARCHAR) AS error, dockerfile_generated, docker_build_success, tests_passed
+FROM conversion_results
+""", "conversion_results"), ("S4", "X2"))
+def q_conversion_documents(spark, sf):
+    """Report documents of at most 1,000 results each (one per file), read back as one union."""
+    r = view(spark, sf, "conversion_results")
+    row = F.struct(F.col("task_id").alias("task_dir"), "success", F.lit(None).cast("string").alias("error"),
+                   "dockerfile_generated", "docker_build_success", "tests_passed")
+    docs = r.withColumn("run", F.floor(F.monotonically_increasing_id() / 1000)).groupBy("run").agg(F.collect_list(row).alias("results"))
+    path = shared_path(spark, "documents")
+    docs.select(F.struct(F.size("results").alias("total")).alias("summary"), "results") \
+        .withColumn("value", F.to_json(F.struct("summary", "results"))).select("value") \
+        .write.option("maxRecordsPerFile", 1).text(path)
+    return S.scan_conversion_reports(spark, f"{path}/*.txt")
+
+
+@register("error_texts", with_views("SELECT task_name, substr(log, 1, 500) AS error FROM benchmark_logs",
+                                    "benchmark_logs"), ("F25", "U3"))
+def q_error_texts(spark, sf):
+    from drover.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    return spark.sql("SELECT task_name, truncate_error(log) AS error FROM {logs}",
+                     logs=view(spark, sf, "benchmark_logs"))
+
+
+def _echo_client():
+    """A deterministic client: the number of messages and the last one; an empty request fails."""
+    def client(messages):
+        if not messages[-1]["content"]:
+            raise ValueError("empty request")
+        return str(len(messages)) + ":" + messages[-1]["content"]
+    return client
+
+
+@register("completions", """
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN NULLIF('2:' || text, '2:') END AS response,
+       CASE WHEN role = 'user' AND text <> '' THEN CAST(NULL AS VARCHAR) ELSE 'empty request' END AS error,
+       CASE WHEN role = 'user' AND text <> '' THEN 1 ELSE 2 END AS attempts
+FROM conversations
+""", ("U1",))
+def q_completions(spark, sf):
+    from drover.operators import inference as INF
+    content = F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit(""))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    requests = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.array(message("system", F.lit("echo")), message("user", content)).alias("messages"))
+    done = INF.persist_completions(INF.with_completions(requests, _echo_client, max_retries=2, sleep=lambda s: None))
+    return done.select("conv_id", "turn", "response", "error", "attempts")
+
+
+@register("counted_tokens", """
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS BIGINT) AS n_tokens FROM documents
+""", ("U2",))
+def q_counted_tokens(spark, sf):
+    from drover.operators.inference import count_tokens
+
+    def tokenizer():
+        import re
+        return re.compile("[A-Za-z]+").findall
+
+    return table(spark, sf, "documents").select("doc_id", count_tokens(tokenizer)("text").alias("n_tokens"))

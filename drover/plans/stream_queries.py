@@ -7,7 +7,7 @@ from drover.functions import text as T
 from drover.operators import framing as FR
 from drover.plans import duck as D
 from drover.plans.fixtures import view, with_views
-from drover.plans.registry import register
+from drover.plans.registry import QUERIES, register
 from drover.session import shared_path
 
 _FRAMED = f"""
@@ -34,7 +34,7 @@ SELECT session_id, record_no,
                   chr(10) ORDER BY line_no) AS output,
        max(CASE WHEN is_marker THEN {_EXIT} END) AS exit_code
 FROM framed GROUP BY session_id, record_no HAVING bool_or(is_marker)
-""", "chunks"), ("T2", "F20", "U4"))
+""", "chunks"), ("T2", "F20"))
 def q_frame_commands(spark, sf):
     return FR.frame_commands(view(spark, sf, "chunks"))
 
@@ -48,11 +48,45 @@ tail AS (SELECT f.session_id, sum(length(line)) + count(*) - 1 AS chars
 SELECT l.session_id, l.n_finished, CAST(coalesce(t.chars, 0) AS BIGINT) AS tail_chars,
        coalesce(t.chars, 0) > 0 AS has_pending
 FROM last l LEFT JOIN tail t ON l.session_id = t.session_id
-""".replace("\n, ", ", ", 1), "chunks"), ("T2", "T3"))
+""".replace("\n, ", ", ", 1), "chunks"), ("T2",))
 def q_pending_commands(spark, sf):
     return FR.pending_commands(view(spark, sf, "chunks"))
 
 
+_LIMIT_S = 10
+
+# a record ends when the chunk that completes its marker line arrives, and begins
+# where the one before it ended (the first at the session's first chunk)
+@register("command_timeouts", with_views(_FRAMED.replace("FROM chunks)", "FROM timed_chunks)") + f"""
+, recs AS (SELECT session_id, record_no,
+       string_agg(CASE WHEN is_marker THEN {D.regexp_extract('line', '(?s)^(.*?)' + T.MARKER_RE)} ELSE line END,
+                  chr(10) ORDER BY line_no) AS output,
+       max(CASE WHEN is_marker THEN {_EXIT} END) AS exit_code, max(CASE WHEN is_marker THEN line_no END) AS marker_line
+FROM framed GROUP BY session_id, record_no HAVING bool_or(is_marker)),
+ends AS (SELECT r.session_id, r.record_no, min(t.ts) AS end_ts
+         FROM recs r JOIN c2 ON r.session_id = c2.session_id AND r.marker_line >= c2.nb
+              AND r.marker_line < c2.nb + len(c2.pieces) - 1
+         JOIN timed_chunks t ON t.session_id = c2.session_id AND t.seq = c2.seq GROUP BY 1, 2),
+began AS (SELECT session_id, min(ts) AS first_ts FROM timed_chunks GROUP BY 1),
+timed AS (SELECT e.*, date_diff('second', coalesce(lag(end_ts) OVER (PARTITION BY e.session_id ORDER BY record_no), b.first_ts),
+                                end_ts) > {_LIMIT_S} AS timed_out
+          FROM ends e JOIN began b ON e.session_id = b.session_id)
+SELECT r.session_id, r.record_no, CASE WHEN timed_out THEN substr(output, 1, 500) ELSE output END AS output,
+       CASE WHEN NOT timed_out THEN exit_code END AS exit_code, timed_out
+FROM recs r JOIN timed t ON r.session_id = t.session_id AND r.record_no = t.record_no
+""".replace("\n, recs", ", recs", 1), "timed_chunks"), ("T3", "F25"))
+def q_command_timeouts(spark, sf):
+    return FR.command_timeouts(view(spark, sf, "timed_chunks"), _LIMIT_S)
+
+
+@register("frame_commands_table_function", QUERIES["frame_commands"].oracle, ("U4",))
+def q_frame_commands_table_function(spark, sf):
+    from drover.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    return spark.sql("SELECT * FROM frame_commands(TABLE({chunks}) PARTITION BY session_id ORDER BY seq)",
+                     chunks=view(spark, sf, "chunks"))
+
+
 # --- streaming operators run to completion over replayed, Spark-derived rows ----
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -63,12 +97,6 @@ from drover.streaming import progress as PR  # noqa: E402
 from drover.streaming.replay import replay_as_stream, run_to_parquet  # noqa: E402
 
 
-def _stateful_partitions(spark, n: int = 4):
-    """State partitions are fixed per checkpoint; a small number keeps the
-    per-trigger cost low for these replayed runs."""
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-
-
 def _oracle_of(name: str) -> str:
     from drover.plans.registry import QUERIES
     return QUERIES[name].oracle
@@ -85,29 +113,17 @@ def _finished_episodes_sql() -> str:
 
 @register("stream_episodes", _finished_episodes_sql(), ("T1",))
 def q_stream_episodes(spark, sf):
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        _stateful_partitions(spark)
-        steps = view(spark, sf, "steps").withColumn("slice", F.least(F.floor((F.col("turn") - 1) / 2), F.lit(2)))
-        stream = EP.stream_episodes(replay_as_stream(steps, "slice"), max_turns=4, max_time=86400,
-                                    watermark="3650 days")
-        return run_to_parquet(stream, "episodes").filter("end_turn IS NOT NULL")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    steps = view(spark, sf, "steps").withColumn("slice", F.floor((F.col("turn") - 1) / 2))
+    stream = EP.stream_episodes(replay_as_stream(steps, "slice"), max_turns=4, max_time=86400, watermark="3650 days")
+    return run_to_parquet(stream, "episodes").filter("end_turn IS NOT NULL")
 
 
 @register("stream_frame_commands", "SELECT *, false AS timed_out FROM (" + _oracle_of("frame_commands") + ") f",
-          ("T2", "T3"))
+          ("T2",))
 def q_stream_frame_commands(spark, sf):
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        _stateful_partitions(spark)
-        chunks = view(spark, sf, "chunks").withColumn("slice", F.floor(F.col("seq") / 3))
-        # slices arrive newest first: the framer buffers chunks until gaps fill
-        stream = SFR.stream_frame_commands(replay_as_stream(chunks, "slice", "reverse"))
-        return run_to_parquet(stream, "frames")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    chunks = view(spark, sf, "chunks").withColumn("slice", F.floor(F.col("seq") / 3))
+    # slices arrive newest first: the framer buffers chunks until gaps fill
+    return run_to_parquet(SFR.stream_frame_commands(replay_as_stream(chunks, "slice", order="reverse")), "frames")
 
 
 @register("stream_progress", with_views("""
@@ -117,25 +133,19 @@ SELECT count(*) AS completed,
 FROM conversion_results
 """, "conversion_results"), ("T4",))
 def q_stream_progress(spark, sf):
-    res = view(spark, sf, "conversion_results").withColumn("slice", F.coalesce(F.col("exit_code"), F.lit(-1)))
+    res = view(spark, sf, "conversion_results").withColumn("slice", F.pmod(F.xxhash64("task_id"), F.lit(3)))
     return run_to_parquet(PR.stream_progress(replay_as_stream(res, "slice")), "progress", mode="complete")
 
 
 @register("stream_summaries", _oracle_of("pass_at_k"), ("T6", "A2"))
 def q_stream_summaries(spark, sf):
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        _stateful_partitions(spark)
-        runs = view(spark, sf, "runs").withColumn("slice", F.col("attempt") % 3)
-        out = shared_path(spark, "summaries-stream")
-        ckpt = shared_path(spark, "summaries-ckpt")
-        PR.stream_summaries(replay_as_stream(runs, "slice"), out, ckpt) \
-            .trigger(availableNow=True).start().awaitTermination()
-        got = PR.latest_summaries(spark, out)
-        return got.select("task_id", "num_runs", "num_success", F.col("k").cast("int").alias("k"),
-                          F.round("pass_at_k", 9).alias("pass_at_k"))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    runs = view(spark, sf, "runs").withColumn("slice", F.col("attempt") % 3)
+    out, ckpt = shared_path(spark, "summaries-stream"), shared_path(spark, "summaries-ckpt")
+    PR.stream_summaries(replay_as_stream(runs, "slice"), out, ckpt) \
+        .trigger(availableNow=True).start().awaitTermination()
+    got = PR.latest_summaries(spark, out)
+    return got.select("task_id", "num_runs", "num_success", F.col("k").cast("int").alias("k"),
+                      F.round("pass_at_k", 9).alias("pass_at_k"))
 
 
 @register("stream_results_sink", with_views("""
@@ -153,7 +163,7 @@ def q_stream_results_sink(spark, sf):
     # every result is delivered twice (a re-sent result file); the sink keeps one row per task
     twice = scores.withColumn("slice", F.lit(0)).unionByName(scores.withColumn("slice", F.lit(1)))
     out, ckpt = shared_path(spark, "results-stream"), shared_path(spark, "results-ckpt")
-    PR.stream_results_sink(replay_as_stream(twice, "slice"), out, ckpt) \
+    PR.stream_results_sink(replay_as_stream(twice, "slice", slices=2), out, ckpt) \
         .trigger(availableNow=True).start().awaitTermination()
     return S.scan_benchmark_results(spark, f"{out}/*")
 

