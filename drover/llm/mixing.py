@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,9 +86,35 @@ def _newton(bins: DataFrame, sources: list[dict], cap: float, tol: float, max_it
     return done | {k: state[k]["lam"] / open_[k]["scale"] for k in open_}
 
 
+def _settle(w: np.ndarray, copies: np.ndarray, most: np.ndarray, short: float) -> np.ndarray:
+    """Move single copies between size classes (sizes ``w`` descending, at most
+    ``most`` copies) while that brings ``short``, the words still missing, nearer
+    to 0: one copy more, one less, or one of each."""
+    while True:
+        more, less = np.flatnonzero(copies < most), np.flatnonzero(copies > 0)
+        if not len(more):
+            gain = np.zeros(1)
+        else:
+            gain = np.r_[0, w[more][::-1]]  # ascending
+        loss = np.r_[0, w[less]]
+        at = np.searchsorted(gain, loss + short)
+        near = np.stack([np.clip(at - 1, 0, len(gain) - 1), np.clip(at, 0, len(gain) - 1)])
+        left = np.abs(short - gain[near] + loss)
+        side, b = np.unravel_index(int(left.argmin()), left.shape)
+        a = near[side, b]
+        if left[side, b] >= abs(short) - 1e-9:
+            return copies
+        if a:
+            copies[more[::-1][a - 1]] += 1
+        if b:
+            copies[less[b - 1]] -= 1
+        short -= gain[a] - loss[b]
+
+
 def _round_source(pdf: pd.DataFrame) -> pd.DataFrame:
     """Copies per size class of one source, largest sizes first: the token error
-    of each rounding is carried to the next class."""
+    of each rounding is carried to the next class, and what the last class leaves
+    is settled between classes."""
     pdf = pdf.sort_values("w", ascending=False, kind="stable")
     carry, copies = 0.0, []
     for w, n, r, cap in zip(pdf["w"], pdf["n"], pdf["rate"], pdf["cap"]):
@@ -95,6 +122,8 @@ def _round_source(pdf: pd.DataFrame) -> pd.DataFrame:
         c = min(max(math.floor(want + 0.5), 0), int(n * cap))
         carry += w * (n * r - c)
         copies.append(c)
+    most = (pdf["n"] * pdf["cap"]).to_numpy(np.int64)
+    copies = _settle(pdf["w"].to_numpy(np.int64), np.array(copies, np.int64), most, carry)
     return pdf.assign(copies=copies)[["k", "w", "n", "copies"]]
 
 
