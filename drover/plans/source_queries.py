@@ -158,7 +158,7 @@ def q_conversion_documents(spark, sf):
     docs = r.withColumn("run", F.floor(F.monotonically_increasing_id() / 1000)).groupBy("run").agg(F.collect_list(row).alias("results"))
     path = shared_path(spark, "documents")
     docs.select(F.struct(F.size("results").alias("total")).alias("summary"), "results") \
-        .withColumn("value", F.to_json(F.struct("summary", "results"))).select("value") \
+        .withColumn("value", F.to_json(F.struct("summary", "results"), {"ignoreNullFields": "false"})).select("value") \
         .write.option("maxRecordsPerFile", 1).text(path)
     return S.scan_conversion_reports(spark, f"{path}/*.txt")
 

@@ -40,9 +40,6 @@ SUMMARY_SCHEMA = ("num_runs INT, num_success INT, pass_at_k MAP<STRING, DOUBLE>,
                   "output: STRING, reward: INT>>")
 RESULT_STRUCT = ("task_dir STRING, success BOOLEAN, error STRING, dockerfile_generated BOOLEAN, "
                  "docker_build_success BOOLEAN, tests_passed BOOLEAN")
-REPORT_SCHEMA = (f"summary STRUCT<total: INT, successful: INT, failed: INT, dockerfile_generated: INT, "
-                 f"docker_build_success: INT, tests_passed: INT, errors_dockerfile: INT, errors_build: INT, "
-                 f"errors_tests: INT>, results ARRAY<STRUCT<{RESULT_STRUCT.replace(' STRING', ': STRING').replace(' BOOLEAN', ': BOOLEAN')}>>")
 MANIFEST_SCHEMA = ("task_id STRING, instruction STRING, metadata STRUCT<difficulty: STRING, category: STRING>, "
                    "config STRUCT<verifier_timeout_sec: DOUBLE, agent_timeout_sec: DOUBLE, "
                    "environment: STRUCT<build_timeout_sec: DOUBLE, cpus: INT, memory_mb: INT, storage_mb: INT>>")
@@ -202,9 +199,13 @@ def write_conversion_report(results: DataFrame, path: str, mode: str = "overwrit
 
 def scan_conversion_reports(spark: SparkSession, pattern: str) -> DataFrame:
     """All ``results`` elements of report documents matching ``pattern`` (the
-    original one-document-per-run format), unioned."""
-    docs = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(pattern)
-    return docs.select(F.inline("results"))
+    original one-document-per-run format), unioned.  A result without the key
+    ``success`` counts as a success; an explicit null stays null (a failure)."""
+    docs = spark.read.schema("results ARRAY<STRING>").option("multiLine", True).json(pattern)
+    r = docs.select(F.explode("results").alias("_text")).select("_text", F.from_json("_text", RESULT_STRUCT).alias("r"))
+    told = F.array_contains(F.json_object_keys("_text"), "success")
+    return r.select("r.*", "_text").withColumn("success", F.when(told, F.col("success")).otherwise(F.lit(True))) \
+        .drop("_text")
 
 
 def scan_conversion_results(spark: SparkSession, path: str) -> DataFrame:

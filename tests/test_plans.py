@@ -41,12 +41,15 @@ def test_global_order_offsets_are_broadcast_per_partition(spark):
     assert len(single) <= 1
 
 
-def test_split_uses_take_ordered(spark):
-    assert "TakeOrderedAndProject" in plan(q(spark, "train_val_split"))
+def test_split_has_one_plan_without_a_global_window(spark):
+    """The split's order comes from ranges at every size, with no switch."""
+    txt = plan(q(spark, "train_val_split"))
+    assert "TakeOrderedAndProject" not in txt and len(re.findall(r"Exchange SinglePartition", txt)) <= 1
 
 
-def test_prompt_sampling_has_no_join(spark):
-    assert "Join" not in plan(q(spark, "sample_prompts"))
+def test_prompt_sampling_joins_on_the_picked_number(spark):
+    txt = plan(q(spark, "sample_prompts"))
+    assert "CartesianProduct" not in txt and "NestedLoopJoin" not in txt
 
 
 def test_image_census_is_two_phase(spark):
