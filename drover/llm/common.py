@@ -109,7 +109,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     and goes on with what is left; the table at least halves its nodes a round.
     Every round is written to the shared folder.  Hot nodes are combined
     map-side; no component is ever gathered into one task or the driver."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = keep(edges.select("a", "b"), name)  # read several times below
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     live = keep(both.filter("a <> b").distinct(), name)
     roots = keep(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), name)
     hook = roots
