@@ -251,16 +251,17 @@ def similarity_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
         F.min("prefix").alias("prefix"), F.min("sig").alias("sig")), "join-classes")
     keys = classes.select("cls", F.posexplode("prefix").alias("tree", "key")) \
         .select("cls", F.xxhash64("tree", "key").alias("bucket"))
-    full = keep(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("lead"))
-                .filter("members > 1"), "join-full")
+    full = keep(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "join-full")
     bucket = F.col("bucket")
     met = keep(reduced(keys, bucket, full, bucket).join(full, "bucket"), "join-buckets")
     # six standard errors below the threshold
     least = similarity - 6 * (similarity * (1 - similarity) / (TREES * depth)) ** 0.5
-    small = met.filter(F.col("members") <= SMALL).select("bucket", "cls").join(classes.select("cls", "sig"), "cls")
+    small = met.filter(F.col("members") <= SMALL).select("bucket", "cls")
+    small = small.join(reduced(classes.select("cls", "sig"), F.col("cls"), small, F.col("cls")), "cls")
+    large = met.filter(F.col("members") > SMALL).select("bucket", "cls")
+    large = large.join(large.groupBy("bucket").agg(F.min("cls").alias("lead")), "bucket").filter("cls <> lead")
     edges = map_groups(small, "bucket", _bucket_edges(least), "a binary, b binary", then_by=("cls",)) \
-        .unionByName(met.filter((F.col("members") > SMALL) & (F.col("cls") != F.col("lead")))
-                     .select(F.col("cls").alias("a"), F.col("lead").alias("b"))).distinct()
+        .unionByName(large.select(F.col("cls").alias("a"), F.col("lead").alias("b"))).distinct()
     group = components(edges, "join-groups")
     sized = group.withColumnRenamed("node", "cls").join(classes.select("cls", "n", "copies", "rep"), "cls")
     chunks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE),
