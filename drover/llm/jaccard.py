@@ -268,22 +268,25 @@ def similarity_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
                                                   F.ceil(F.sum("n") / SIDE_SHINGLES)).cast("int").alias("chunks"))
     sized = sized.join(chunks, "root").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     sized = keep(sized, "join-members")
-    # shingles of one document of each class that takes part
-    wanted = sized.select("cls", F.col("rep.id").alias("_id"), F.col("rep.text_key").alias("_key"))
-    texts = reduced(base, F.col("text_key"), wanted, F.col("_key")).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))) \
-        .select("cls", "text").groupBy("cls").agg(F.any_value("text").alias("text"))
+    # shingles of one row of each class that takes part, dealt to the tiles (a null id hashes like any other)
+    row = F.xxhash64("id_key", "text_key")
+    wanted = sized.select("root", "cls", "copies", "chunk", "chunks", F.xxhash64("rep.id").alias("id_key"),
+                          F.col("rep.text_key").alias("text_key"))
+    texts = reduced(base.select(F.xxhash64("id").alias("id_key"), "text_key", "text"), row, wanted, row) \
+        .groupBy("id_key", "text_key").agg(F.any_value("text").alias("text")).join(wanted, ["id_key", "text_key"])
 
     def shingles():
         shingle = Shingler(words)
         return lambda part: {"shingles": [shingle(t).view(np.int64) for t in part]}
 
-    sets = map_texts(texts, shingles, {"shingles": ("array<bigint>", pa.list_(pa.int64()))}, keep_cols=["cls"])
+    sets = map_texts(texts, shingles, {"shingles": ("array<bigint>", pa.list_(pa.int64()))},
+                     keep_cols=["root", "cls", "copies", "chunk", "chunks"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    tiles = sized.select("root", "cls", "copies", "chunk", other.alias("other")) \
+    tiles = sets.select("root", "cls", "copies", "chunk", "shingles", other.alias("other")) \
         .select(F.xxhash64("root", low, high).alias("tile"), "cls", "copies",
                 (F.col("chunk") > F.col("other")).cast("int").alias("side"),
-                (F.col("chunk") == F.col("other")).alias("diag")).join(sets, "cls")
+                (F.col("chunk") == F.col("other")).alias("diag"), "shingles")
     linked = keep(map_groups(tiles, "tile", _verify(similarity), "cls binary, links bigint, docs bigint, to binary",
                              then_by=("cls",)), "join-links")
     joined = components(linked.select(F.col("cls").alias("a"), F.col("to").alias("b")), "join-classes-linked")
