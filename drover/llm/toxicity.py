@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drover.llm.common import crc_mod, map_texts
+from drover.llm.common import crc_mod, keep, map_texts, text_slices
 
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
 DIM, HIDDEN = 12, 8
@@ -230,100 +230,181 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.net.scale * self.worst([t or "" for t in texts]).astype(np.float64) + self.net.shift)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3, epochs: int = 4, batch: int = 128,
-          rate: float = 0.01) -> BiGru:
-    """Fit the network: a label holds for a text, so each round trains on the
-    window of each text that looks worst so far (first by word odds) and on one
-    more window of each clean text."""
-    net, g = BiGru(seed), np.random.default_rng(seed)
-    if not len(texts) or labels.min() == labels.max():
-        net.constant = float(labels[0]) if len(texts) else 0.0
-        return net
-    blank = max(8, len(texts) // 50)  # a text without words is clean
-    texts, labels = [*texts, *[""] * blank], np.r_[labels, np.zeros(blank, labels.dtype)]
-    lists = [t.split() for t in texts]
-    number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)) for words in lists]
-    del lists
-    feats = features([*number, ""])  # the last one pads
-    # word odds over texts, per hashed word: where to look first, and a good start
-    seen = np.ones((2, WORD_ROWS))
-    for x, y in zip(ids, labels):
-        seen[int(y), np.unique(feats[0][x])] += 1
-    odds = np.log(seen[1] / (1 + (labels == 1).sum())) - np.log(seen[0] / (1 + (labels == 0).sum()))
-    odds *= np.minimum(1, (seen.sum(axis=0) - 2) / 20)
-    net.p["word"][:, 0] = np.clip(odds, -3, 3)
-    spans = [windows(len(x)) for x in ids]
-    first = [np.r_[0, np.cumsum(np.maximum(odds[feats[0][x]], 0) ** 2)] for x in ids]
-    pick = [int(np.argmax([c[b] - c[a] for a, b in s])) for c, s in zip(first, spans)]
-    mom = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    step = 0
-    for rnd in range(rounds):
-        if rnd:
-            scorer, pick = Scorer(net), []
-            for k in range(0, len(texts), 512):
-                doc, logit = scorer.window_logits(texts[k: k + 512])
-                ends = np.searchsorted(doc, np.arange(min(512, len(texts) - k) + 1))
-                pick += [int(np.argmax(logit[a:b])) for a, b in zip(ends, ends[1:])]
-        chosen = [(i, p) for i, p in enumerate(pick)] + \
-            [(i, int(g.integers(len(spans[i])))) for i in np.flatnonzero(labels == 0)]
+def _word_rows(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.lower().strip(EDGES).encode()) % WORD_ROWS for w in words), np.int64, len(words))
+
+
+def word_counts(texts: list[str], labels) -> np.ndarray:
+    """Texts of either label that hold each hashed word."""
+    seen = np.zeros((2, WORD_ROWS), np.int64)
+    for t, y in zip(texts, labels):
+        seen[int(y), np.unique(_word_rows(list(set(t.split()))))] += 1
+    return seen
+
+
+def word_odds(seen: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log odds per hashed word: where to look first, and a good start."""
+    odds = np.log((1 + seen[1]) / (1 + n_toxic)) - np.log((1 + seen[0]) / (1 + n_clean))
+    return odds * np.minimum(1, seen.sum(axis=0) / 20)
+
+
+def choose(ids, texts: list[str], labels, rnd: int, odds: np.ndarray, scorer: Scorer | None, seed: int) -> list[list[str]]:
+    """The windows of each text to train on, as words joined by blanks: the one
+    that looks worst among all windows of the text (by word odds, later by the
+    network) and one more, drawn by the id, of a clean text."""
+    if scorer:
+        doc, logit = scorer.window_logits(texts)
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    out = []
+    for k, (i, t, y) in enumerate(zip(ids, texts, labels)):
+        words = t.split()
+        spans = windows(len(words))
+        if scorer:
+            pick = [int(np.argmax(logit[ends[k]: ends[k + 1]]))]
+        else:
+            c = np.r_[0, np.cumsum(np.maximum(odds[_word_rows(words)], 0) ** 2)]
+            pick = [int(np.argmax([c[b] - c[a] for a, b in spans]))]
+        if not y:
+            pick.append(zlib.crc32(f"{seed}.{rnd}.{i}".encode()) % len(spans))
+        out.append([" ".join(words[slice(*spans[p])]) for p in pick])
+    return out
+
+
+class Fit:
+    """A network in training; goes from round to round."""
+
+    def __init__(self, odds: np.ndarray, n_toxic: int, n_clean: int, seed: int):
+        self.net, self.seed, self.step = BiGru(seed), seed, 0
+        self.blank = max(8, (n_toxic + n_clean) // 50)  # a text without words is clean
+        n_clean += self.blank
+        self.weight = (0.5 / n_clean * (n_clean + n_toxic), 0.5 / n_toxic * (n_clean + n_toxic))
+        self.net.p["word"][:, 0] = np.clip(odds, -3, 3)
+        self.mom = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.net.p.items()}
+
+    def round(self, rnd: int, found: list[str], labels: list[int], epochs: int = 4, batch: int = 128,
+              rate: float = 0.01) -> None:
+        """Train on windows."""
+        net, g = self.net, np.random.default_rng([self.seed, rnd])
+        found, labels = [*found, *[""] * (2 * self.blank)], [*labels, *[0] * (2 * self.blank)]
+        number: dict[str, int] = {}
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in found]
+        feats = features([*number, ""])  # the last one pads
         for _ in range(epochs):
-            order = g.permutation(len(chosen))
+            order = g.permutation(len(found))
             for k in range(0, len(order), batch):
-                part = [chosen[j] for j in order[k: k + batch]]
-                size = np.array([spans[i][p][1] - spans[i][p][0] for i, p in part])
+                part = order[k: k + batch]
+                size = np.array([len(ids[i]) for i in part])
                 win = np.full((len(part), max(1, size.max())), len(number), np.int64)
-                for r, (i, p) in enumerate(part):
-                    win[r, : size[r]] = ids[i][slice(*spans[i][p])]
-                y = np.array([labels[i] for i, _ in part], np.float32)
-                w = np.array([weight[i] for i, _ in part], np.float32)
+                for r, i in enumerate(part):
+                    win[r, : size[r]] = ids[i]
+                y = np.array([labels[i] for i in part], np.float32)
+                w = np.array([self.weight[int(v)] for v in y], np.float32)
                 _, grad = net.gradients(feats, win, size, y, w)
-                step += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
+                self.step += 1
+                step, norm = self.step, np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
                 for name, v in grad.items():
                     v = v * min(1.0, 5.0 / (norm + 1e-9))
-                    m, s = mom[name]
+                    m, s = self.mom[name]
                     m += 0.1 * (v - m)
                     s += 0.01 * (v * v - s)
                     lr = rate / (1 + step / 400)
                     net.p[name] -= (lr * (m / (1 - 0.9 ** step)) / (np.sqrt(s / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
-    # calibration of the worst window's logit
-    x = Scorer(net).worst(texts).astype(np.float64)
-    x0, sd = x.mean(), x.std() + 1e-9
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps of a two-parameter logistic fit
-        p = 1 / (1 + np.exp(-(a * (x - x0) / sd + b)))
-        f = np.stack([(x - x0) / sd, np.ones_like(x)])
-        hess = (f * (weight * p * (1 - p))) @ f.T + 1e-3 * np.eye(2)
-        a, b = np.array([a, b]) - np.linalg.solve(hess, f @ (weight * (p - labels)) + 1e-3 * np.array([a, b]))
-    net.scale, net.shift = a / sd, b - a * x0 / sd
-    return net
+
+    def calibrate(self, worst: np.ndarray, labels: np.ndarray) -> BiGru:
+        """Fit the worst logits of whole texts to their labels."""
+        empty = Scorer(self.net).worst([""] * self.blank)
+        x, labels = np.r_[worst, empty].astype(np.float64), np.r_[labels, np.zeros(self.blank, labels.dtype)]
+        weight = np.array(self.weight)[labels]
+        x0, sd = x.mean(), x.std() + 1e-9
+        a, b = 1.0, 0.0
+        for _ in range(50):  # Newton steps of a two-parameter logistic fit
+            p = 1 / (1 + np.exp(-(a * (x - x0) / sd + b)))
+            f = np.stack([(x - x0) / sd, np.ones_like(x)])
+            hess = (f * (weight * p * (1 - p))) @ f.T + 1e-3 * np.eye(2)
+            a, b = np.array([a, b]) - np.linalg.solve(hess, f @ (weight * (p - labels)) + 1e-3 * np.array([a, b]))
+        self.net.scale, self.net.shift = a / sd, b - a * x0 / sd
+        return self.net
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 5, rounds: int = 3) -> BiGru:
+    """Fit the network: a label holds for a text, so each round trains on the
+    window of each text that looks worst so far (first by word odds) and on one
+    more window of each clean text."""
+    if not len(texts) or labels.min() == labels.max():
+        net = BiGru(seed)
+        net.constant = float(labels[0]) if len(texts) else 0.0
+        return net
+    n = int((labels == 1).sum()), int((labels == 0).sum())
+    odds = word_odds(word_counts(texts, labels), *n)
+    state = Fit(odds, *n, seed)
+    for rnd in range(rounds):
+        got = choose(range(len(texts)), texts, labels, rnd, odds, Scorer(state.net) if rnd else None, seed)
+        state.round(rnd, [w for g in got for w in g], [int(y) for g, y in zip(got, labels) for _ in g])
+    return state.calibrate(Scorer(state.net).worst(texts), labels)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        held_mod: int = 5, held_rest: int = 0, docs_per_class: int = 1200, max_chars: int = 12_000) -> BiGru:
+        held_mod: int = 5, held_rest: int = 0, docs_per_class: int = 1200, seed: int = 5, rounds: int = 3) -> BiGru:
     """Train on about ``docs_per_class`` labelled documents of either class
-    (chosen by a hash of the id, none held out), at most ``max_chars``
-    characters of each.  The sample, at most 30 MB, is trained on in one task,
-    which Spark runs again if its executor is lost; the network comes back."""
+    (chosen by a hash of the id, none held out), whole texts.
+
+    The sample is written once.  Each pass over it runs in Spark tasks, which
+    look at all windows of their texts and return only the chosen windows (at
+    most two a text) or each text's worst logit; the windows of a round are
+    trained on in one task, which Spark runs again if its executor is lost."""
     known = labels.filter(F.col(label_col).isin(0, 1) & (crc_mod(id_col, held_mod) != held_rest)) \
         .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, docs_per_class / max(1, n.get(1, 0))).otherwise(docs_per_class / max(1, n.get(0, 0)))
     some = known.filter(unit < share).groupBy("id").agg(F.max("y").alias("y"))
-    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), 1, max_chars).alias("t")) \
+    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")) \
         .join(F.broadcast(some), "id").dropDuplicates(["id"])
-
-    def task(batches):
-        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "y", "t")))),
-                      key=lambda r: r[0])
-        net = train([t or "" for _, _, t in rows], np.array([y for _, y, _ in rows], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
-
-    got = sample.coalesce(1).mapInArrow(task, "net binary").first()
-    return pickle.loads(got["net"]) if got else train([], np.zeros(0, np.int64))
+    sample = keep(sample.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "id"), "toxicity-sample")
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return train([""] * len(n), np.array([*n], np.int64), seed)
+
+    def parts(batches):
+        for b in batches:
+            for begin, texts in text_slices(b, "t", 1 << 20):
+                rows = b.slice(begin, len(texts))
+                yield rows.column("id").to_pylist(), texts, rows.column("y").to_pylist()
+
+    def count(batches):
+        seen = np.zeros((2, WORD_ROWS), np.int64)
+        for _, texts, y in parts(batches):
+            seen += word_counts(texts, y)
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], names=["seen"])
+
+    seen = np.zeros((2, WORD_ROWS), np.int64)
+    for r in sample.mapInArrow(count, "seen binary").toLocalIterator():
+        seen += np.frombuffer(r["seen"], np.int64).reshape(seen.shape)
+    odds = word_odds(seen, n[1], n[0])
+    state = Fit(odds, n[1], n[0], seed)
+    for rnd in range(rounds):
+        def look(batches, net=state.net, rnd=rnd):
+            scorer = Scorer(net) if rnd else None
+            for ids, texts, y in parts(batches):
+                got = choose(ids, texts, y, rnd, odds, scorer, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(map(str, ids), pa.string()), pa.array(y, pa.int32()),
+                                                  pa.array(got, pa.list_(pa.string()))], names=["id", "y", "w"])
+
+        def learn(batches, state=state, rnd=rnd):
+            rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "y", "w"))))
+            state.round(rnd, [w for r in rows for w in r[2]], [r[1] for r in rows for _ in r[2]])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], names=["state"])
+
+        found = sample.mapInArrow(look, "id string, y int, w array<string>")
+        state = pickle.loads(found.repartition(1).mapInArrow(learn, "state binary").first()["state"])
+
+    def worst(batches, net=state.net):
+        scorer = Scorer(net)
+        for _, texts, y in parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(scorer.worst(texts), pa.float32())], names=["y", "x"])
+
+    got = sorted((r["y"], r["x"]) for r in sample.mapInArrow(worst, "y int, x float").collect())
+    return state.calibrate(np.array([x for _, x in got]), np.array([y for y, _ in got], np.int64))
 
 
 _SCORERS: dict[int, Scorer] = {}

@@ -249,6 +249,20 @@ def test_toxicity_of_odd_rows(net, odd, empty):
     assert {r["score"] for r in toxicity.score(odd, one).collect()} == {0.0}
 
 
+def test_training_reads_whole_texts(spark):
+    g = np.random.default_rng(4)
+    words, passage = [f"w{i}" for i in range(400)], "awful0 awful1 awful2".split()
+    put = lambda t, at: " ".join([*t[:at], *passage, *t[at:]])
+    long = [list(g.choice(words, 3200)) for _ in range(400)]
+    assert min(len(" ".join(t[:2800])) for t in long) > 12_000  # the passage lies behind
+    texts = [put(t, g.integers(2800, 3200)) if i % 2 else " ".join(t) for i, t in enumerate(long)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    s = toxicity.Scorer(toxicity.fit(docs, labels))
+    clean = [list(g.choice(words, 20_000)) for _ in range(4)]
+    assert max(s.scores([" ".join(t) for t in clean])) < 0.5 < min(s.scores([put(t, 15_000) for t in clean]))
+
+
 # 8 personal data ----------------------------------------------------------------------
 TEXT = ("Mail John.Doe7@Mail3.example.com or JOHN.DOE7@MAIL3.EXAMPLE.COM, call +1 (555) 123-4567 / +1 555 123 4567, "
         "ip 192.168.1.20 and 8.8.4.4; card 4111 1111 1111 1111 or 4111111111111111; Mr. John Smith and Frau Smith; "
