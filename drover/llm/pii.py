@@ -4,8 +4,11 @@ corpus; a check over all entities keeps different ones apart."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import itertools
+import math
 import re
 import unicodedata
 
@@ -60,6 +63,41 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+EXACT = -1  # the attempt number of a surrogate by the permutation of its space
+_PRIVATE = re.compile(r"(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.")
+
+
+@functools.lru_cache(1 << 16)
+def _next(key: bytes, space: str, number: int, size: int) -> int:
+    """The number after ``number`` in one keyed cycle through 0 to size - 1."""
+    seed = hmac.new(key, space.encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    n_bytes, mask = (half + 7) // 8, (1 << half) - 1
+
+    def mix(r: int, v: int) -> int:
+        return int.from_bytes(hashlib.shake_256(seed + bytes([r]) + v.to_bytes(n_bytes, "big")).digest(n_bytes), "big") & mask
+
+    def there(v: int) -> int:  # a Feistel network, walked until inside
+        while True:
+            a, b = v >> half, v & mask
+            for r in range(8):
+                a, b = b, a ^ mix(r, b)
+            v = a << half | b
+            if v < size:
+                return v
+
+    def back(v: int) -> int:
+        while True:
+            a, b = v >> half, v & mask
+            for r in reversed(range(8)):
+                a, b = b ^ mix(r, a), a
+            v = a << half | b
+            if v < size:
+                return v
+
+    return there((back(number) + 1) % size)
+
+
 class Surrogates:
     """Keyed surrogates.  ``tries`` holds the attempt number of the entities whose
     first surrogates collided."""
@@ -87,16 +125,81 @@ class Surrogates:
             out.append(c)
         return "".join(out)
 
+    def _permuted(self, text: str, space: str, fits=None) -> str:
+        """Another text of the same shape by a keyed permutation of the shape's
+        texts (those that fit): different texts get different ones."""
+        radix = [10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 1 for c in text]
+        zero = ["0" if r == 10 else "a" if c.islower() else "A" for c, r in zip(text, radix)]
+        number, size = 0, math.prod(radix)
+        for c, r, z in zip(text, radix, zero):
+            number = number * r + (ord(c) - ord(z) if r > 1 else 0)
+        space += "\x1f" + "".join(z if r > 1 else c for c, r, z in zip(text, radix, zero))
+        while True:
+            number = _next(self.key, space, number, size)
+            out, n = [], number
+            for c, r, z in zip(reversed(text), reversed(radix), reversed(zero)):
+                n, k = divmod(n, r)
+                out.append(chr(ord(z) + k) if r > 1 else c)
+            made = "".join(reversed(out))
+            if fits is None or fits(made):
+                return made
+
+    def _host(self, domain: str) -> str:
+        names = domain.split(".")
+        return ".".join([*(self._permuted(x, "host\x1f" + ".".join(names[i + 1:])) for i, x in enumerate(names[:-1])), names[-1]])
+
+    @staticmethod
+    def space(kind: str, canon: str) -> str:
+        """What the exact surrogate has in common with its entity; entities with
+        the same space have surrogates in one space that no others use."""
+        shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))
+        if kind == "email":
+            local, domain = canon.split("@", 1)
+            return shape(local) + "@" + domain
+        if kind == "ip":
+            private = _PRIVATE.match(canon)
+            return private.group(1) if private else ""
+        if kind == "iban":
+            return canon[:2] + shape(canon[2:])
+        if kind == "phone":
+            code, rest = canon.split("|")
+            return code + "|" + shape(rest)
+        return f"{canon[0]}|{len(canon)}|{luhn(canon)}" if kind == "card" else shape(canon)
+
+    def exact(self, kind: str, canon: str) -> str:
+        """The surrogate by a keyed permutation of the entity's space."""
+        space = kind + "\x1f" + self.space(kind, canon)
+        if kind == "email":
+            local, domain = canon.split("@", 1)
+            return self._permuted(local, space) + "@" + self._host(domain)
+        if kind == "ip":
+            head = self.space(kind, canon).split(".") if _PRIVATE.match(canon) else []
+            rest = list(map(int, canon.split(".")[len(head):]))
+            number = int.from_bytes(bytes(rest), "big")
+            while True:
+                number = _next(self.key, space, number, 256 ** len(rest))
+                made = ".".join([*head, *map(str, number.to_bytes(len(rest), "big"))])
+                if head or not _PRIVATE.match(made):
+                    return made
+        if kind == "iban":
+            return canon[:2] + self._permuted(canon[2:], space)
+        if kind == "phone":
+            code, rest = canon.split("|")
+            return code + "|" + self._permuted(rest, space)
+        if kind == "card":
+            return canon[0] + self._permuted(canon[1:], space, lambda t: luhn(canon[0] + t) == luhn(canon))
+        return self._permuted(canon, space)  # ssn
+
     def make(self, kind: str, canon: str, attempt: int) -> str:
         """Canonical surrogate of a canonical entity."""
+        if attempt == EXACT:
+            return self.exact(kind, canon)
         numbers = self._stream(kind, canon, attempt)
         if kind == "email":
             local, domain = canon.split("@", 1)
-            names = domain.split(".")
-            host = [self._fill(x, self._stream("host", ".".join(names[i:]))) for i, x in enumerate(names[:-1])]
-            return self._fill(local, numbers) + "@" + ".".join([*host, names[-1]])
+            return self._fill(local, numbers) + "@" + self._host(domain)
         if kind == "ip":
-            private = re.match(r"(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.", canon)
+            private = _PRIVATE.match(canon)
             head = private.group(1).split(".") if private else [str(11 + next(numbers) % 100)]
             return ".".join([*head, *(str(1 + next(numbers) % 254) for _ in range(4 - len(head)))])
         if kind == "iban":
@@ -111,7 +214,7 @@ class Surrogates:
         if kind == "family":
             gender, script, _ = canon.split("|")
             parts = SYLLABLES[script]
-            n = 2 + next(numbers) % 2
+            n = 2 + next(numbers) % 2 + attempt // 3  # longer the more collide
             return "|".join([gender, script, "".join(parts[(next(numbers) * 256 + next(numbers)) % len(parts)]
                                                       for _ in range(n + 1)) + ENDING.get((gender, script), "")])
         return self._fill(canon, numbers)  # ssn
@@ -185,7 +288,13 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     """Collision check over all distinct entities (kind, canon): the attempt
     number that gives each a surrogate no other entity has and that is no entity
     itself.  Only those that collide go on to the next round; the table of
-    settled ones stays in the shared folder."""
+    settled ones stays in the shared folder.
+
+    Names grow longer with the attempts, so that all of them get settled.  Of
+    the other kinds, what still collides after ``rounds`` is in a space that its
+    entities (nearly) fill: all entities of that space then get surrogates by a
+    keyed permutation of it (``EXACT``), different ones for different entities
+    and never the entity itself; another entity's text can be among them."""
 
     def made_by(attempt: int):
         def make():
@@ -196,10 +305,13 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
             return run
         return make
 
+    def spaces():
+        return lambda both: {"space": [Surrogates.space(*b.split("\x1e")) for b in both]}
+
     names = entities.select("kind", "canon").filter("kind <> 'given'").distinct()
     names = keep(names.withColumn("both", F.concat_ws("\x1e", "kind", "canon")), "pii-entities")
     open_, settled = names, None
-    for attempt in range(rounds):
+    for attempt in itertools.count():
         made = map_texts(open_, made_by(attempt), {"made": ("string", pa.string())}, text_col="both")
         taken = names.select("kind", F.col("canon").alias("made"), F.lit(0).alias("who"))
         if settled is not None:
@@ -212,8 +324,18 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         left = keep(names.join(settled, ["kind", "canon"], "left_anti"), "pii-open")
         if left.isEmpty():
             return settled
+        if attempt + 1 == rounds:
+            full = map_texts(left.filter("kind <> 'family'"), spaces, {"space": ("string", pa.string())}, text_col="both")
+            full = keep(full.select("kind", "space").distinct(), "pii-full")
+            rest = map_texts(names.filter("kind <> 'family'"), spaces, {"space": ("string", pa.string())}, text_col="both")
+            rest = keep(rest.join(full, ["kind", "space"], "left_semi").drop("space"), "pii-full-entities")
+            rest = map_texts(rest, made_by(EXACT), {"made": ("string", pa.string())}, text_col="both") \
+                .select("kind", "canon", "made", F.lit(EXACT).alias("attempt"))
+            settled = keep(settled.join(rest, ["kind", "canon"], "left_anti").unionByName(rest), "pii-settled")
+            left = keep(names.join(settled, ["kind", "canon"], "left_anti"), "pii-open")
+            if left.isEmpty():
+                return settled
         open_ = left
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str = "doc_id", text_col: str = "text",
@@ -255,7 +377,7 @@ def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str =
     found = keep(found.select(F.xxhash64("_text").alias("_key"), F.explode("found").alias("both"))
                  .select("_key", F.split("both", "\x1e")[0].alias("kind"), F.split("both", "\x1e")[1].alias("canon")),
                  "pii-found")
-    again = attempts(found, key).filter("attempt > 0").select("kind", "canon", "attempt")
+    again = attempts(found, key).filter("attempt <> 0").select("kind", "canon", "attempt")
     pairs = F.collect_set(F.concat_ws("\x1e", "kind", "canon", F.col("attempt").cast("string")))
     tries = found.join(again, ["kind", "canon"]).groupBy("_key").agg(F.concat_ws("\x1d", pairs).alias("_tries"))
     some = some.withColumn("_key", F.xxhash64("_text")).join(tries, "_key", "left") \

@@ -293,6 +293,26 @@ def test_collisions_are_settled(spark, monkeypatch):
     assert s.tries
 
 
+def test_full_spaces_are_settled(spark):
+    mail = [("email", f"{c}@mail3.example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    one = [("email", f"{i}@{h}.example.org") for h in ("x", "y") for i in range(10)]
+    rows = pii.attempts(spark.createDataFrame(mail + one + [("ssn", "123456789")], "kind string, canon string"), "k", 4).collect()
+    s = pii.Surrogates("k", {(r["kind"], r["canon"]): r["attempt"] for r in rows})
+    made = {r["canon"]: r["made"] for r in rows}
+    assert len(made) == 47 == len(set(made.values())) and all(a != b for a, b in made.items())
+    assert all(s.make(r["kind"], r["canon"], r["attempt"]) == r["made"] for r in rows)
+    assert len({m.split("@")[1] for c, m in made.items() if c.endswith("mail3.example.com")}) == 1
+
+
+def test_exact_surrogates_are_permutations():
+    s = pii.Surrogates("k")
+    for kind, canons in (("ip", [f"192.168.{a}.{b}" for a in range(256) for b in range(0, 256, 5)]),
+                         ("card", [f"4{i:05d}" for i in range(0, 100_000, 7)]), ("phone", [f"+1|{i:03d}" for i in range(1000)]),
+                         ("iban", [f"GB{i:02d}A" for i in range(100)]), ("ip", ["8.8.4.4", "172.16.0.1"])):
+        made = [s.exact(kind, c) for c in canons]
+        assert len(set(made)) == len(canons) and all(a != b and s.space(kind, a) == s.space(kind, b) for a, b in zip(canons, made))
+
+
 def test_private_data_of_odd_rows(odd, empty, docs):
     rows = pii.replace_private(odd)
     assert rows.columns == [*odd.columns, "n_entities"]
