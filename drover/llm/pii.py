@@ -48,6 +48,8 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
     "name": rf"\b(?:(?P<address>{_ADDRESS})\.?[ ]+(?:(?P<given>{_NAMES})[ ]+)?|(?P<only>{_NAMES})[ ]+)(?P<family>{_CAPITAL})",
 }
+_WORD = re.compile(rf"(?<!\w){_CAPITAL}")
+_POSSESSIVE = re.compile(r"(?:['’]s|['’-]+)$")
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: What the JVM looks for first: texts without a match hold no entity.
 TRIGGER = (r"[A-Za-z0-9_%+-]@[A-Za-z0-9-]|[0-9][0-9 .()-]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|"
@@ -249,20 +251,42 @@ class Surrogates:
 
     def entities(self, text: str):
         """(start, end, kind, canonical) of the parts to replace, in order; a
-        name gives its given and its family name."""
+        name gives its given and its family name, and so does every bare mention
+        (a whole capitalised word) of a name found anywhere in the text."""
+        found = list(self._found(text))
+        names: dict[str, tuple[str, str]] = {}
+        for start, end, kind, canon in found:
+            if kind in ("given", "family"):
+                names.setdefault(text[start:end].lower(), (kind, canon))
+        if not names:
+            yield from found
+            return
+        at = 0
+        for start, end, *what in [*found, (len(text), len(text))]:
+            for m in _WORD.finditer(text, at, start):
+                for word in (m.group(), _POSSESSIVE.sub("", m.group())):
+                    if word.lower() in names:
+                        yield m.start(), m.start() + len(word), *names[word.lower()]
+                        break
+            if what:
+                yield start, end, *what
+            at = end
+
+    def _found(self, text: str):
+        """The entities that the patterns find."""
         for m in FIND.finditer(text):
             kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k))
             if kind != "name":
                 yield m.start(), m.end(), kind, self.canonical(kind, m.group())
                 continue
             which = "given" if m.group("given") else "only"
-            given, family = m.group(which), m.group("family")
+            given, family = m.group(which), _POSSESSIVE.sub("", m.group("family"))
             script = script_of(family)
             gender = ADDRESS.get(m.group("address") or "", "")
             if given:
                 gender = next(g for g, s in GIVEN if given in GIVEN[g, s])
                 yield m.start(which), m.end(which), "given", f"{gender}|{script_of(given)}|{given}"
-            yield m.start("family"), m.end("family"), "family", \
+            yield m.start("family"), m.start("family") + len(family), "family", \
                 f"{gender if script == 'cyrillic' else ''}|{script}|{family.lower()}"
 
     def replace(self, text: str) -> tuple[str, int]:
@@ -272,6 +296,7 @@ class Surrogates:
             if kind == "given":
                 gender, script, name = canon.split("|")
                 new = self.given(name, gender, script)
+                new = new.upper() if found.isupper() else new
             else:
                 made = self.make(kind, canon, self.tries.get((kind, canon), 0))
                 if kind == "family":
@@ -344,9 +369,10 @@ def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str =
     (default: the text column) gets the new text, ``n_entities`` is added.
 
     Found: e-mail addresses, IPv4 addresses, IBANs, phone, social security and
-    card numbers, and names after a form of address or a known given name.
-    E-mail hosts, family and given names have surrogates of their own, so that
-    mentions in part agree; phones keep the country code, cards the validity of
+    card numbers, and names after a form of address or a known given name; in a
+    text that has such a name, also the bare mentions of its given or family
+    name.  E-mail hosts, family and given names have surrogates of their own, so
+    that mentions in part agree; phones keep the country code, cards the validity of
     the check digit, addresses private or public range, names gender and script,
     all of them case, digits, letters and separators.
 

@@ -281,6 +281,16 @@ def test_surrogates_keep_type_format_and_coreference():
     assert pii.Surrogates("other").replace(TEXT)[0] != new == pii.Surrogates("k").replace(TEXT)[0]
 
 
+def test_bare_mentions_agree():
+    s = pii.Surrogates("k")
+    new, n = s.replace("Smith is out. Mr. John Smith wrote. Smith said; John's SMITH’s agreed, JOHN too. Smithson, Johnny and a smith stay")
+    given, family = s.replace("John Smith")[0].split()
+    assert n == 7 and new == (f"{family} is out. Mr. {given} {family} wrote. {family} said; {given}'s {family.upper()}’s agreed, "
+                              f"{given.upper()} too. Smithson, Johnny and a smith stay")
+    assert s.replace("Smith said; John agreed") == ("Smith said; John agreed", 0)
+    assert s.replace("Mr. Smith's house")[0] == f"Mr. {family}'s house"
+
+
 def test_collisions_are_settled(spark, monkeypatch):
     entities = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(60)], "kind string, canon string")
     real = pii.Surrogates.make
