@@ -1,5 +1,6 @@
-"""N-gram Jaccard join over an LSH forest of MinHash signatures, with exact
-verification, and the near-duplicate filter built on it."""
+"""N-gram Jaccard join over MinHash trees, joined on a prefix of fixed depth in
+place of an LSH forest, with exact verification, and the near-duplicate filter
+built on it."""
 
 from __future__ import annotations
 
@@ -226,9 +227,9 @@ def similarity_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
     Repeated rows are copies.  An empty table gives no rows; other columns are
     ignored.
 
-    Method: documents with one shingle set are a class; classes are looked up in
-    a forest of prefix tries of their signatures, held as sorted (tree, prefix)
-    keys, with prefixes shortened until the target recall.  Members of a bucket
+    Method: documents with one shingle set are a class; classes are joined
+    on equal (tree, prefix) keys of their signatures; the prefixes' fixed depth
+    follows from the threshold and the target recall.  Members of a bucket
     are connected if their signatures agree well below the threshold too; the
     members of a bucket over ``SMALL`` all are.  Each group connected so is
     verified exactly, in tiles of bounded size: pairs are counted, not emitted,
