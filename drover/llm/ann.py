@@ -11,18 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drover.llm.topk import merge_lists
-from drover.llm.vectors import finite_vectors, query_rows, search_tiles
+from drover.llm.vectors import exact_scale, finite_vectors, query_rows, search_tiles
 
 TILE_SCHEMA = "query_id bigint, vec_id bigint, score double, part int"
 
 
-def _exact_scale(m: np.ndarray) -> np.ndarray:
-    """Rows times a power of two that brings the largest component near 1: no
-    rounding, and no overflow in the squares."""
-    _, e = np.frexp(np.abs(m).max(axis=1))
-    return np.ldexp(m, -e[:, None])
-
-
 class CollisionCounting:
     """Search of one tile.  ``projections`` sorted arrays; a vector at distance
     R falls into a window of half width R with probability 0.68 for each
@@ -43,7 +36,7 @@ class CollisionCounting:
                          "score": pa.array([], pa.float64()), "part": pa.array([], pa.int32())})
 
     def __call__(self, shard, ids, v, qids, q) -> pa.Table:
-        v, q = _exact_scale(v), _exact_scale(q)
+        v, q = exact_scale(v), exact_scale(q)
         nv, nq = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         axes = np.random.default_rng([self.seed, v.shape[1]]).standard_normal((v.shape[1], self.m))
         proj = (v / nv[:, None]) @ axes

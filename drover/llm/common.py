@@ -16,11 +16,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once into the shared folder of ``spark.checkpoint.dir`` and
-    read it back: later steps start from the table, not from the lineage."""
+    read it back: later steps start from the table, not from the lineage.
+    ``by`` names columns to lay the files out by (a filter on them then skips
+    the others' files)."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

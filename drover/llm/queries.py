@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drover.llm import ann, bpe, jaccard, langid, mixing, pii, secrets, tokencount, topk, toxicity
+from drover.llm import ann, bpe, jaccard, langid, mixing, neardup, pii, quantize, secrets, tokencount, topk, toxicity, variants
 from drover.llm.common import crc_mod, read
 
 
@@ -72,9 +72,57 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(read(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.embedding_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(read(spark, sf_dir, "documents"), min_length=7, thin=31)
+    return variants.group_variants(words.filter("n >= 2"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compress(read(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.col("codebooks").alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_language, op3_ngram_join, op4_nearest, op5_bpe, op6_toxicity, op7_token_counts,
-    op8_private_data, op9_secrets, op10_top_products)}
+    op8_private_data, op9_secrets, op10_top_products, op11_embedding_duplicates, op12_spelling_variants,
+    op13_vector_codes)}
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The rounds of op13 written out one after another."""
+    steps = [f"""
+        WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+                          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                      FROM embeddings WHERE embedding IS NOT NULL
+                          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS c
+                  FROM (SELECT r, v, unnest(range({parts})) AS p FROM kept)),
+        book0 AS (SELECT p, r - 1 AS e, c FROM parts WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        near{k} AS (SELECT r, x.p, x.c, min(list_sum(list_transform(range(1, len(x.c) + 1),
+                        lambda i: (x.c[i] - b.c[i]) * (x.c[i] - b.c[i]))) * {entries} + e) AS d
+                    FROM parts x JOIN book{k} b ON x.p = b.p GROUP BY r, x.p, x.c)""")
+        if k < rounds:
+            steps.append(f"""
+        mean{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+                    FROM (SELECT p, e, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+                          FROM (SELECT p, CAST(d % {entries} AS BIGINT) AS e, unnest(c) AS x, unnest(range(len(c))) AS i FROM near{k})
+                          GROUP BY p, e, i) GROUP BY p, e),
+        book{k + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e)""")
+    return ",".join(steps) + f""",
+        codes AS (SELECT r, string_agg(printf('%02x', CAST(d % {entries} AS BIGINT)), '' ORDER BY p) AS code,
+                      CAST(sum(d // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+        digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+                   FROM (SELECT p, e, unnest(c) AS x, unnest(range(len(c))) AS i FROM book{rounds}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN codes USING (r), digest"""
+
 
 ORACLES = {
     "op10_top_products": """
@@ -87,4 +135,44 @@ ORACLES = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 20""",
+    "op11_embedding_duplicates": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+                   coalesce(label IS NOT NULL AND len(embedding) > 0
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+        link AS (SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r
+                 WHERE a.ok AND b.ok AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT r AS x, r AS y FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+        least AS (SELECT x, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY x),
+        n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least ON least.x = v.r LEFT JOIN n ON n.x = v.r""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+        runs AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+                 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')) AS raw FROM documents)
+                 WHERE length(raw) >= 7 GROUP BY ALL),
+        bytes AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                      lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS b FROM runs),
+        hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+                       lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) AS h FROM bytes, bits),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
+                  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) ||
+                                    substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed)
+                  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+                FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                 UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+                 UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS top FROM near GROUP BY word),
+        formed AS (SELECT w.word, CASE WHEN top >= 10 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near,
+                          CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+        walk AS (SELECT word, word AS at FROM formed
+                 UNION SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.at WHERE formed.form IS NOT NULL)
+        SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+        FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.at WHERE e.form IS NULL""",
+    "op13_vector_codes": _codes_sql(),
 }

@@ -38,6 +38,13 @@ def by_dimension(column: pa.ChunkedArray, dtype) -> Iterator[tuple[np.ndarray, n
         yield rows, flat[offsets[rows][:, None] + np.arange(d)].astype(dtype)
 
 
+def exact_scale(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component near 1: no
+    rounding, and no overflow in the squares."""
+    _, e = np.frexp(np.abs(m).max(axis=1))
+    return np.ldexp(m, -e[:, None])
+
+
 def search_tiles(vectors: DataFrame, queries: DataFrame, fn: Callable, schema: str,
                  shard_rows: int, block_rows: int) -> DataFrame:
     """Run ``fn(shard, ids, matrix, query_ids, query_matrix)`` on every tile.
