@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ RUN = "[A-Za-zÀ-ÿ]+"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Left words of a tile, words of either side in one product, code points of one side in memory.
 TILE, STEP, CHARS = 4096, 1024, 1 << 20
+#: Longer words than this are handled apart from the others of a batch.
+ORDINARY = 64
+LETTERS = 26 + 64
+_LETTER = np.zeros(256, np.int64)
+_LETTER[97:123], _LETTER[0xC0:] = np.arange(26), np.arange(26, LETTERS)
 
 
 def count_words(docs: DataFrame, min_length: int = 7, thin: int | None = None, id_col: str = "doc_id",
@@ -103,12 +109,26 @@ class _Words:
         self.codes = np.zeros((len(column), width), np.uint8)
         self.codes[inside] = flat[offsets[0]: offsets[-1]]
         row = np.repeat(np.arange(len(column)), self.size)
-        counts = np.bincount(row * 256 + self.codes[inside], minlength=len(column) * 256)
-        exact = np.float32 if width < 1 << 11 else np.float64
-        counts = counts.reshape(len(column), 256).astype(exact)
-        self.letters = np.concatenate([counts[:, 97:123], counts[:, 0xC0:]], axis=1)
+        counts = np.bincount(row * LETTERS + _LETTER[self.codes[inside]], minlength=len(column) * LETTERS)
+        self.letters = counts.reshape(len(column), LETTERS).astype(np.float32 if width < 1 << 11 else np.float64)
         self.square = (self.letters ** 2).sum(axis=1)
 
+    def part(self, a: int, b: int) -> "_Words":
+        out = object.__new__(_Words)
+        out.n, out.size, out.letters, out.square = self.n[a:b], self.size[a:b], self.letters[a:b], self.square[a:b]
+        out.codes = self.codes[a:b, : int(out.size.max(initial=0))]
+        return out
+
+    @staticmethod
+    def joined(parts: list["_Words"]) -> "_Words":
+        if len(parts) == 1:
+            return parts[0]
+        out, width = object.__new__(_Words), max(p.codes.shape[1] for p in parts)
+        out.codes = np.concatenate([np.pad(p.codes, ((0, 0), (0, width - p.codes.shape[1]))) for p in parts])
+        out.n, out.size, out.letters, out.square = (np.concatenate([getattr(p, x) for p in parts])
+                                                    for x in ("n", "size", "letters", "square"))
+        return out
+
     def words(self, at) -> list[str]:
         return [bytes(self.codes[i, :self.size[i]]).decode("latin-1") for i in at]
 
@@ -118,27 +138,30 @@ def near_pairs(a: _Words, b: _Words, inside: bool) -> tuple[np.ndarray, np.ndarr
     are the same words, and each pair is taken once."""
     left, right = [], []
     used = np.flatnonzero(a.letters.any(axis=0) & b.letters.any(axis=0))
-    am, bm = np.ascontiguousarray(a.letters[:, used]), np.ascontiguousarray(b.letters[:, used])
+    # |x - y|^2 as one product: (-2x, |x|^2, 1) by (y, 1, |y|^2)
+    one = lambda s: np.ones((len(s), 1), s.dtype)
+    am = np.concatenate([-2 * a.letters[:, used], a.square[:, None], one(a.letters)], axis=1)
+    bm = np.concatenate([b.letters[:, used], one(b.letters), b.square[:, None]], axis=1)
     for i in range(0, len(am), STEP):
         for j in range(i if inside else 0, len(bm), STEP):
             gap = am[i: i + STEP] @ bm[j: j + STEP].T
-            gap *= -2
-            gap += a.square[i: i + STEP, None]
-            gap += b.square[None, j: j + STEP]
-            x, y = np.nonzero(gap <= 2)
-            x, y, gap = x + i, y + j, gap[x, y]
+            at = np.flatnonzero(gap <= 2)
+            x, y = np.divmod(at, gap.shape[1])
+            gap = gap.ravel()[at]
+            x, y = x + i, y + j
             # one replaced letter: distance 2 at equal length; one more or less: distance 1
-            want = np.where(a.size[x] == b.size[y], 2, 1)
-            ok = (gap == want) & (np.abs(a.size[x] - b.size[y]) <= 1)
+            differ = np.abs(a.size[x] - b.size[y])
+            ok = (differ <= 1) & (gap == 2 - differ)
             if inside:
                 ok &= x < y
             left.append(x[ok])
             right.append(y[ok])
     x = np.concatenate(left) if left else np.zeros(0, np.int64)
     y = np.concatenate(right) if right else np.zeros(0, np.int64)
-    ok = np.zeros(len(x), bool)
-    for k in range(0, len(x), 1 << 16):
-        ok[k: k + (1 << 16)] = _one_edit(a, b, x[k: k + (1 << 16)], y[k: k + (1 << 16)])
+    if not len(x):
+        return x, y
+    step = max(1, (1 << 22) // (1 + max(a.codes.shape[1], b.codes.shape[1])))
+    ok = np.concatenate([_one_edit(a, b, x[k: k + step], y[k: k + step]) for k in range(0, len(x), step)])
     return x[ok], y[ok]
 
 
@@ -177,11 +200,6 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pieces of bounded size."""
     tile, left, held = None, None, []
 
-    def rows(words: list[str], count, top, form):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(count, pa.int64()),
-                                           pa.array(top, pa.int64()), pa.array(form, pa.string())],
-                                          names=["word", "n_near", "best", "form"])
-
     def meet(a: _Words, b: _Words, inside: bool):
         x, y = near_pairs(a, b, inside)
         if not len(x):
@@ -194,38 +212,47 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f[0] += 1
                 if top > f[1] or top == f[1] and word < f[2]:
                     f[1:] = top, word
-            yield rows(list(found), *zip(*found.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                (list(found), *zip(*found.values())), (pa.string(), pa.int64(), pa.int64(), pa.string()))],
+                names=["word", "n_near", "best", "form"])
 
     def closed():
         """The left words of the tile are complete: compare them with each other."""
         nonlocal left, held
         if held:
-            t = pa.Table.from_batches(held).combine_chunks()
-            left, held = _Words(t.column("code").chunk(0), t.column("n").to_numpy()), []
-            yield from meet(left, left, True)
+            left, held = _Words.joined(held), []
+            if len(left.n) > 1:
+                yield from meet(left, left, True)
 
     for b in batches:
-        t = b.column("tile").to_numpy()
-        right = b.column("right").to_numpy(zero_copy_only=False)
-        start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (right[1:] != right[:-1])]) if len(t) else []
+        if not b.num_rows:
+            continue
+        t, right = b.column("tile").to_numpy(), b.column("right").to_numpy(zero_copy_only=False)
+        code, n = b.column("code"), b.column("n").to_numpy()
+        size = pc.binary_length(code).to_numpy()
+        long = size > ORDINARY
+        start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (right[1:] != right[:-1]) | (long[1:] != long[:-1])])
+        ordinary = None if long.all() else _Words(code.filter(pa.array(~long)), n[~long])
+        before = np.cumsum(~long) - ~long  # place among the ordinary words
         for s, e in zip(start, [*start[1:], len(t)]):
             if t[s] != tile:
                 yield from closed()
                 tile, left = t[s], None
-            part = b.slice(s, e - s)
-            if not right[s]:
-                held.append(part)
-                continue
-            yield from closed()
-            if left is not None:
-                step = max(1, CHARS // (1 + int(left.size[0])))
-                for k in range(0, part.num_rows, step):
-                    piece = part.slice(k, step)
-                    yield from meet(left, _Words(piece.column("code"), piece.column("n").to_numpy()), False)
+            step = max(1, CHARS // int(size[s] + 2)) if long[s] else e - s
+            for k in range(s, e, step):
+                stop = min(e, k + step)
+                part = _Words(code.slice(k, stop - k), n[k:stop]) if long[s] else \
+                    ordinary.part(before[k], before[k] + stop - k)
+                if not right[s]:
+                    held.append(part)
+                    continue
+                yield from closed()
+                if left is not None:
+                    yield from meet(left, part, False)
     yield from closed()
 
 
-def near_words(words: DataFrame, classes: int = 5, tile: int = TILE) -> DataFrame:
+def near_words(words: DataFrame, classes: int = 7, tile: int = TILE) -> DataFrame:
     """``word, n_near, best, form`` of the words of ``words(word, n)`` that have
     near words: their number, the largest n among them and the smallest such
     word.  Words are distinct; those with other letters than a-z and Latin-1
@@ -234,13 +261,21 @@ def near_words(words: DataFrame, classes: int = 5, tile: int = TILE) -> DataFram
     A word's block is its length and its letters in each of ``classes`` classes
     of letters: one edit leads into the same block, or moves one letter to
     another class, or changes length and one class by one.  So a block's words
-    only meet those of its neighbours, one direction each.  Blocks are cut in
-    chunks of about ``tile`` left words, and right words stream past a chunk."""
+    only meet those of its neighbours, one direction each.  Neighbours are
+    found among the blocks, not the words.  Blocks are cut in chunks of about
+    ``tile`` left words, and right words stream past a chunk."""
     words = words.filter(F.col("word").rlike("^[a-zÀ-ÿ]+$"))
-    coded = keep(words.select(F.encode("word", "ISO-8859-1").alias("code"), "n", _block(F.col("word"), classes).alias("block")),
-                 "variant-words")
-    chunks = coded.groupBy(F.col("block").alias("left_block")).agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum(F.length("code")) / CHARS)).cast("int").alias("chunks"))
+    shape = _block(F.col("word"), classes)
+    coded = keep(words.select(F.encode("word", "ISO-8859-1").alias("code"), "n", shape.alias("shape"))
+                 .withColumn("block", F.xxhash64("shape")), "variant-words")
+    blocks = keep(coded.groupBy("block").agg(
+        F.any_value("shape").alias("shape"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum(F.length("code")) / CHARS)).cast("int").alias("chunks")),
+        "variant-blocks")
+    chunks = blocks.select(F.col("block").alias("left_block"), "chunks")
+    near = blocks.select("block", F.explode(_later(F.col("shape"), classes)).alias("shape")) \
+        .select("block", F.xxhash64("shape").alias("left_block")).join(chunks, "left_block")
+    coded = coded.select("code", "n", "block")
     home = coded.join(chunks, F.col("block") == F.col("left_block")) \
         .withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int"))
 
@@ -251,9 +286,7 @@ def near_words(words: DataFrame, classes: int = 5, tile: int = TILE) -> DataFram
     # the block's other chunks, each pair of chunks once
     own = home.filter("chunk > 0").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1))) \
         .select(tile_of(F.col("to")).alias("tile"), F.lit(True).alias("right"), "code", "n")
-    met = coded.select("code", "n", F.explode(_later(F.col("block"), classes)).alias("to_block")) \
-        .join(chunks, F.col("to_block") == F.col("left_block")) \
-        .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
+    met = coded.join(near, "block").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
         .select(tile_of(F.col("to")).alias("tile"), F.lit(True).alias("right"), "code", "n")
     tiles = left.unionByName(own).unionByName(met).repartition("tile").sortWithinPartitions("tile", "right")
     found = tiles.mapInArrow(_tiles, _FOUND)
@@ -262,7 +295,7 @@ def near_words(words: DataFrame, classes: int = 5, tile: int = TILE) -> DataFram
         .select("word", "n_near", (-F.col("first.rank")).alias("best"), "first.form")
 
 
-def group_variants(words: DataFrame, factor: int = 10, classes: int = 5, tile: int = TILE) -> DataFrame:
+def group_variants(words: DataFrame, factor: int = 10, classes: int = 7, tile: int = TILE) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` for the distinct words of
     ``words(word, n)``: a word's form is its near word (one inserted, deleted or
     replaced code point) of largest n, ties to the smallest word, if that n is
