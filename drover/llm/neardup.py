@@ -397,9 +397,12 @@ def embedding_duplicates(vectors: DataFrame, similarity: float = 0.93, recall: f
     edges = index.filter("key <> grp_key").select(F.col("key").alias("a"), F.col("grp_key").alias("b"))         .unionByName(cross.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     roots = components(edges, "vectors-components").withColumnRenamed("node", "key")
     counts = index.select("key", "links", "docs").unionByName(cross.filter("other is null").select("key", "links", "docs"))         .groupBy("key").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
-    info = points.select("key", "copies", "least").join(counts, "key").join(roots, "key", "left")         .withColumn("root", F.coalesce("root", "key"))
-    heads = info.groupBy("root").agg(F.min("least").alias("head"))
-    info = info.join(heads, "root").select("key", "head", "links", (F.col("copies") - 1 + F.col("docs")).alias("n"))
+    # written, so that the join below can split a component that holds many rows
+    heads = keep(points.select("key", "least").join(roots, "key").groupBy("root").agg(F.min("least").alias("head")),
+                 "vectors-heads")
+    info = points.select("key", "copies", "least").join(counts, "key").join(roots, "key", "left").join(heads, "root", "left") \
+        .select("key", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("head")).alias("head"), "links",
+                (F.col("copies") - 1 + F.col("docs")).alias("n"))
     alone = F.col("key").isNull()
     out = base.select("id", "label", "key").join(info, "key", "left").select(
         "id", "label", F.coalesce("n", F.lit(0)).alias("n_links"),
