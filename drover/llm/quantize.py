@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from drover.llm.common import keep
 from drover.llm.vectors import by_dimension
 
-#: Components beyond this count as this (their error has left the range of a long).
-LARGEST = 1e25
+#: Components beyond this count as this: doubles hold all whole numbers up to it, and
+#: the square of half of it has left the range of a long.
+LARGEST = float(1 << 52)
 _LONG = (1 << 63) - 1
 _PARTS = "row bigint, pos int, entry int, comps array<double>"
 _PARTS_ARROW = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("entry", pa.int32()),
@@ -189,7 +190,7 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
     length of the smallest id's vector counts: rows of another length, or an
     empty vector, take no part and have null code and error.  Lengths that
     ``parts`` doesn't divide are cut as evenly as they allow (an empty part is
-    entry 00).  Sums beyond a long saturate.  Null ids and labels are kept; an
+    entry 00).  Integers beyond 2^52 count as 2^52; sums beyond a long saturate.  Null ids and labels are kept; an
     empty table gives no rows; other columns are ignored.
 
     Equal parts of a hot group share an entry: its owner is salted over the
