@@ -12,6 +12,8 @@ from drover.llm.vectors import finite_vectors, query_rows, search_tiles
 
 TILE_SCHEMA = "query_id bigint, vec_id bigint, score bigint, part int"
 _LOW = np.iinfo(np.int64).min
+#: Products of one tile that are held at a time.
+PRODUCTS = 1 << 21
 
 
 def integer_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -42,6 +44,11 @@ class TileTopK:
                          "score": pa.array([], pa.int64()), "part": pa.array([], pa.int32())})
 
     def __call__(self, shard, ids, v, qids, q) -> pa.Table:
+        step = max(1, PRODUCTS // len(ids))
+        return pa.concat_tables([self._part(shard, ids, v, qids[i: i + step], q[i: i + step])
+                                 for i in range(0, len(qids), step)])
+
+    def _part(self, shard, ids, v, qids, q) -> pa.Table:
         s = integer_products(q, v)
         s[qids[:, None] == ids[None, :]] = _LOW  # the query's own row
         n, k = s.shape[1], self.k
@@ -72,7 +79,7 @@ def merge_lists(lists: DataFrame, k: int, parts: int, fan_in: int) -> DataFrame:
 
 
 def top_products(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, id_col: str = "vec_id",
-                 vec_col: str = "embedding", shard_rows: int = 2048, block_rows: int = 2048,
+                 vec_col: str = "embedding", shard_rows: int = 1 << 14, block_rows: int = 1 << 13,
                  fan_in: int = 8) -> DataFrame:
     """The ``k`` highest integer inner products of floor(scale * x) vectors for
     each query row (id divisible by ``every``) against every row but its own.
