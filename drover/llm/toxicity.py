@@ -39,9 +39,14 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, code[inside[: len(code)]], np.cumsum(size - 2) - (size - 2)
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a text; a text without any holds one blank word, which the
+    network learns like the others (an empty window would only tell its bias)."""
+    return text.split() or [""]
+
+
 def windows(n: int) -> list[tuple[int, int]]:
-    """All overlapping windows of a text of ``n`` words; an empty text has one
-    empty window."""
+    """All overlapping windows of a text of ``n`` words."""
     last = -(-max(0, n - WINDOW) // STRIDE) * STRIDE
     return [(a, min(a + WINDOW, n)) for a in range(0, last + 1, STRIDE)]
 
@@ -200,7 +205,7 @@ class Scorer:
 
     def window_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, logit) of every window."""
-        lists = [t.split() for t in texts]
+        lists = [words_of(t) for t in texts]
         flat = np.r_[self._numbers(lists), np.zeros(WINDOW, np.int32)]
         doc, begin, size, at = [], [], [], 0
         for i, words in enumerate(lists):
@@ -257,7 +262,7 @@ def choose(ids, texts: list[str], labels, rnd: int, odds: np.ndarray, scorer: Sc
         ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
     for k, (i, t, y) in enumerate(zip(ids, texts, labels)):
-        words = t.split()
+        words = words_of(t)
         spans = windows(len(words))
         if scorer:
             pick = [int(np.argmax(logit[ends[k]: ends[k + 1]]))]
@@ -287,7 +292,7 @@ class Fit:
         net, g = self.net, np.random.default_rng([self.seed, rnd])
         found, labels = [*found, *[""] * (2 * self.blank)], [*labels, *[0] * (2 * self.blank)]
         number: dict[str, int] = {}
-        ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.split()), np.int32) for t in found]
+        ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in found]
         feats = features([*number, ""])  # the last one pads
         for _ in range(epochs):
             order = g.permutation(len(found))
@@ -348,6 +353,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on about ``docs_per_class`` labelled documents of either class
     (chosen by a hash of the id, none held out), whole texts.
 
+    Labels other than 0 and 1 (null too) and ids without a document are left
+    out; of a repeated id one row counts, toxic if any of its labels says so;
+    null and empty texts train as a blank word; without labels of both kinds
+    the score is constant; other columns are ignored.
+
     The sample is written once.  Each pass over it runs in Spark tasks, which
     look at all windows of their texts and return only the chosen windows (at
     most two a text) or each text's worst logit; the windows of a round are
@@ -415,7 +425,7 @@ def score(docs: DataFrame, net: BiGru, text_col: str = "text", keep_cols: list[s
     """Add ``out``, the toxicity (0 to 1) of every whole text: that of its worst
     window among all overlapping ones.
 
-    Null and empty texts have one empty window and get its (low) score; a text
+    Null and empty texts count as one blank word and get its (low) score; a text
     shorter than a window is one window; repeated rows score alike; an empty
     table stays empty; an input column named like the output is replaced.  If
     the labels held a single class, every score is that class's label (no
@@ -433,7 +443,9 @@ def score(docs: DataFrame, net: BiGru, text_col: str = "text", keep_cols: list[s
 
 
 def drop_toxic(docs: DataFrame, net: BiGru, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score below ``threshold``, columns unchanged."""
+    """The documents that score below ``threshold``, columns unchanged: null and
+    empty texts stay, repeated rows stay or go together, an empty table stays
+    empty, and columns of any name pass (the score takes a free one)."""
     name = "_toxic"
     while name in docs.columns:
         name += "_"
