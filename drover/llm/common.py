@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from drover.session import shared_path
 
@@ -26,6 +27,12 @@ def keep(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that helper columns beside it clash
+    with none of them; ``select("row.*")`` unpacks a column ``row``."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod`` (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(mod)
@@ -140,11 +147,13 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict]], out:
     input column with the name of a new one is replaced.  Texts are handed over
     in slices of at most ``max_chars`` characters, or one longer text."""
     kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c not in out]
-    source = text_col if text_col in kept else "__text"
-    df = docs.select(*[F.col(f"`{c}`") for c in kept],
-                     *([] if source in kept else [F.col(f"`{text_col}`").alias(source)]))
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
-                       + [f"`{c}` {t[0]}" for c, t in out.items()])
+    # plain names inside, so that columns of any name pass through Arrow
+    names = [f"c{i}" for i in range(len(kept))]
+    source = names[kept.index(text_col)] if text_col in kept else "t"
+    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)],
+                     *([] if source in names else [F.col(f"`{text_col}`").alias(source)]))
+    schema = StructType([df.schema[n] for n in names]
+                        + [StructType.fromDDL(f"n{i} {t[0]}")[0] for i, t in enumerate(out.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -153,7 +162,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], dict]], out:
                 got = fn(texts)
                 part = b.slice(begin, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + [pa.array(got[c], t[1]) for c, t in out.items()],
-                    names=kept + list(out))
+                    [part.column(n) for n in names] + [pa.array(got[c], t[1]) for c, t in out.items()],
+                    names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*kept, *out)

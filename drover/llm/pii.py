@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drover.llm.common import keep, map_texts
+from drover.llm.common import keep, map_texts, row_of
 
 # Given names by gender and script, and forms of address with the gender they tell.
 GIVEN = {
@@ -52,7 +52,8 @@ _WORD = re.compile(rf"(?<!\w){_CAPITAL}")
 _POSSESSIVE = re.compile(r"(?:['’]s|['’-]+)$")
 FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: What the JVM looks for first: texts without a match hold no entity.
-TRIGGER = (r"[A-Za-z0-9_%+-]@[A-Za-z0-9-]|[0-9][0-9 .()-]{5,}[0-9]|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|"
+#: Every alternative is part of each match of some pattern, without what stands around it.
+TRIGGER = (r"[A-Za-z0-9_%+-]@[A-Za-z0-9-]|[0-9][0-9 .()-]{5,}[0-9]|\+[0-9][0-9 .()-]{5}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|"
            rf"(?<!\w)(?:{_ADDRESS}|{_NAMES})\.? +[A-ZÀ-ÖØ-ÞА-ЯЁ]")
 
 
@@ -66,6 +67,7 @@ def luhn(digits: str) -> bool:
 
 
 EXACT = -1  # the attempt number of a surrogate by the permutation of its space
+WIDE = 1000  # from this attempt on, surrogates are longer than their entities
 _PRIVATE = re.compile(r"(10|127|192\.168|172\.(1[6-9]|2\d|3[01]))\.")
 
 
@@ -197,20 +199,21 @@ class Surrogates:
         if attempt == EXACT:
             return self.exact(kind, canon)
         numbers = self._stream(kind, canon, attempt)
+        more = "0" * (1 + (attempt - WIDE) // 4) if attempt >= WIDE else ""
         if kind == "email":
             local, domain = canon.split("@", 1)
-            return self._fill(local, numbers) + "@" + self._host(domain)
+            return self._fill(local + more.replace("0", "a"), numbers) + "@" + self._host(domain)
         if kind == "ip":
             private = _PRIVATE.match(canon)
-            head = private.group(1).split(".") if private else [str(11 + next(numbers) % 100)]
+            head = ["10"] if private and more else private.group(1).split(".") if private else [str(11 + next(numbers) % 100)]
             return ".".join([*head, *(str(1 + next(numbers) % 254) for _ in range(4 - len(head)))])
         if kind == "iban":
-            return canon[:2] + self._fill(canon[2:], numbers)
+            return canon[:2] + self._fill(canon[2:] + more, numbers)
         if kind == "phone":
             code, rest = canon.split("|")
-            return code + "|" + self._fill(rest, numbers)
+            return code + "|" + self._fill(rest + more, numbers)
         if kind == "card":
-            body = canon[0] + self._fill(canon[1:-1], numbers)
+            body = canon[0] + self._fill(canon[1:-1] + more, numbers)
             last = [d for d in "0123456789" if luhn(body + d) == luhn(canon)]
             return body + last[next(numbers) % len(last)]
         if kind == "family":
@@ -219,7 +222,7 @@ class Surrogates:
             n = 2 + next(numbers) % 2 + attempt // 3  # longer the more collide
             return "|".join([gender, script, "".join(parts[(next(numbers) * 256 + next(numbers)) % len(parts)]
                                                       for _ in range(n + 1)) + ENDING.get((gender, script), "")])
-        return self._fill(canon, numbers)  # ssn
+        return self._fill(canon + more, numbers)  # ssn
 
     def given(self, name: str, gender: str, script: str) -> str:
         """A keyed permutation of the names of one gender and script."""
@@ -247,7 +250,7 @@ class Surrogates:
             return made
         code, _, made = made.rpartition("|")
         rest = iter(made)
-        return code + "".join(next(rest) if c.isalnum() else c for c in found[len(code):])
+        return code + "".join(next(rest) if c.isalnum() else c for c in found[len(code):]) + "".join(rest)
 
     def entities(self, text: str):
         """(start, end, kind, canonical) of the parts to replace, in order; a
@@ -318,8 +321,10 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     Names grow longer with the attempts, so that all of them get settled.  Of
     the other kinds, what still collides after ``rounds`` is in a space that its
     entities (nearly) fill: all entities of that space then get surrogates by a
-    keyed permutation of it (``EXACT``), different ones for different entities
-    and never the entity itself; another entity's text can be among them."""
+    keyed permutation of it (``EXACT``), as far as these are no entities.  For
+    the rest the format has no free text left: their surrogates grow longer,
+    attempt by attempt (private addresses go to the largest private range), so
+    that a surrogate is never another entity's text."""
 
     def made_by(attempt: int):
         def make():
@@ -336,7 +341,18 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     names = entities.select("kind", "canon").filter("kind <> 'given'").distinct()
     names = keep(names.withColumn("both", F.concat_ws("\x1e", "kind", "canon")), "pii-entities")
     open_, settled = names, None
-    for attempt in itertools.count():
+    for attempt in itertools.chain(range(rounds), itertools.count(WIDE)):
+        if attempt == WIDE:
+            full = map_texts(left.filter("kind <> 'family'"), spaces, {"space": ("string", pa.string())}, text_col="both")
+            full = keep(full.select("kind", "space").distinct(), "pii-full")
+            rest = map_texts(names.filter("kind <> 'family'"), spaces, {"space": ("string", pa.string())}, text_col="both")
+            rest = keep(rest.join(full, ["kind", "space"], "left_semi").drop("space"), "pii-full-entities")
+            exact = map_texts(rest, made_by(EXACT), {"made": ("string", pa.string())}, text_col="both") \
+                .select("kind", "canon", "made", F.lit(EXACT).alias("attempt")) \
+                .join(names.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_anti")
+            kept = settled.join(rest.select("kind", "canon"), ["kind", "canon"], "left_anti")
+            settled = keep(kept.unionByName(exact), "pii-settled")
+            open_ = keep(names.join(settled, ["kind", "canon"], "left_anti"), "pii-open")
         made = map_texts(open_, made_by(attempt), {"made": ("string", pa.string())}, text_col="both")
         taken = names.select("kind", F.col("canon").alias("made"), F.lit(0).alias("who"))
         if settled is not None:
@@ -346,21 +362,9 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         free = first.join(taken, ["kind", "made"], "left_anti").withColumn("attempt", F.lit(attempt))
         now = free.select("kind", "canon", "made", "attempt")
         settled = keep(now if settled is None else settled.unionByName(now), "pii-settled")
-        left = keep(names.join(settled, ["kind", "canon"], "left_anti"), "pii-open")
+        left = open_ = keep(names.join(settled, ["kind", "canon"], "left_anti"), "pii-open")
         if left.isEmpty():
             return settled
-        if attempt + 1 == rounds:
-            full = map_texts(left.filter("kind <> 'family'"), spaces, {"space": ("string", pa.string())}, text_col="both")
-            full = keep(full.select("kind", "space").distinct(), "pii-full")
-            rest = map_texts(names.filter("kind <> 'family'"), spaces, {"space": ("string", pa.string())}, text_col="both")
-            rest = keep(rest.join(full, ["kind", "space"], "left_semi").drop("space"), "pii-full-entities")
-            rest = map_texts(rest, made_by(EXACT), {"made": ("string", pa.string())}, text_col="both") \
-                .select("kind", "canon", "made", F.lit(EXACT).alias("attempt"))
-            settled = keep(settled.join(rest, ["kind", "canon"], "left_anti").unionByName(rest), "pii-settled")
-            left = keep(names.join(settled, ["kind", "canon"], "left_anti"), "pii-open")
-            if left.isEmpty():
-                return settled
-        open_ = left
 
 
 def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str = "doc_id", text_col: str = "text",
@@ -385,10 +389,8 @@ def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str =
     Attempts other than the first reach the documents by a join."""
     out = out or text_col
     text = F.col(f"`{text_col}`")
-    columns = [c for c in docs.columns if c not in (out, "n_entities")]
     maybe = F.coalesce(text.rlike(TRIGGER), F.lit(False))
-    some = keep(docs.filter(maybe).withColumn("_text", text).select(*[F.col(f"`{c}`") for c in columns if c != "_text"], "_text"),
-                "pii-texts")
+    some = keep(docs.filter(maybe).select(row_of(docs).alias("row"), text.alias("t"), F.xxhash64(text).alias("key")), "pii-texts")
 
     def find():
         s = Surrogates(key)
@@ -398,16 +400,14 @@ def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str =
         return run
 
     # repeated texts are looked at once
-    found = map_texts(some.select("_text").distinct(), find,
-                      {"found": ("array<string>", pa.list_(pa.string()))}, text_col="_text")
-    found = keep(found.select(F.xxhash64("_text").alias("_key"), F.explode("found").alias("both"))
-                 .select("_key", F.split("both", "\x1e")[0].alias("kind"), F.split("both", "\x1e")[1].alias("canon")),
+    found = map_texts(some.select("t").distinct(), find, {"found": ("array<string>", pa.list_(pa.string()))}, text_col="t")
+    found = keep(found.select(F.xxhash64("t").alias("key"), F.explode("found").alias("both"))
+                 .select("key", F.split("both", "\x1e")[0].alias("kind"), F.split("both", "\x1e")[1].alias("canon")),
                  "pii-found")
     again = attempts(found, key).filter("attempt <> 0").select("kind", "canon", "attempt")
     pairs = F.collect_set(F.concat_ws("\x1e", "kind", "canon", F.col("attempt").cast("string")))
-    tries = found.join(again, ["kind", "canon"]).groupBy("_key").agg(F.concat_ws("\x1d", pairs).alias("_tries"))
-    some = some.withColumn("_key", F.xxhash64("_text")).join(tries, "_key", "left") \
-        .withColumn("_both", F.concat_ws("\x1c", F.coalesce("_tries", F.lit("")), "_text"))
+    tries = found.join(again, ["kind", "canon"]).groupBy("key").agg(F.concat_ws("\x1d", pairs).alias("tries"))
+    some = some.join(tries, "key", "left").withColumn("both", F.concat_ws("\x1c", F.coalesce("tries", F.lit("")), "t"))
 
     def put():
         def run(texts: list) -> dict:
@@ -418,11 +418,11 @@ def replace_private(docs: DataFrame, key: str = "change-this-key", id_col: str =
                 r = Surrogates(key, {(k, c): int(a) for k, c, a in parts}).replace(t)
                 new.append(r[0])
                 n.append(r[1])
-            return {out: new, "n_entities": n}
+            return {"new": new, "n": n}
         return run
 
-    done = map_texts(some, put, {out: ("string", pa.string()), "n_entities": ("int", pa.int32())}, text_col="_both",
-                     keep_cols=[c for c in columns if c != "_text"])
-    rest = docs.filter(~maybe).withColumn(out, text).withColumn("n_entities", F.lit(0))
-    order = [*(c for c in docs.columns if c != "n_entities"), *([] if out in docs.columns else [out]), "n_entities"]
-    return rest.select(*[F.col(f"`{c}`") for c in order]).unionByName(done.select(*[F.col(f"`{c}`") for c in order]))
+    done = map_texts(some, put, {"new": ("string", pa.string()), "n": ("int", pa.int32())}, text_col="both", keep_cols=["row"])
+    rest = docs.filter(~maybe | text.isNull()).select(row_of(docs).alias("row"), text.alias("new"), F.lit(0).alias("n"))
+    columns = [F.col("new").alias(c) if c == out else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_entities"]
+    columns += [] if out in docs.columns else [F.col("new").alias(out)]
+    return rest.unionByName(done).select(*columns, F.col("n").alias("n_entities"))
