@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drover.llm.common import components, keep, map_groups, map_texts, reduced, starts_of
+from drover.llm.common import components, keep, map_groups, map_texts, reduced, row_of, starts_of
 
 TREES, LONGEST = 32, 8
 #: Members of a bucket that are compared inside one task, and of a tile side.
@@ -310,20 +310,22 @@ def similarity_join(docs: DataFrame, similarity: float = 0.8, words: int = 5, re
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """One document of each class of ``similarity_join`` stays, the one with the
-    smallest id; texts without a word all stay.  Columns unchanged."""
+    smallest id; texts without a word (null, empty) all stay.  Columns unchanged,
+    whatever their names.  Rows repeated as a whole are copies, of which one
+    stays; null ids lead a class only among themselves; an empty table stays
+    empty."""
     joined = keep(similarity_join(docs, similarity, words, id_col=id_col, text_col=text_col)
-                  .select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "kept"), "join-kept")
-    heads = keep(joined.filter("kept is not null").groupBy("_id", "_key")
-                 .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")), "join-heads")
+                  .select(F.col(id_col).alias("of_id"), F.col("text_key").alias("of_key"), "kept"), "join-kept")
+    heads = keep(joined.filter("kept is not null").groupBy("of_id", "of_key")
+                 .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "join-heads")
     # texts none of which is dropped or repeated pass without a shuffle
-    doubt = joined.filter("kept is null").select("_key").unionByName(
-        heads.filter("_kept = 'head' and _rows > 1").select("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`")))
-    key = F.col("_text_key")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    sure = reduced(keyed, key, doubt, F.col("_key"), how="left_anti").select(*columns)
-    rows = reduced(keyed, key, doubt, F.col("_key")).join(
-        heads, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
-    single = (F.col("_kept") == "alone") | (F.col("_rows") == 1)
-    again = rows.filter(~single).dropDuplicates(["_text_key", id_col])  # rows repeated as a whole
-    return sure.unionByName(rows.filter(single).select(*columns)).unionByName(again.select(*columns))
+    doubt = joined.filter("kept is null").select("of_key").unionByName(
+        heads.filter("kept = 'head' and rows > 1").select("of_key"))
+    keyed = docs.select(row_of(docs).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                        F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    sure = reduced(keyed, F.col("key"), doubt, F.col("of_key"), how="left_anti")
+    rows = reduced(keyed, F.col("key"), doubt, F.col("of_key")).join(
+        heads, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")))
+    single = (F.col("kept") == "alone") | (F.col("rows") == 1)
+    again = rows.filter(~single).dropDuplicates(["key", "id"])  # rows repeated as a whole
+    return sure.select("row").union(rows.filter(single).select("row")).union(again.select("row")).select("row.*")

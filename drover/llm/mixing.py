@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drover.llm.common import keep
+from drover.llm.common import keep, row_of
 
 # Words are maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -205,12 +205,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as many times as ``mix`` takes it
-    (columns unchanged)."""
+    (columns unchanged, whatever their names).
+
+    Null and empty texts have no words and are never taken; null ids and sources
+    count as values; repeated rows are taken equally often; ties go by a hash of
+    the id; an empty table stays empty."""
     copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("copies > 0") \
-        .groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")) \
-        .agg(F.max("copies").cast("int").alias("_copies"))
-    out = docs.withColumn("_words", word_count(f"`{text_col}`"))
-    out = out.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
-                   & F.col(f"`{source_col}`").eqNullSafe(F.col("_source")))
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .groupBy(F.col(id_col).alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size")) \
+        .agg(F.max("copies").cast("int").alias("copies"))
+    out = docs.select(row_of(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
+                      word_count(f"`{text_col}`").alias("words"))
+    out = out.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("words") == F.col("of_size"))
+                   & F.col("source").eqNullSafe(F.col("of_source")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("i")).select("row.*")
