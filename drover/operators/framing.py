@@ -14,21 +14,25 @@ output, which is the record itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drover.functions import text as T
 from drover.operators.dataset import keyed_prefix_sum
 
 MARKER_LINE_RE = T.MARKER_RE  # "__CMD_DONE__<hex>__:"
+#: Characters beyond the limit that are looked at for a marker.
+MARKER_ROOM = 256
 
 
 def chunk_lines(chunks: DataFrame, session: str = "session_id", seq: str = "seq",
-                chunk: str = "chunk", skew_safe: bool = False) -> DataFrame:
+                chunk: str = "chunk", skew_safe: bool = False, ts: str | None = None) -> DataFrame:
     """``(session, line_no, line, terminated)`` for the session's stream.
 
     ``terminated`` is false only for a session's last line when no newline
-    has arrived after it yet.  ``skew_safe`` computes the running newline
+    has arrived after it yet.  With ``ts``, the arrival time of the chunks, a
+    line also has its ``parts`` in order (array of s, t, at) and ``ended_at``,
+    when its newline arrived.  ``skew_safe`` computes the running newline
     count with ``keyed_prefix_sum`` so one huge session is spread over many
     tasks (two shuffles instead of one)."""
     c = chunks.withColumn("_pieces", F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1))
@@ -37,15 +41,17 @@ def chunk_lines(chunks: DataFrame, session: str = "session_id", seq: str = "seq"
     else:
         before = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
         c = c.withColumn("_nb", F.coalesce(F.sum(F.size("_pieces") - 1).over(before), F.lit(0)))
-    p = c.select(session, seq, "_nb", F.size("_pieces").alias("_np"),
+    at = [] if ts is None else [F.col(ts).alias("at")]
+    p = c.select(session, seq, *at, "_nb", F.size("_pieces").alias("_np"),
                  F.posexplode("_pieces").alias("_j", "_piece"))
     p = p.withColumn("line_no", (F.col("_nb") + F.col("_j")).cast("bigint")) \
         .withColumn("_term", F.col("_j") < F.col("_np") - 1)
+    part = F.struct(F.col(seq).alias("s"), F.col("_piece").alias("t"), *(F.col("at") for _ in at))
     lines = p.groupBy(session, "line_no").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("_piece").alias("t")))).alias("_parts"),
-        F.max("_term").alias("terminated"))
-    return lines.select(session, "line_no", F.array_join(F.transform("_parts", lambda x: x["t"]), "").alias("line"),
-                        "terminated")
+        F.array_sort(F.collect_list(part)).alias("parts"), F.max("_term").alias("terminated"),
+        *(F.max(F.when(F.col("_term"), F.col("at"))).alias("ended_at") for _ in at))
+    return lines.select(session, "line_no", F.array_join(F.transform("parts", lambda x: x["t"]), "").alias("line"),
+                        "terminated", *(("parts", "ended_at") if at else ()))
 
 
 def frame_lines(lines: DataFrame, session: str = "session_id", skew_safe: bool = False) -> DataFrame:
@@ -109,36 +115,59 @@ def pending_commands(chunks: DataFrame, session: str = "session_id", seq: str =
 
 
 def command_timeouts(chunks: DataFrame, limit_s: float = 10.0, session: str = "session_id",
-                     seq: str = "seq", ts: str = "ts", chunk: str = "chunk") -> DataFrame:
-    """Batch form of T3 over timestamped chunks: a command whose marker arrives
-    more than ``limit_s`` after its first chunk is a failure carrying the first
-    500 characters of its output (its later text is stale and dropped)."""
-    framed = frame_lines(chunk_lines(chunks, session, seq, chunk), session)
-    recs = frame_commands(chunks, session, seq, chunk)
-    # a record starts when the previous one ended (or at the session's first
-    # chunk) and ends when the chunk completing its marker line arrives
-    out = recs.join(_record_times(chunks, framed, session, seq, ts, chunk), [session, "record_no"], "left")
-    w = Window.partitionBy(session).orderBy("record_no")
-    start = F.coalesce(F.lag("end_ts").over(w), F.col("first_ts"))
-    late = F.timestamp_diff("MICROSECOND", start, F.col("end_ts")) > F.lit(int(limit_s * 1_000_000))
-    out = out.withColumn("timed_out", late)
-    return out.select(session, "record_no",
-                      F.when(F.col("timed_out"), T.truncate_error("output")).otherwise(F.col("output")).alias("output"),
-                      F.when(F.col("timed_out"), F.lit(None).cast("int")).otherwise(F.col("exit_code")).alias("exit_code"),
-                      "timed_out")
-
-
-def _record_times(chunks, framed, session, seq, ts, chunk):
-    """End time of each record (arrival of the chunk that terminates its marker
-    line) and the session's first chunk time."""
-    c = chunks.withColumn("_pieces", F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1))
-    before = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_nb", F.coalesce(F.sum(F.size("_pieces") - 1).over(before), F.lit(0))) \
-        .withColumn("_last_line", F.col("_nb") + F.size("_pieces") - 1)
-    # a line is terminated by the chunk whose newline range covers it
-    term = c.filter(F.col("_last_line") > F.col("_nb")) \
-        .select(session, ts, F.explode(F.sequence(F.col("_nb"), F.col("_last_line") - 1)).alias("line_no"))
-    markers = framed.filter("is_marker").select(session, "line_no", "record_no")
-    ends = markers.join(term, [session, "line_no"]).groupBy(session, "record_no").agg(F.min(ts).alias("end_ts"))
-    first = chunks.groupBy(session).agg(F.min(ts).alias("first_ts"))
-    return ends.join(first, session)
+                     seq: str = "seq", ts: str = "ts", chunk: str = "chunk", until=None,
+                     skew_safe: bool = False) -> DataFrame:
+    """Batch form of T3 over timestamped chunks:
+    ``(session, record_no, output, exit_code, timed_out)``.
+
+    A command starts when the one before it ended (the first at the session's
+    first chunk) and ends when the chunk that completes its marker line arrives.
+    If that is more than ``limit_s`` after the start, or the marker has not come
+    by then at all, the command is a failure without exit code, and its output
+    is the first 500 characters of what arrived by the deadline, up to a marker
+    begun by then; later text is stale and dropped.  A session's unfinished tail
+    is a command if it holds any text, and a failure once the observation has
+    passed its deadline: at ``until`` (a timestamp or column; null or not given:
+    the session's last chunk).  A tail within its limit is still running and has
+    no row.
+
+    Deadlines are joined to lines on (session, record); of a failed command
+    only the lines that can reach the 500 characters are gathered, however long
+    it went on."""
+    lines = chunk_lines(chunks, session, seq, chunk, skew_safe, ts)
+    if skew_safe:
+        from drover.session import checkpoint_root
+        checkpoint_root(lines.sparkSession)
+        lines = lines.checkpoint(eager=True)
+    framed = frame_lines(lines, session, skew_safe)
+    recs = framed.groupBy(session, "record_no").agg(
+        F.max(F.when(F.col("is_marker"), F.col("ended_at"))).alias("end_ts"),
+        F.max(F.when(F.col("is_marker"), T.marker_exit_code("line"))).alias("exit_code"),
+        F.min("line_no").alias("first_line"), F.max(F.length("line") > 0).alias("has_text"))
+    seen = chunks.groupBy(session).agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    before = F.lag("end_ts").over(Window.partitionBy(session).orderBy("record_no"))
+    recs = recs.join(seen, session).withColumn("start", F.coalesce(before, F.col("first_ts")))
+    recs = recs.withColumn("deadline", F.col("start") + F.make_dt_interval(secs=F.lit(float(limit_s))))
+    now = F.col("last_ts") if until is None else F.coalesce(until if isinstance(until, Column) else F.lit(until).cast("timestamp"),
+                                                            F.col("last_ts"))
+    running = F.col("end_ts").isNull()
+    recs = recs.withColumn("timed_out", F.when(running, F.col("has_text") & (now > F.col("deadline")))
+                           .otherwise(F.col("end_ts") > F.col("deadline"))) \
+        .filter(~running | F.col("timed_out")) \
+        .select(session, "record_no", "timed_out", "deadline", "first_line",
+                F.when(~F.col("timed_out"), F.col("exit_code")).alias("exit_code"))
+    # every arrived line has a character at least, its newline
+    room = T.ERROR_TEXT_LIMIT + MARKER_ROOM
+    x = framed.join(recs, [session, "record_no"]) \
+        .filter(~F.col("timed_out") | (F.col("line_no") < F.col("first_line") + room))
+    body = F.when(F.col("is_marker"),
+                  F.regexp_extract("line", "(?s)^(.*?)" + MARKER_LINE_RE, 1)).otherwise(F.concat("line", F.lit("\n")))
+    come = F.array_join(F.transform(F.filter("parts", lambda p: p["at"] <= F.col("deadline")), lambda p: p["t"]), "")
+    newline = F.when(F.col("ended_at") <= F.col("deadline"), F.lit("\n")).otherwise(F.lit(""))
+    text = F.when(F.col("timed_out"), F.concat(F.substring(come, 1, room), newline)).otherwise(body)
+    out = x.groupBy(session, "record_no", "exit_code", "timed_out").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", text.alias("b")))).alias("_b"))
+    whole = F.array_join(F.transform("_b", lambda b: b["b"]), "")
+    cut = T.truncate_error(F.regexp_replace(whole, "(?s)" + MARKER_LINE_RE + ".*$", ""))
+    return out.select(session, "record_no", F.when(F.col("timed_out"), cut).otherwise(whole).alias("output"),
+                      "exit_code", "timed_out")

@@ -1,92 +1,163 @@
-"""T1: incremental episode outcomes on a stream of steps.
-
-Each run's steps are processed in turn order with ``applyInPandasWithState``.
-Steps that arrive ahead of a missing turn are buffered in state until the gap
-fills, so arrival order does not change the result.  An episode is emitted
-once, at its first terminal step (same rule as the batch ``episode_outcome``);
-runs that stop arriving are closed by an event-time timeout and emitted as
-still running.  State per run is bounded by the episode's turn limit.
+"""T1: incremental episode outcomes on a stream of steps, and session statistics.
+
+Each run's steps are processed in turn order by a stateful processor
+(``transformWithStateInPandas``).  Steps that arrive ahead of a missing turn wait
+in a list state until the gap fills, so arrival order does not change the result.
+A run has two event-time timers:
+
+- *idle*: no step for ``idle_timeout`` of event time.  The run is emitted as still
+  running (null end) but not forgotten: if it resumes, its turns and its clock go
+  on, and its end is emitted later.
+- *forget*: after ``retention``, long after the idle timeout, its state goes.
+
+So a run has at most one ended row, and perhaps running rows before it;
+``latest_outcomes`` keeps one row a run.  State per run is bounded by the turn
+limit: turns beyond it can't matter and are not kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT_SCHEMA = ("run_id BIGINT, n_steps INT, end_turn INT, is_done_action BOOLEAN, at_max_turns BOOLEAN, "
                  "late BOOLEAN, timed_out BOOLEAN, verified BOOLEAN, goal_reached BOOLEAN, reward INT")
 # times are kept as microseconds since the epoch (UTC)
-STATE_SCHEMA = ("next_turn INT, start_us BIGINT, closed BOOLEAN, p_turn ARRAY<INT>, "
-                "p_us ARRAY<BIGINT>, p_action ARRAY<STRING>, p_pass ARRAY<BOOLEAN>")
-_COLS = ["run_id", "n_steps", "end_turn", "is_done_action", "at_max_turns", "late", "timed_out",
-         "verified", "goal_reached", "reward"]
+PROGRESS_SCHEMA = "next_turn INT, start_us BIGINT, closed BOOLEAN, last_ms BIGINT"
+WAITING_SCHEMA = "turn INT, us BIGINT, action STRING, passes BOOLEAN"
+_COLS = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _us(ts) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
-def _outcome_fn(max_turns: int, max_time: float, idle_timeout_ms: int):
-    limit_us = int(max_time * 1_000_000)
+class EpisodeProcessor(StatefulProcessor):
+    """Outcome of each run at its first terminal step (same rule as the batch
+    ``episode_outcome``)."""
 
-    def step(key, pdfs, state):
-        (run_id,) = key
-        if state.hasTimedOut:
-            nxt, _, closed, pt = state.get[0], state.get[1], state.get[2], state.get[3]
-            state.remove()
-            if not closed:
-                row = dict.fromkeys(_COLS)
-                row.update(run_id=run_id, n_steps=nxt - 1 + len(pt or []))
-                yield pd.DataFrame([row], columns=_COLS)
-            return
-        if state.exists:
-            nxt, start, closed, pt, pus, pa, pp = state.get
-            pending = {t: (u, a, p) for t, u, a, p in zip(pt or [], pus or [], pa or [], pp or [])}
+    def __init__(self, max_turns: int, max_time: float, idle_ms: int, retention_ms: int):
+        self.max_turns, self.limit_us = max_turns, int(max_time * 1_000_000)
+        self.idle_ms, self.retention_ms = idle_ms, max(retention_ms, idle_ms + 1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", PROGRESS_SCHEMA)
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
+
+    def close(self) -> None:
+        pass
+
+    def _watch(self, closed: bool, last_ms: int) -> None:
+        """One timer of each kind, counted from the run's last step."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(last_ms + self.retention_ms)
+        if not closed:
+            self.handle.registerTimer(last_ms + self.idle_ms)
+
+    def _ended(self, run_id, turn: int, us: int, start: int, action, passes) -> dict | None:
+        at_max, late = turn >= self.max_turns, us - start > self.limit_us
+        if not (action == "done" or at_max or late):
+            return None
+        timed_out = late and not at_max
+        goal = not timed_out and bool(passes)
+        return {"run_id": run_id, "n_steps": turn, "end_turn": turn, "is_done_action": action == "done",
+                "at_max_turns": at_max, "late": late, "timed_out": timed_out, "verified": not timed_out,
+                "goal_reached": goal, "reward": int(goal)}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        nxt, start, closed, last = self.progress.get() if self.progress.exists() else (1, None, False, None)
+        waiting = {} if closed or not self.waiting.exists() else {r[0]: r[1:] for r in self.waiting.get()}
+        for pdf in rows:
+            for turn, ts, action, passes in zip(pdf["turn"], pdf["ts"], pdf["action_type"], pdf["verifier_passes"]):
+                us = _us(ts)
+                last = us // 1000 if last is None else max(last, us // 1000)
+                if not closed and nxt <= turn <= self.max_turns:
+                    waiting[int(turn)] = (us, action, None if pd.isna(passes) else bool(passes))
+        out = None
+        while not closed and nxt in waiting:
+            us, action, passes = waiting.pop(nxt)
+            start = us if nxt == 1 else start
+            out = self._ended(key[0], nxt, us, start, action, passes)
+            closed, nxt = out is not None, nxt + 1
+        if closed or not waiting:
+            self.waiting.clear()
         else:
-            nxt, start, closed, pending = 1, None, False, {}
-        max_us = None
-        for pdf in pdfs:
-            for t, ts, a, p in zip(pdf["turn"], pdf["ts"], pdf["action_type"], pdf["verifier_passes"]):
-                u = _us(ts)
-                if not closed:
-                    pending[int(t)] = (u, a, None if pd.isna(p) else bool(p))
-                max_us = u if max_us is None or u > max_us else max_us
-        out = []
-        while not closed and nxt in pending:
-            u, a, p = pending.pop(nxt)
-            if nxt == 1:
-                start = u
-            at_max = nxt >= max_turns
-            late = (u - start) > limit_us
-            if a == "done" or at_max or late:
-                timed_out = (not at_max) and late
-                goal = (not timed_out) and bool(p)
-                out.append({"run_id": run_id, "n_steps": nxt, "end_turn": nxt, "is_done_action": a == "done",
-                            "at_max_turns": at_max, "late": late, "timed_out": timed_out,
-                            "verified": not timed_out, "goal_reached": goal, "reward": int(goal)})
-                closed = True
-                pending = {}
-            nxt += 1
-        ks = sorted(pending)
-        state.update((nxt, start, closed, ks, [pending[k][0] for k in ks], [pending[k][1] for k in ks],
-                      [pending[k][2] for k in ks]))
-        wm = state.getCurrentWatermarkMs()
-        base = max(max_us // 1000 if max_us is not None else wm, wm)
-        state.setTimeoutTimestamp(base + idle_timeout_ms)
+            self.waiting.put([(t, *waiting[t]) for t in sorted(waiting)])
+        self.progress.update((nxt, start, closed, last))
+        self._watch(closed, last)
         if out:
-            yield pd.DataFrame(out, columns=_COLS)
+            yield pd.DataFrame([out], columns=_COLS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.progress.exists():
+            return
+        nxt, _, closed, last = self.progress.get()
+        if expiredTimerInfo.getExpiryTimeInMs() >= last + self.retention_ms:
+            self.progress.clear()
+            self.waiting.clear()
+        elif not closed:
+            n = nxt - 1 + (sum(1 for _ in self.waiting.get()) if self.waiting.exists() else 0)
+            yield pd.DataFrame([dict.fromkeys(_COLS) | {"run_id": key[0], "n_steps": n}], columns=_COLS)
 
-    return step
 
+def _ms(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
 
-def stream_episodes(steps: DataFrame, max_turns: int = 16, max_time: float = 600,
-                    watermark: str = "1 hour", idle_timeout: str = "2 hours") -> DataFrame:
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Stateful processors with several states and timers need the RocksDB store
+    (read when a streaming query starts)."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+
+
+def stream_episodes(steps: DataFrame, max_turns: int = 16, max_time: float = 600, watermark: str = "1 hour",
+                    idle_timeout: str = "2 hours", retention: str = "30 days") -> DataFrame:
     """Streaming episode outcomes from ``(run_id, turn, ts, action_type,
-    verifier_passes)`` rows; output mode ``append``."""
-    idle_ms = int(pd.Timedelta(idle_timeout).total_seconds() * 1000)
+    verifier_passes)`` rows; output mode ``append``.  Steps later than the
+    watermark are dropped by the engine."""
+    use_rocksdb(steps.sparkSession)
     s = steps.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return s.groupBy("run_id").applyInPandasWithState(
-        _outcome_fn(max_turns, max_time, idle_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return s.groupBy("run_id").transformWithStateInPandas(
+        EpisodeProcessor(max_turns, max_time, _ms(idle_timeout), _ms(retention)), OUTPUT_SCHEMA, "append", "eventTime")
+
+
+def latest_outcomes(rows: DataFrame, run: str = "run_id") -> DataFrame:
+    """One row a run of the rows that ``stream_episodes`` has emitted so far: its
+    end if it has ended, else the running row with the most steps."""
+    rest = [c for c in rows.columns if c != run]
+    best = F.max_by(F.struct(*rest), F.struct(F.col("end_turn").isNotNull(), F.col("n_steps")))
+    return rows.groupBy(run).agg(best.alias("r")).select(run, "r.*")
+
+
+# statistics variant ---------------------------------------------------------------
+def _session_stats(steps: DataFrame, gap: str, run: str, ts: str, action: str) -> DataFrame:
+    w = F.session_window(F.col(ts), gap).alias("w")
+    return steps.groupBy(run, w).agg(F.count(F.lit(1)).alias("n_steps"),
+                                     F.count_if(F.col(action) == "command").alias("n_command"),
+                                     F.count_if(F.col(action) == "done").alias("n_done"),
+                                     F.count_if(F.col(action) == "invalid").alias("n_invalid")) \
+        .select(run, F.col("w.start").alias("started"), F.col("w.end").alias("closes"),
+                "n_steps", "n_command", "n_done", "n_invalid")
+
+
+def step_sessions(steps: DataFrame, gap: str = "30 minutes", run: str = "run_id", ts: str = "ts",
+                  action: str = "action_type") -> DataFrame:
+    """Activity sessions of each run: steps less than ``gap`` apart, with the
+    session's first step, the time at which it closes (its last step plus the
+    gap) and counts by action."""
+    return _session_stats(steps, gap, run, ts, action)
+
+
+def stream_step_sessions(steps: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour", run: str = "run_id",
+                         ts: str = "ts", action: str = "action_type") -> DataFrame:
+    """``step_sessions`` on a stream (output mode ``append``): a session is
+    emitted once the watermark has passed its close; steps that arrive later than
+    the watermark are dropped by the engine."""
+    return _session_stats(steps.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark), gap, run, ts, action)

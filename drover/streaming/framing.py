@@ -5,8 +5,8 @@ complete marker line), out-of-order chunks waiting for a gap to fill, and a
 record counter.  A chunk completes every marker line it terminates; each
 complete marker line emits one record.  With a command timeout, a command has
 one deadline, counted from its first output: without a marker by then it emits a
-failure record with the first 500 characters of what had come, and the rest of
-its output is dropped up to and including its marker line.
+failure record with the first 500 characters of what had come (up to a marker
+that has begun), and the rest of its output is dropped up to and including its marker line.
 """
 
 from __future__ import annotations
@@ -44,16 +44,51 @@ def parse_exit_code(line: str):
     return v if _INT_MIN <= v <= _INT_MAX else None
 
 
-def split_records(tail: str):
-    """Complete records in ``tail`` and the remaining unfinished text."""
-    lines = tail.split("\n")
-    records, start = [], 0
-    for i, line in enumerate(lines[:-1]):  # the last piece is not terminated yet
-        if _MARKER.search(line):
-            body = lines[start:i] + [_PREFIX.match(line).group(1)]
-            records.append(("\n".join(body), parse_exit_code(line)))
-            start = i + 1
-    return records, "\n".join(lines[start:])
+class Framer:
+    """Text since the last complete marker line.  Lines are looked at once, when
+    their newline comes; what is held are pieces, joined when a record ends."""
+
+    def __init__(self, text: str = ""):
+        at = text.rfind("\n") + 1
+        self.lines = [text[:at]] if at else []  # without a marker
+        self.partial = [text[at:]] if at < len(text) else []
+
+    def feed(self, chunk: str):
+        """Records ``(output, exit code)`` that a chunk completes."""
+        if "\n" not in chunk:
+            if chunk:
+                self.partial.append(chunk)
+            return
+        head, *rest = chunk.split("\n")
+        rest = ["".join([*self.partial, head]), *rest]
+        last = rest.pop()
+        self.partial = [last] if last else []
+        for line in rest:
+            if _MARKER.search(line):
+                body = "".join([*self.lines, _PREFIX.match(line).group(1)])
+                self.lines = []
+                yield body, parse_exit_code(line)
+            else:
+                self.lines.append(line + "\n")
+
+    def text(self) -> str:
+        return "".join([*self.lines, *self.partial])
+
+    def drop_lines(self) -> None:
+        """Forget complete lines: a marker can only come on the last one."""
+        self.lines = []
+
+
+def split_records(text: str):
+    """Complete records in ``text`` and the remaining unfinished text."""
+    framer = Framer()
+    return list(framer.feed(text)), framer.text()
+
+
+def _cut(text: str) -> str:
+    """What came before a marker that has begun."""
+    m = _MARKER.search(text)
+    return text[:m.start()] if m else text
 
 
 def _record(session, rec: int, body: str, code, timed_out: bool) -> dict:
@@ -71,7 +106,7 @@ def _framing_fn(timeout_ms: int | None, first_seq: int):
             nxt, tail, rec, started, late, pending = first_seq, "", 0, None, False, {}
         out = []
         if timeout_ms is not None and started is not None and not late and now >= started + timeout_ms:
-            out.append(_record(session, rec, tail[:T.ERROR_TEXT_LIMIT], None, True))
+            out.append(_record(session, rec, _cut(tail)[:T.ERROR_TEXT_LIMIT], None, True))
             rec, late = rec + 1, True
         for pdf in pdfs:
             for s, c in zip(pdf["seq"], pdf["chunk"]):
@@ -80,17 +115,19 @@ def _framing_fn(timeout_ms: int | None, first_seq: int):
         while nxt in pending:
             new.append(pending.pop(nxt))
             nxt += 1
-        # only the last, unfinished line of what was held can become a marker
-        records, tail = split_records(tail + "".join(new))
-        for body, code in records:
-            if late:  # the rest of a command that was given up
-                late = False
-                continue
-            out.append(_record(session, rec, body, code, False))
-            rec += 1
+        framer, ended = Framer(tail), False
+        for chunk in new:
+            for body, code in framer.feed(chunk):
+                ended = True
+                if late:  # the rest of a command that was given up
+                    late = False
+                    continue
+                out.append(_record(session, rec, body, code, False))
+                rec += 1
         if late:
-            tail = tail[tail.rfind("\n") + 1:]  # a marker can only be on the last line
-        if records:
+            framer.drop_lines()
+        tail = framer.text()
+        if ended:
             started = None
         if tail and started is None:
             started = now

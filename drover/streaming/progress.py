@@ -1,5 +1,5 @@
-"""T4-T6: progress counters, an exactly-once results sink and incremental
-pass@k over arriving attempt rows."""
+"""T4-T6: progress counters, a results sink with one row per task and
+incremental pass@k over arriving attempt rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drover.operators import trajectory as TR
-from drover.sources import files as S
 
 
 def stream_progress(results: DataFrame, ok: str = "docker_build_success") -> DataFrame:
@@ -19,20 +18,71 @@ def stream_progress(results: DataFrame, ok: str = "docker_build_success") -> Dat
                                  F.count_if(flag).alias("succeeded"))
 
 
-def stream_results_sink(scores: DataFrame, path: str, checkpoint: str, event_time: str = "ts",
-                        watermark: str = "1 hour", key: str = "task_name"):
-    """Exactly one CSV row per finished task: duplicates of a task within the
-    watermark are dropped, each micro-batch is appended once (the checkpoint
-    makes re-runs idempotent).  Returns the ``DataStreamWriter``."""
-    dedup = scores.withColumn(event_time, F.col(event_time).cast("timestamp")) \
-        .withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
+RESULT_LOG, RESULT_BASE = "log", "base"
 
-    def write(batch: DataFrame, epoch_id: int):
-        # one folder per epoch, overwritten on replay: a re-run epoch after a
-        # failure replaces its own output instead of duplicating it
-        S.append_benchmark_results(batch, f"{path}/epoch={epoch_id}", mode="overwrite")
 
-    return dedup.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def stream_results_sink(scores: DataFrame, path: str, checkpoint: str, event_time: str = "ts", key: str = "task_name"):
+    """One row per finished task, whenever it is delivered again: each
+    micro-batch goes into a log, one folder an epoch with the newest row of each
+    task in it, and ``results_table`` merges the epochs when it is read.  A
+    re-run epoch replaces its own folder, so failures and replays change
+    nothing, and no streaming state grows with the tasks.  Returns the
+    ``DataStreamWriter``."""
+    rows = scores.withColumn(event_time, F.col(event_time).cast("timestamp"))
+
+    def write(batch: DataFrame, epoch_id: int):
+        _newest(batch, key, [event_time]).write.mode("overwrite").parquet(f"{path}/{RESULT_LOG}/epoch={epoch_id}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def _newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per key (null is one), the last in ``order``; ties by the row."""
+    rest = [c for c in rows.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order]))
+    return rows.groupBy(key).agg(last.alias("r")).select(*[c if c == key else F.col(f"r.{c}") for c in rows.columns])
+
+
+def _folders(spark, path: str) -> list[str]:
+    """Names of the folders in ``path`` that hold a finished write."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def _numbers(spark, path: str, prefix: str) -> list[int]:
+    return sorted(int(n[len(prefix):]) for n in _folders(spark, path) if n.startswith(prefix))
+
+
+def results_table(spark, path: str, event_time: str = "ts", key: str = "task_name") -> DataFrame:
+    """Current results: the newest row of each task over the newest base and all
+    later epochs of the log (an error before the first)."""
+    bases = _numbers(spark, f"{path}/{RESULT_BASE}", "upto=")
+    upto = bases[-1] if bases else -1
+    epochs = [e for e in _numbers(spark, f"{path}/{RESULT_LOG}", "epoch=") if e > upto]
+    parts = [f"{path}/{RESULT_BASE}/upto={upto}"] if bases else []
+    parts += [f"{path}/{RESULT_LOG}/epoch={e}" for e in epochs]
+    if not parts:
+        raise FileNotFoundError(f"no finished epoch in {path}")
+    return _newest(spark.read.parquet(*parts), key, [event_time])
+
+
+def compact_results(spark, path: str, event_time: str = "ts", key: str = "task_name") -> int:
+    """Merge all finished epochs into a new base and return the last of them;
+    readers use the base once it is finished, and read only later epochs with
+    it.  Run it from one place; the stream may go on meanwhile."""
+    epochs = _numbers(spark, f"{path}/{RESULT_LOG}", "epoch=")
+    bases = _numbers(spark, f"{path}/{RESULT_BASE}", "upto=")
+    last = max([*epochs, *bases], default=-1)
+    if epochs and last not in bases:
+        # what finishes meanwhile stays in the log: epochs end in order
+        merged = results_table(spark, path, event_time, key)
+        merged.write.mode("overwrite").parquet(f"{path}/{RESULT_BASE}/upto={last}")
+    return last
 
 
 def stream_run_counts(runs: DataFrame, task: str = "task_id", success: str = "success") -> DataFrame:
