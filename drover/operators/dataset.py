@@ -96,11 +96,29 @@ def assign_batches(df: DataFrame, batch_size: int, key: str = "task_id") -> Data
 
 
 # W2 --------------------------------------------------------------------------
+#: Up to this depth a slice is a top-k; beyond it, whole ranges of keys are skipped by their counts.
+DEEP_SLICE = 1_000_000
+
+
 def slice_tasks(df: DataFrame, start_at: int, num_tasks: int, key: str = "task_id") -> DataFrame:
-    """Rows ``[start_at, start_at + num_tasks)`` of the id-sorted table, sorted."""
-    idx = global_index(df, [key], "_idx")
-    return idx.filter((F.col("_idx") > start_at) & (F.col("_idx") <= start_at + num_tasks)) \
-        .orderBy("_idx").drop("_idx")
+    """Rows ``[start_at, start_at + num_tasks)`` of the id-sorted table, sorted.
+
+    A deep slice numbers the keys alone, looks up the first and the last key of
+    the slice and reads the rows between them; a limit would carry all rows
+    before the slice through one task."""
+    if start_at + num_tasks <= DEEP_SLICE:
+        return df.orderBy(key).offset(start_at).limit(num_tasks)
+    idx = global_index(df.select(F.col(key).alias("_k")), ["_k"], "_idx").filter(F.col("_idx") <= start_at + num_tasks)
+    edge = idx.filter(F.col("_idx") > start_at).agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi"),
+                                                    F.min(F.struct("_idx", "_k"))["_k"].alias("first")).first()
+    if not edge["n"]:
+        return df.limit(0)
+    first = F.lit(edge["first"])
+    before = idx.filter(F.col("_k").eqNullSafe(first)).agg(F.min("_idx")).first()[0]
+    # nulls come first
+    rows = df.filter(F.col(key).isNull() | (F.col(key) <= edge["hi"])) if edge["first"] is None else \
+        df.filter(F.col(key).between(edge["lo"], edge["hi"]))
+    return rows.orderBy(key).offset(start_at + 1 - before).limit(num_tasks)
 
 
 # O2 --------------------------------------------------------------------------
@@ -124,11 +142,19 @@ def train_val_split(tasks: DataFrame, eval_count: int = DEFAULT_EVAL_COUNT,
                     failed: DataFrame | None = None) -> DataFrame:
     """The last ``eval_count`` positions of the seeded order are validation,
     the rest train.  Positions are fixed *before* failed builds are removed, so
-    validation can come out smaller than ``eval_count``.  Further columns of
-    ``tasks`` are carried along, so that nothing need be joined back."""
-    ranked = global_index(tasks.withColumn("_sk", shuffle_key(key, seed)), ["_sk", key], "_pos", total="_all_rows")
-    out = ranked.withColumn("split", F.when(F.col("_pos") > F.col("_all_rows") - int(eval_count), F.lit("validation"))
-                            .otherwise(F.lit("train"))).drop("_sk", "_pos", "_all_rows")
+    validation can come out smaller than ``eval_count``.  Repeated ids share
+    their split; null ids come first in the order.
+
+    The first position of the validation part is looked up among the keys (a
+    top-k); the split is then a comparison with it, so no row is moved and
+    further columns of ``tasks`` are carried along."""
+    place = F.struct(shuffle_key(key, seed).alias("sk"), F.col(key).alias("k"))
+    last = tasks.select(place.alias("p")).select("p.*").orderBy(F.col("sk").desc(), F.col("k").desc()).limit(int(eval_count))
+    bound = last.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sk", "k")).alias("p")).first()
+    kind = tasks.schema[key].dataType
+    held = place >= F.struct(F.lit(bound["p"]["sk"]).cast("string").alias("sk"), F.lit(bound["p"]["k"]).cast(kind).alias("k")) \
+        if bound["n"] else F.lit(False)
+    out = tasks.withColumn("split", F.when(held, F.lit("validation")).otherwise(F.lit("train")))
     if failed is not None:
         out = anti_join_failed_builds(out, failed, key)
     return out

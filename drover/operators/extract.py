@@ -8,7 +8,7 @@ pandas UDF, ``python_compiles``), which has no native equivalent.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
@@ -146,11 +146,12 @@ def parse_decisions(df: DataFrame, text: str = "json") -> DataFrame:
 
 # R13 / F27 / P7 ------------------------------------------------------------------------------
 def dimension(values: DataFrame, col: str, name: str) -> tuple[DataFrame, int]:
-    """Distinct values of a dimension numbered 0..n-1 in sorted order."""
-    from drover.operators.dataset import global_index
+    """Distinct values of a dimension numbered 0..n-1 in sorted order.  Options
+    are a list written by hand (dozens of values): de-duplicated in parallel, they
+    are numbered in one sorted run."""
     d = values.select(F.col(col).alias(name)).filter(F.col(name).isNotNull()).distinct()
-    d = global_index(d, [name], f"{name}_idx").withColumn(f"{name}_idx", F.col(f"{name}_idx") - 1)
-    return d, d.count()
+    numbered = d.withColumn(f"{name}_idx", (F.row_number().over(Window.orderBy(name)) - 1).cast("bigint"))
+    return numbered, d.count()
 
 
 def _pick_index(seed: int, key: str, name: str, n: int) -> Column:

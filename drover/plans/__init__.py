@@ -7,7 +7,7 @@ def load_all() -> dict:
     """Import every query module so that all queries are registered."""
     from drover.plans import trajectory_queries  # noqa: F401
     for mod in ("curation_queries", "dataset_queries", "funnel_queries", "text_queries",
-                "source_queries", "stream_queries", "flow_queries"):
+                "source_queries", "stream_queries", "flow_queries", "audit_queries"):
         try:
             __import__(f"drover.plans.{mod}")
         except ModuleNotFoundError as e:

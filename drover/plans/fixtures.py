@@ -105,6 +105,52 @@ SELECT conv_id AS session_id, turn AS seq,
 FROM conversations
 """
 
+VIEWS["shell_chunks"] = """\
+SELECT user_id AS session_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS seq, ts,
+       CASE event_type
+         WHEN 'view' THEN concat('part ', cast(event_id AS varchar(20)), ' ')
+         WHEN 'click' THEN concat('row ', cast(event_id AS varchar(20)), chr(10), repeat(props, cast(event_id % 40 AS int)), chr(10))
+         WHEN 'purchase' THEN concat(props, chr(10), 'x', chr(10))
+         WHEN 'error' THEN concat(chr(10), '__CMD_DONE__ab12__:', cast(event_id % 3 AS varchar(5)), chr(10))
+         ELSE concat('end', chr(10), '__CMD_DONE__ab12__:') END AS chunk
+FROM events
+"""
+
+# a user's ten days are one run: some end, some stay open, some pause for days
+VIEWS["agent_steps"] = """\
+SELECT run_id, cast(row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS int) AS turn, ts, action_type,
+       run_id % 3 <> 0 AS verifier_passes, event_id
+FROM (SELECT user_id * 10 + cast(floor((extract(day FROM ts) - 1) / 10.0) AS int) AS run_id, ts, event_id,
+             CASE WHEN event_type = 'signup' AND event_id % 4 = 0 THEN 'done' WHEN event_type = 'error' THEN 'invalid' ELSE 'command' END AS action_type
+      FROM events) e
+"""
+
+VIEWS["rewarded_steps"] = """\
+SELECT user_id AS run_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS turn,
+       CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN -0.5 WHEN 'signup' THEN NULL ELSE 0.0 END AS reward
+FROM events
+"""
+
+# one run in three of the lines belongs to one order: a run of very many turns
+VIEWS["long_steps"] = """\
+SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS run_id,
+       cast(row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_returnflag) AS int) AS turn,
+       CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS reward
+FROM lineitem
+"""
+
+VIEWS["path_tasks"] = """\
+SELECT concat('page_', cast(page_id AS varchar(20))) AS task_id,
+       concat('Fetch ', url, ' and save it as /home/user/site', CASE WHEN page_id % 2 = 0 THEN '/raw' ELSE '' END, '/page', cast(page_id % 7 AS varchar(20)),
+              '.html; log to /home/user/log', cast(page_id % 3 AS varchar(20)), '/fetch.log. ', html) AS description,
+       CASE page_id % 5 WHEN 0 THEN concat('assert not os.path.exists("/home/user/site/raw/page', cast(page_id % 7 AS varchar(20)), '.html")')
+            WHEN 1 THEN 'assert os.path.isdir("/home/user/site")'
+            WHEN 2 THEN 'assert os.path.isfile("/home/user/log2/fetch.log.1") or os.path.exists("/home/user/log2/fetch.log/old")'
+            WHEN 3 THEN NULL ELSE html END AS initial_test,
+       concat('mkdir -p /home/user/log', cast(page_id % 4 AS varchar(20)), ' /var/lib/app', chr(10), 'touch /home/user/notes.txt') AS container_def
+FROM pages
+"""
+
 VIEWS["conversion_results"] = """\
 SELECT concat('task_', lpad(cast(o_orderkey AS varchar(20)), 6, '0')) AS task_id,
        o_orderkey % 10 <> 0 AS dockerfile_generated,

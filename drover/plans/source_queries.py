@@ -48,7 +48,43 @@ FROM ({_complete_sql()}) c
 def q_bundle_directory_round_trip(spark, sf):
     root = shared_path(spark, "taskdirs")
     S.export_task_directories(_complete(spark, sf), root)
-    return S.scan_task_bundles(spark, root, "prefix")
+    return S.scan_task_bundles(spark, root, "prefix", packed=True)
+
+
+# every document's task under a folder name of its own kind
+_FOLDER = """CASE doc_id % 6 WHEN 0 THEN concat('task_', cast(doc_id AS varchar(20))) WHEN 1 THEN concat('my-task-', cast(doc_id AS varchar(20)))
+    WHEN 2 THEN concat('Big_TASK_', cast(doc_id AS varchar(20))) WHEN 3 THEN concat('.task_', cast(doc_id AS varchar(20)))
+    WHEN 4 THEN concat('__task_', cast(doc_id AS varchar(20))) ELSE concat('other_', cast(doc_id AS varchar(20))) END"""
+
+
+@register("directory_name_rules", with_views(f"""
+SELECT rule, task_id, {D.py_strip("coalesce(description, '')")} AS description
+FROM (SELECT {_FOLDER} AS task_id, description FROM bundles) b, (SELECT unnest(['prefix', 'contains', 'contains_ci', 'not_hidden']) AS rule) r
+WHERE CASE rule WHEN 'prefix' THEN starts_with(task_id, 'task_') WHEN 'contains' THEN contains(task_id, 'task')
+      WHEN 'contains_ci' THEN contains(lower(task_id), 'task') ELSE NOT starts_with(task_id, '.') AND NOT starts_with(task_id, '__') END
+""", "bundles"), ("S1",))
+def q_directory_name_rules(spark, sf):
+    root = shared_path(spark, "folders")
+    b = view(spark, sf, "bundles").select(F.expr(_FOLDER).alias("task_id"), "description", "truth")
+    S.export_task_directories(b, root, members=[S.TASK_JSON])
+    out = None
+    for rule in S.NAME_RULES:
+        one = S.scan_task_bundles(spark, root, rule, packed=True).select(F.lit(rule).alias("rule"), "task_id", "description")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("solution_summaries_round_trip", with_views("""
+SELECT task_id, model || '_x' AS model, CAST(num_runs AS INTEGER) AS num_runs, CAST(num_success AS INTEGER) AS num_success,
+       CAST(num_runs AS INTEGER) AS n_keys FROM summaries
+""", "summaries"), ("S3", "S8"))
+def q_solution_summaries_round_trip(spark, sf):
+    s = view(spark, sf, "summaries").select("task_id", F.concat("model", F.lit("/x")).alias("model"),
+                                            F.col("num_runs").cast("int"), F.col("num_success").cast("int"))
+    root = shared_path(spark, "solutions")
+    S.write_solution_summaries(S.summaries_with_map(s, TR.pass_at_k(s)), root)
+    back = S.scan_solution_summaries(spark, root, packed=True)
+    return back.select("task_id", "model", "num_runs", "num_success", F.size("pass_at_k").alias("n_keys"))
 
 
 @register("summary_round_trip", with_views(f"""
@@ -84,26 +120,39 @@ def q_train_parquet_round_trip(spark, sf):
     return train.unionByName(val)
 
 
-@register("manifest_round_trip", with_views("""
+_MANIFEST_SQL = with_views("""
 SELECT task_id, description AS instruction, lang AS difficulty, source AS category,
        CAST(300.0 AS DOUBLE) AS verifier_timeout_sec, CAST(300.0 AS DOUBLE) AS agent_timeout_sec,
        CAST(600.0 AS DOUBLE) AS build_timeout_sec,
        1 AS cpus, 2048 AS memory_mb, 10240 AS storage_mb
 FROM bundles
-""", "bundles"), ("S2",))
-def q_manifest_round_trip(spark, sf):
+""", "bundles")
+
+
+def _manifest(spark, sf):
     b = view(spark, sf, "bundles")
-    m = b.select("task_id", F.col("description").alias("instruction"),
+    return b.select("task_id", F.col("description").alias("instruction"),
                  F.struct(F.col("lang").alias("difficulty"), F.col("source").alias("category")).alias("metadata"),
                  F.struct(F.lit(300.0).alias("verifier_timeout_sec"), F.lit(300.0).alias("agent_timeout_sec"),
                           F.struct(F.lit(600.0).alias("build_timeout_sec"), F.lit(1).alias("cpus"),
                                    F.lit(2048).alias("memory_mb"), F.lit(10240).alias("storage_mb"))
                           .alias("environment")).alias("config"))
+
+
+@register("manifest_round_trip", _MANIFEST_SQL, ("S2",))
+def q_manifest_round_trip(spark, sf):
     path = shared_path(spark, "manifest")
-    S.write_task_manifest(m, path)
+    S.write_task_manifest(_manifest(spark, sf), path)
     return S.scan_task_manifest(spark, path, json_array=False)
 
 
+@register("manifest_array_round_trip", _MANIFEST_SQL, ("S2",))
+def q_manifest_array_round_trip(spark, sf):
+    path = shared_path(spark, "manifest-array")
+    S.write_task_manifest(_manifest(spark, sf), path, json_array=True)
+    return S.scan_task_manifest(spark, f"{path}/*.txt")
+
+
 @register("conversion_report_round_trip", with_views("""
 SELECT task_id AS task_dir, success, NULL::VARCHAR AS error, dockerfile_generated, docker_build_success, tests_passed
 FROM conversion_results
@@ -142,8 +191,8 @@ SELECT task_id, description, truth, task_id AS name FROM ({_complete_sql()}) c
 """, "bundles"), ("S6",))
 def q_task_json_round_trip(spark, sf):
     root = shared_path(spark, "taskjson")
-    S.export_task_directories(_complete(spark, sf), root)
-    return S.scan_task_json(spark, root)
+    S.export_task_directories(_complete(spark, sf), root, members=[S.TASK_JSON])
+    return S.scan_task_json(spark, root, packed=True)
 
 
 @register("conversion_documents", with_views("""

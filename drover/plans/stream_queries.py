@@ -53,30 +53,38 @@ def q_pending_commands(spark, sf):
     return FR.pending_commands(view(spark, sf, "chunks"))
 
 
-_LIMIT_S = 10
-
-# a record ends when the chunk that completes its marker line arrives, and begins
-# where the one before it ended (the first at the session's first chunk)
-@register("command_timeouts", with_views(_FRAMED.replace("FROM chunks)", "FROM timed_chunks)") + f"""
-, recs AS (SELECT session_id, record_no,
-       string_agg(CASE WHEN is_marker THEN {D.regexp_extract('line', '(?s)^(.*?)' + T.MARKER_RE)} ELSE line END,
-                  chr(10) ORDER BY line_no) AS output,
-       max(CASE WHEN is_marker THEN {_EXIT} END) AS exit_code, max(CASE WHEN is_marker THEN line_no END) AS marker_line
-FROM framed GROUP BY session_id, record_no HAVING bool_or(is_marker)),
-ends AS (SELECT r.session_id, r.record_no, min(t.ts) AS end_ts
-         FROM recs r JOIN c2 ON r.session_id = c2.session_id AND r.marker_line >= c2.nb
-              AND r.marker_line < c2.nb + len(c2.pieces) - 1
-         JOIN timed_chunks t ON t.session_id = c2.session_id AND t.seq = c2.seq GROUP BY 1, 2),
-began AS (SELECT session_id, min(ts) AS first_ts FROM timed_chunks GROUP BY 1),
-timed AS (SELECT e.*, date_diff('second', coalesce(lag(end_ts) OVER (PARTITION BY e.session_id ORDER BY record_no), b.first_ts),
-                                end_ts) > {_LIMIT_S} AS timed_out
-          FROM ends e JOIN began b ON e.session_id = b.session_id)
-SELECT r.session_id, r.record_no, CASE WHEN timed_out THEN substr(output, 1, 500) ELSE output END AS output,
+_LIMIT_S, _UNTIL = 86_400, "2024-01-31 00:00:00"
+
+# A record ends when the chunk that completes its marker line arrives, and begins
+# where the one before it ended (the first at the session's first chunk).  The
+# unfinished tail is the record after the last marker.
+@register("command_timeouts", with_views(_FRAMED.replace("FROM chunks)", "FROM shell_chunks)") + f"""
+, pieces AS (SELECT p.*, c.ts, f.record_no, f.is_marker, f.line AS whole
+             FROM p JOIN shell_chunks c ON c.session_id = p.session_id AND c.seq = p.seq
+             JOIN framed f ON f.session_id = p.session_id AND f.line_no = p.nb + p.j1 - 1),
+recs AS (SELECT session_id, record_no, max(CASE WHEN is_marker AND j1 < np THEN ts END) AS end_ts,
+                max(CASE WHEN is_marker THEN {_EXIT.replace('line', 'whole')} END) AS exit_code, bool_or(whole <> '') AS has_text
+         FROM pieces GROUP BY 1, 2),
+began AS (SELECT session_id, min(ts) AS first_ts FROM shell_chunks GROUP BY 1),
+timed AS (SELECT r.*, coalesce(lag(end_ts) OVER (PARTITION BY r.session_id ORDER BY record_no), first_ts)
+                      + INTERVAL {_LIMIT_S} SECOND AS deadline
+          FROM recs r JOIN began b ON b.session_id = r.session_id),
+late AS (SELECT *, CASE WHEN end_ts IS NULL THEN has_text AND TIMESTAMP '{_UNTIL}' > deadline ELSE end_ts > deadline END AS timed_out
+         FROM timed),
+texts AS (SELECT l.session_id, l.record_no,
+                 string_agg(CASE WHEN is_marker THEN '' ELSE piece || CASE WHEN j1 < np THEN chr(10) ELSE '' END END, '' ORDER BY nb + j1, p.seq) ||
+                 coalesce(max(CASE WHEN is_marker THEN {D.regexp_extract('whole', '(?s)^(.*?)' + T.MARKER_RE)} END), '') AS full_text,
+                 coalesce(string_agg(piece || CASE WHEN j1 < np THEN chr(10) ELSE '' END, '' ORDER BY nb + j1, p.seq)
+                          FILTER (WHERE p.ts <= deadline), '') AS come
+          FROM late l JOIN pieces p ON p.session_id = l.session_id AND p.record_no = l.record_no GROUP BY 1, 2)
+SELECT l.session_id, l.record_no,
+       CASE WHEN timed_out THEN substr(regexp_replace(come, {D.rx('(?s)' + T.MARKER_RE + '.*$')}, ''), 1, 500) ELSE full_text END AS output,
        CASE WHEN NOT timed_out THEN exit_code END AS exit_code, timed_out
-FROM recs r JOIN timed t ON r.session_id = t.session_id AND r.record_no = t.record_no
-""".replace("\n, recs", ", recs", 1), "timed_chunks"), ("T3", "F25"))
+FROM late l JOIN texts t ON t.session_id = l.session_id AND t.record_no = l.record_no
+WHERE end_ts IS NOT NULL OR timed_out
+""".replace("\n, pieces", ", pieces", 1), "shell_chunks"), ("T3", "F25"))
 def q_command_timeouts(spark, sf):
-    return FR.command_timeouts(view(spark, sf, "timed_chunks"), _LIMIT_S)
+    return FR.command_timeouts(view(spark, sf, "shell_chunks"), _LIMIT_S, until=_UNTIL)
 
 
 @register("frame_commands_table_function", QUERIES["frame_commands"].oracle, ("U4",))
@@ -102,20 +110,59 @@ def _oracle_of(name: str) -> str:
     return QUERIES[name].oracle
 
 
-def _finished_episodes_sql() -> str:
-    """The batch outcome SQL restricted to finished episodes (a stream emits an
-    episode once it ends)."""
-    base, join = _oracle_of("episode_outcome"), "FROM cnt c LEFT JOIN term t ON c.run_id = t.run_id"
-    if join not in base:
-        raise AssertionError("episode_outcome oracle changed; update the finished-episode filter")
-    return "SELECT * FROM (" + base.replace(join, join + " WHERE t.end_turn IS NOT NULL") + ") x"
-
-
-@register("stream_episodes", _finished_episodes_sql(), ("T1",))
+_MAX_TURNS, _MAX_TIME, _DELAY_H, _IDLE_H = 16, 432_000, 12, 6
+
+# Runs end at their first done, at turn 16 or after five days; a run that has not
+# ended is reported once the watermark (12 hours behind the last step) has passed
+# its last step by 6 hours.
+_EPISODES = with_views(f"""
+SELECT run_id, CAST(count(*) FILTER (WHERE turn <= coalesce(end_turn, {_MAX_TURNS})) AS INTEGER) AS n_steps, end_turn,
+       max(is_done_action) FILTER (WHERE turn = end_turn) AS is_done_action,
+       max(at_max_turns) FILTER (WHERE turn = end_turn) AS at_max_turns, max(late) FILTER (WHERE turn = end_turn) AS late,
+       max(late AND NOT at_max_turns) FILTER (WHERE turn = end_turn) AS timed_out,
+       max(at_max_turns OR NOT late) FILTER (WHERE turn = end_turn) AS verified,
+       max((at_max_turns OR NOT late) AND verifier_passes) FILTER (WHERE turn = end_turn) AS goal_reached,
+       CAST(max((at_max_turns OR NOT late) AND verifier_passes) FILTER (WHERE turn = end_turn) AS INTEGER) AS reward
+FROM (SELECT *, min(turn) FILTER (WHERE is_done_action OR at_max_turns OR late) OVER (PARTITION BY run_id) AS end_turn,
+             max(ts) OVER (PARTITION BY run_id) AS last_ts, max(ts) OVER () AS seen
+      FROM (SELECT *, action_type = 'done' AS is_done_action, turn >= {_MAX_TURNS} AS at_max_turns,
+                   epoch_us(ts) - epoch_us(first(ts) OVER (PARTITION BY run_id ORDER BY turn)) > {_MAX_TIME * 1_000_000} AS late
+            FROM agent_steps) a) b
+WHERE end_turn IS NOT NULL OR last_ts + INTERVAL {_DELAY_H + _IDLE_H} HOUR <= seen
+GROUP BY run_id, end_turn
+""", "agent_steps")
+
+
+def _arriving(steps):
+    """Five slices of six days.  Every fifth step comes up to twelve hours early
+    or late against the others: the slices overlap in time, and turns arrive
+    before the turns that go before them."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    shift = F.when(F.col("event_id") % 5 == 0, 43_200).otherwise(0)
+    return steps.withColumn("slice", F.floor((at + shift) / 259_200).cast("int"))
+
+
+@register("stream_episodes", _EPISODES, ("T1",))
 def q_stream_episodes(spark, sf):
-    steps = view(spark, sf, "steps").withColumn("slice", F.floor((F.col("turn") - 1) / 2))
-    stream = EP.stream_episodes(replay_as_stream(steps, "slice"), max_turns=4, max_time=86400, watermark="3650 days")
-    return run_to_parquet(stream, "episodes").filter("end_turn IS NOT NULL")
+    steps = _arriving(view(spark, sf, "agent_steps")).drop("event_id")
+    stream = EP.stream_episodes(replay_as_stream(steps, "slice", slices=6), _MAX_TURNS, _MAX_TIME, f"{_DELAY_H} hours", f"{_IDLE_H} hours")
+    return EP.latest_outcomes(run_to_parquet(stream, "episodes"))
+
+
+# sessions by gaps; the stream has emitted those that the watermark has passed
+@register("stream_step_sessions", with_views(f"""
+SELECT run_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 8 HOUR) AS closes, count(*) AS n_steps,
+       count(*) FILTER (WHERE action_type = 'command') AS n_command, count(*) FILTER (WHERE action_type = 'done') AS n_done,
+       count(*) FILTER (WHERE action_type = 'invalid') AS n_invalid
+FROM (SELECT *, sum(CASE WHEN ts < prev + INTERVAL 8 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS s
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS prev, max(ts) OVER () AS seen FROM agent_steps) a) b
+GROUP BY run_id, s HAVING max(ts) + INTERVAL {8 + _DELAY_H} HOUR <= max(seen)
+""", "agent_steps"), ("T1",))
+def q_stream_step_sessions(spark, sf):
+    steps = _arriving(view(spark, sf, "agent_steps")).drop("event_id")
+    stream = EP.stream_step_sessions(replay_as_stream(steps, "slice", slices=6), "8 hours", f"{_DELAY_H} hours")
+    done = run_to_parquet(stream, "sessions")
+    return done.withColumns({c: F.unix_micros(c) for c in ("started", "closes")})
 
 
 @register("stream_frame_commands", "SELECT *, false AS timed_out FROM (" + _oracle_of("frame_commands") + ") f",
@@ -148,24 +195,24 @@ def q_stream_summaries(spark, sf):
                       F.round("pass_at_k", 9).alias("pass_at_k"))
 
 
+# every task's result is delivered three times, hours apart and in another order;
+# the second delivery is the newest
 @register("stream_results_sink", with_views("""
 SELECT task_name, TRY_CAST(nullif(regexp_extract(log, 'Mean[: \\t\\x0b\\x0c\\r│]+([0-9.]+)', 1), '') AS DOUBLE) AS reward,
        TRY_CAST(nullif(regexp_extract(log, '│ Errors[ \\t\\x0b\\x0c\\r]+│[ \\t\\x0b\\x0c\\r]+([0-9]+)', 1), '') AS INTEGER) AS errors,
-       0 AS exit_code
+       2 AS exit_code, epoch_us(TIMESTAMP '2024-01-03 00:00:00') AS ts
 FROM benchmark_logs
-""", "benchmark_logs"), ("T5", "S11"))
+""", "benchmark_logs"), ("T5",))
 def q_stream_results_sink(spark, sf):
     from drover.operators import funnel as FU
-    from drover.sources import files as S
-    scores = FU.benchmark_scores(view(spark, sf, "benchmark_logs")) \
-        .withColumn("exit_code", F.lit(0)) \
-        .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))  # one arrival time for all
-    # every result is delivered twice (a re-sent result file); the sink keeps one row per task
-    twice = scores.withColumn("slice", F.lit(0)).unionByName(scores.withColumn("slice", F.lit(1)))
+    scores = FU.benchmark_scores(view(spark, sf, "benchmark_logs"))
+    sent = [scores.select("task_name", "reward", "errors", F.lit(code).alias("exit_code"),
+                          F.lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp").alias("ts"), F.lit(i).alias("slice"))
+            for i, (code, day) in enumerate(((1, 1), (2, 3), (3, 2)))]
     out, ckpt = shared_path(spark, "results-stream"), shared_path(spark, "results-ckpt")
-    PR.stream_results_sink(replay_as_stream(twice, "slice", slices=2), out, ckpt) \
+    PR.stream_results_sink(replay_as_stream(sent[0].unionByName(sent[1]).unionByName(sent[2]), "slice"), out, ckpt) \
         .trigger(availableNow=True).start().awaitTermination()
-    return S.scan_benchmark_results(spark, f"{out}/*")
+    return PR.results_table(spark, out).withColumn("ts", F.unix_micros("ts"))
 
 
 # --- the skew-safe plans, checked against the same oracles ---------------------

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drover.functions import text as T
+from drover.sources.packed import filesystem, read_task_files
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference behaviour): bundle member files and
@@ -78,54 +79,70 @@ def read_task_bundles(spark: SparkSession, path: str) -> DataFrame:
 def _writer(root: str):
     """A function ``write(relative_path, text)`` for any filesystem pyarrow
     knows (local paths, ``file://``, ``s3://``, ``hdfs://``); built on the
-    executor that uses it."""
-    from pyarrow import fs as pafs
-    uri = root if "://" in root else "file://" + os.path.abspath(_local(root))
-    filesystem, base = pafs.FileSystem.from_uri(uri)
+    executor that uses it.  A folder is made once for the files that follow
+    each other in it."""
+    fs, base = filesystem(root)
+    last = None
 
     def write(rel: str, text: str) -> None:
+        nonlocal last
         path = f"{base.rstrip('/')}/{rel}"
-        filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with filesystem.open_output_stream(path) as fh:
+        folder = path.rsplit("/", 1)[0]
+        if folder != last:
+            fs.create_dir(folder, recursive=True)
+            last = folder
+        with fs.open_output_stream(path) as fh:
             fh.write(text.encode("utf-8"))
 
     return write
 
 
-def export_task_directories(bundles: DataFrame, root: str) -> None:
+SUMMARY_MEMBER = f"{SOLUTIONS_DIR}/summary.json"
+
+
+def export_task_directories(bundles: DataFrame, root: str, members: list[str] | None = None) -> None:
     """Directory layout (one folder per task with the member files and an empty
-    run summary), written in parallel by the partition that holds each task.
-    A retried task rewrites the same files (idempotent)."""
-    cols = ["task_id", "description", "truth", "initial_test", "final_test", "container_def"]
+    run summary), written in parallel by the partition that holds each task;
+    ``members`` names the files to write (all).  A retried task rewrites the same
+    files (idempotent)."""
+    cols = {TASK_JSON: ["description", "truth"], INITIAL_TEST: ["initial_test"], FINAL_TEST: ["final_test"],
+            CONTAINER_DEF: ["container_def"], SUMMARY_MEMBER: []}
+    wanted = [m for m in cols if members is None or m in members]
 
     def write_partition(rows):
         write = _writer(root)
         for r in rows:
-            task = {"description": r["description"], "truth": r["truth"], "name": r["task_id"]}
-            members = {TASK_JSON: json.dumps(task, indent=4), INITIAL_TEST: r["initial_test"],
-                       FINAL_TEST: r["final_test"], CONTAINER_DEF: r["container_def"],
-                       f"{SOLUTIONS_DIR}/summary.json": json.dumps({}, indent=4)}
-            for name, text in members.items():
+            for name in wanted:
+                if name == TASK_JSON:
+                    text = json.dumps({"description": r["description"], "truth": r["truth"], "name": r["task_id"]}, indent=4)
+                else:
+                    text = r[cols[name][0]] if cols[name] else json.dumps({}, indent=4)
                 if text is not None:
                     write(f"{r['task_id']}/{name}", text)
 
-    bundles.select(*cols).foreachPartition(write_partition)
+    bundles.select("task_id", *(c for m in wanted for c in cols[m])).foreachPartition(write_partition)
 
 
 # S1 / S6 ---------------------------------------------------------------------------
-def scan_task_bundles(spark: SparkSession, root: str, name_rule: str = "prefix") -> DataFrame:
+def scan_task_bundles(spark: SparkSession, root: str, name_rule: str = "prefix", packed: bool = False) -> DataFrame:
     """One row per task directory under ``root`` with its member files.  The
     directory-name rule is one of ``prefix`` (``task_``), ``contains``
-    (``task``), ``contains_ci`` and ``not_hidden``."""
-    if "://" not in root and not root.startswith("file:"):
-        root = os.path.abspath(root)
-    files = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
-             .load(root).select("value", _decoded(F.col("_metadata.file_path")).alias("path")))
-    base = _local(root).rstrip("/")
-    rel = F.regexp_extract("path", "^(?:file:)?" + _quote(base) + "/(.*)$", 1)
-    files = files.select("value", F.regexp_extract(rel, "^([^/]+)/", 1).alias("task_id"),
-                         F.regexp_extract(rel, "^[^/]+/(.+)$", 1).alias("member"))
-    files = files.filter(NAME_RULES[name_rule](F.col("task_id")) & F.col("member").isin(*MEMBER_COLUMNS))
+    (``task``), ``contains_ci`` and ``not_hidden``.  ``packed`` reads through the
+    Python data source, which packs small files into partitions by size and
+    opens nothing but the members; the default reads with Spark's text source,
+    whose file systems may be others than pyarrow's."""
+    if packed:
+        files = read_task_files(spark, root, name_rule, list(MEMBER_COLUMNS)).select("task_id", "member", F.col("content").alias("value"))
+    else:
+        if "://" not in root and not root.startswith("file:"):
+            root = os.path.abspath(root)
+        files = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
+                 .load(root).select("value", _decoded(F.col("_metadata.file_path")).alias("path")))
+        base = _local(root).rstrip("/")
+        rel = F.regexp_extract("path", "^(?:file:)?" + _quote(base) + "/(.*)$", 1)
+        files = files.select("value", F.regexp_extract(rel, "^([^/]+)/", 1).alias("task_id"),
+                             F.regexp_extract(rel, "^[^/]+/(.+)$", 1).alias("member"))
+        files = files.filter(NAME_RULES[name_rule](F.col("task_id")) & F.col("member").isin(*MEMBER_COLUMNS))
     # fixed member list: conditional aggregation instead of an open pivot
     tasks = files.groupBy("task_id").agg(*[
         F.max(F.when(F.col("member") == m, F.col("value"))).alias(c) for m, c in MEMBER_COLUMNS.items()])
@@ -140,13 +157,16 @@ def _quote(s: str) -> str:
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in s)
 
 
-def scan_task_json(spark: SparkSession, root: str) -> DataFrame:
+def scan_task_json(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
     """Description of every ``task.json`` (missing -> empty, then stripped)."""
-    df = (spark.read.schema(TASK_JSON_SCHEMA).option("multiLine", True)
-          .json(f"{root.rstrip('/')}/*/{TASK_JSON}")
-          .withColumn("path", _decoded(F.col("_metadata.file_path"))))
-    return df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("task_id"),
-                     T.py_strip(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
+    if packed:
+        df = read_task_files(spark, root, "not_hidden", [TASK_JSON]) \
+            .select("task_id", F.from_json("content", TASK_JSON_SCHEMA).alias("r")).select("task_id", "r.*")
+    else:
+        df = (spark.read.schema(TASK_JSON_SCHEMA).option("multiLine", True)
+              .json(f"{root.rstrip('/')}/*/{TASK_JSON}")
+              .withColumn("task_id", F.regexp_extract(_decoded(F.col("_metadata.file_path")), r"([^/]+)/[^/]+$", 1)))
+    return df.select("task_id", T.py_strip(F.coalesce(F.col("description"), F.lit(""))).alias("description"),
                      "truth", "name")
 
 
@@ -174,16 +194,34 @@ def scan_run_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumnRenamed("model_file", "model")
 
 
-def scan_solution_summaries(spark: SparkSession, root: str) -> DataFrame:
+def write_solution_summaries(summaries: DataFrame, root: str) -> None:
+    """The per-task layout: ``<root>/<task>/solutions/<model>_summary.json``, ``/``
+    in the model's name as ``_``; written by the partition that holds the row."""
+    fields = [c for c in ("num_runs", "num_success", "pass_at_k", "results") if c in summaries.columns]
+    rows = summaries.select("task_id", model_file_name("model").alias("model"), F.to_json(F.struct(*fields)).alias("text"))
+
+    def write_partition(part):
+        write = _writer(root)
+        for r in part:
+            write(f"{r['task_id']}/{SOLUTIONS_DIR}/{r['model']}{SUMMARY_SUFFIX}", r["text"])
+
+    rows.foreachPartition(write_partition)
+
+
+def scan_solution_summaries(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
     """Summaries in the per-task layout ``<root>/<task>/solutions/<model>_summary.json``;
     an absent file simply gives no row."""
-    df = (spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True)
-          .json(f"{root.rstrip('/')}/*/{SOLUTIONS_DIR}/*{SUMMARY_SUFFIX}")
-          .withColumn("path", _decoded(F.col("_metadata.file_path"))))
-    return df.select(
-        F.regexp_extract("path", r"([^/]+)/" + SOLUTIONS_DIR + r"/[^/]+$", 1).alias("task_id"),
-        F.regexp_extract("path", r"/([^/]+)" + _quote(SUMMARY_SUFFIX) + "$", 1).alias("model"),
-        "num_runs", "num_success", "pass_at_k", "results")
+    if packed:
+        df = read_task_files(spark, root, "not_hidden", [f"{SOLUTIONS_DIR}/*{SUMMARY_SUFFIX}"]) \
+            .select("task_id", "member", F.from_json("content", SUMMARY_SCHEMA).alias("r")) \
+            .select("task_id", "r.*", F.concat(F.lit("/"), "member").alias("path"))
+    else:
+        df = (spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True)
+              .json(f"{root.rstrip('/')}/*/{SOLUTIONS_DIR}/*{SUMMARY_SUFFIX}")
+              .withColumn("path", _decoded(F.col("_metadata.file_path"))))
+        df = df.withColumn("task_id", F.regexp_extract("path", r"([^/]+)/" + SOLUTIONS_DIR + r"/[^/]+$", 1))
+    return df.select("task_id", F.regexp_extract("path", r"/([^/]+)" + _quote(SUMMARY_SUFFIX) + "$", 1).alias("model"),
+                     "num_runs", "num_success", "pass_at_k", "results")
 
 
 # S10 / S4 ---------------------------------------------------------------------------
@@ -245,9 +283,15 @@ def scan_task_manifest(spark: SparkSession, path: str, json_array: bool = True)
                      F.col("config.environment.storage_mb").alias("storage_mb"))
 
 
-def write_task_manifest(tasks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Manifest records as JSON Lines (readable by ``scan_task_manifest``)."""
-    tasks.write.mode(mode).json(path)
+def write_task_manifest(tasks: DataFrame, path: str, mode: str = "overwrite", json_array: bool = False) -> None:
+    """Manifest records as JSON Lines, or as JSON array documents, one per file
+    of at most 1,000 records (both readable by ``scan_task_manifest``)."""
+    if not json_array:
+        tasks.write.mode(mode).json(path)
+        return
+    rows = tasks.select(F.floor(F.monotonically_increasing_id() / 1000).alias("part"), F.struct(*tasks.columns).alias("record"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("record")).alias("value")).select("value") \
+        .write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 # S11 / S12 --------------------------------------------------------------------------
