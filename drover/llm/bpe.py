@@ -40,7 +40,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder for one vocabulary (the JSON text of its file)."""
 
-    def __init__(self, text: str, max_cached: int = 700_000):
+    def __init__(self, text: str, max_cached: int = 700_000, max_chars: int = 16_000_000):
         spec = json.loads(text)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         self.size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
@@ -63,7 +63,7 @@ class ByteBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.bytes_of[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.cache: dict[str, bytes] = {}
-        self.max_cached = max_cached
+        self.max_cached, self.max_chars, self.chars = max_cached, max_chars, 0
 
     # encoding -------------------------------------------------------------------
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,9 +147,10 @@ class ByteBpe:
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > self.max_cached:
+        if len(self.cache) + len(new) > self.max_cached or self.chars + sum(map(len, new)) > self.max_chars:
             self.cache.clear()
-            new = list(words)
+            new, self.chars = list(words), 0
+        self.chars += sum(map(len, new))
         self.cache.update(zip(new, self.encode_words(new)))
 
     def _words(self, text: str):
