@@ -154,23 +154,31 @@ def test_components_equal_union_find(spark):
 
 
 # 2 language -------------------------------------------------------------------------
-def test_phrases_equal_a_plain_parse():
-    p = langid.CrossParser({"x": ["abracadabra banana"], "y": ["the thing is that"]})
-    for text in ("a banana is that thing", "ABRA-cadabra!!", "zzz", "the " * 300):
-        s = p.alphabet.symbols(text)[0]
-        total, _, _ = p.phrases([text, "other"])
-        for lang, sample in enumerate((["abracadabra banana"], ["the thing is that"])):
-            whole = np.r_[p.alphabet.symbols(sample[0])[0], langid.BREAK].tobytes()
-            count = 0
-            for a in range(0, len(s), langid.SEGMENT):
-                phrase, count = b"", count + 1
-                for c in s[a:a + langid.SEGMENT]:
-                    c = bytes([c])
-                    if len(phrase) < langid.LONGEST and phrase + c in whole:
-                        phrase += c
-                    else:  # a symbol the sample lacks goes with the next phrase
-                        phrase, count = c if c in whole else b"", count + 1
-            assert total[0, lang] == count, (text, lang)
+def plain_phrases(text, sample):
+    """Greedy longest phrases, without any limit on their length."""
+    whole = [*langid.symbols(sample)[0].tolist(), langid.BREAK]
+    known = {tuple(whole[i:j]) for i in range(len(whole)) for j in range(i + 1, len(whole) + 1)}
+    phrase, count = (), 1
+    for c in langid.symbols(text)[0].tolist():
+        if (*phrase, c) in known:
+            phrase += (c,)
+        else:  # a symbol the sample lacks goes with the next phrase
+            phrase, count = (c,) if (c,) in known else (), count + 1
+    return count
+
+
+@pytest.mark.parametrize("stretch,lead,columns", [(512, 64, 64), (16, 4, 64), (16, 4, 1), (7, 2, 3)])
+def test_phrases_equal_a_plain_parse(monkeypatch, stretch, lead, columns):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    monkeypatch.setattr(langid, "LEAD", lead)
+    samples = {"x": "abracadabra banana", "y": "the thing is that", "z": "你好世界你好吗 " * 3}
+    p = langid.CrossParser({k: [v] for k, v in samples.items()})
+    p._built = langid.Automata(p.samples, columns)
+    texts = ["a banana is that thing", "ABRA-cadabra!!", "zzz", "the " * 300, "你好 世界!", "abracadabra banana" * 40, "q 你x"]
+    total, _, _ = p.phrases(texts)
+    for i, text in enumerate(texts):
+        for j, lang in enumerate(p.langs):
+            assert total[i, j] == plain_phrases(text, samples[lang]), (text, lang)
 
 
 def test_language_of_held_out_documents(spark, docs):
