@@ -245,7 +245,7 @@ def _reports(spark, sf):
     return C.union_reports(first, retry)
 
 
-@register("union_reports", with_views(_REPORTS_SQL, "conversion_results"), ("X2", "S4"))
+@register("union_reports", with_views(_REPORTS_SQL, "conversion_results"), ("X2"))
 def q_union_reports(spark, sf):
     return _reports(spark, sf)
 

@@ -119,13 +119,30 @@ def q_project_train_rows(spark, sf):
     return flat_train_rows(train_rows(spark, sf))
 
 
-@register("filter_solved_tasks", with_views(f"""
-SELECT task_id, model, round(CASE WHEN num_success <= 0 THEN 0.0 WHEN 4 > num_runs - num_success THEN 1.0
+def _solved_sql(k: int, model: str) -> str:
+    return with_views(f"""
+SELECT task_id, model, round(CASE WHEN num_success <= 0 THEN 0.0 WHEN {k} > num_runs - num_success THEN 1.0
        ELSE 1.0 - list_reduce(list_transform(range(CAST(num_runs - num_success + 1 AS BIGINT), CAST(num_runs + 1 AS BIGINT)),
-            lambda i: 1.0 - 4.0 / CAST(i AS DOUBLE)), lambda a, b: a * b, 1.0) END, {R9}) AS pass_at_k
+            lambda i: 1.0 - {float(k)} / CAST(i AS DOUBLE)), lambda a, b: a * b, 1.0) END, {R9}) AS pass_at_k
 FROM summaries
-WHERE model = 'ref' AND num_runs >= 4 AND num_success > 0
-""", "summaries"), ("P4", "S3"))
+WHERE model = '{model}' AND num_runs >= {k} AND num_success > 0
+""", "summaries")
+
+
+# the published K; strict: the summaries of this model that have a pass@16 all count, a missing one would fail the job
+@register("filter_solved_tasks_strict", _solved_sql(16, "cand"), ("P4",))
+def q_filter_solved_tasks_strict(spark, sf):
+    s = view(spark, sf, "summaries").filter((F.col("model") == "cand") & (F.col("num_runs") >= 16))
+    return TR.filter_solved_tasks(s, k=16, strict=True).select("task_id", "model", F.round("pass_at_k", R9).alias("pass_at_k"))
+
+
+@register("filter_solved_tasks_k16", _solved_sql(16, "ref"), ("P4",))
+def q_filter_solved_tasks_k16(spark, sf):
+    s = view(spark, sf, "summaries").filter(F.col("model") == "ref")
+    return TR.filter_solved_tasks(s, k=16).select("task_id", "model", F.round("pass_at_k", R9).alias("pass_at_k"))
+
+
+@register("filter_solved_tasks", _solved_sql(4, "ref"), ("P4",))
 def q_filter_solved_tasks(spark, sf):
     s = view(spark, sf, "summaries").filter(F.col("model") == "ref")
     p = TR.filter_solved_tasks(s, k=4)

@@ -22,7 +22,11 @@ SELECT concat('task_', lpad(cast(doc_id AS varchar(20)), 6, '0')) AS task_id, do
        CASE WHEN doc_id % 11 = 3 THEN '  ' ELSE substr(text, cast(floor(n_chars / 2.0) AS int) + 1) END AS truth,
        CASE WHEN doc_id % 4 = 1 THEN 'def test_a(:' ELSE concat('def test_a():', chr(10), '    assert ', cast(doc_id AS varchar(20)), ' >= 0') END AS initial_test,
        CASE WHEN doc_id % 13 = 5 THEN NULL ELSE concat('def test_b():', chr(10), '    assert True') END AS final_test,
-       concat('Bootstrap: localimage', chr(10), 'From: ./base.sif', chr(10), '%post', chr(10), '    echo ', lang, chr(10), '%environment', chr(10), '    export A=1') AS container_def
+       CASE doc_id % 9
+         WHEN 1 THEN concat('Bootstrap: localimage', chr(10), 'From: ./base.sif', chr(10), '%post', chr(10), '    chmod 755 /home/user', chr(10), '%environment', chr(10), '    export A=1')
+         WHEN 2 THEN concat('Bootstrap: localimage', chr(10), 'From: ./base.sif', chr(10), '%post', chr(10), '    echo ', lang)
+         WHEN 3 THEN concat('From: ./base.sif', chr(10), 'no sections')
+         ELSE concat('Bootstrap: localimage', chr(10), 'From: ./base.sif', chr(10), '%post', chr(10), '    echo ', lang, chr(10), '%environment', chr(10), '    export A=1') END AS container_def
 FROM documents
 """
 
@@ -35,15 +39,29 @@ SELECT doc_id AS request_id,
 FROM documents
 """
 
+# Whole documents as prose around the fences and as comment lines inside them;
+# fences and carriage returns of the text itself would change the shapes.
 VIEWS["code_replies"] = """\
-SELECT doc_id AS request_id,
-       CASE doc_id % 5
-         WHEN 0 THEN concat('Intro', chr(10), '```python', chr(10), '    x = ', cast(doc_id AS varchar(20)), chr(10), '    y = 2', chr(10), '```', chr(10), 'Outro')
-         WHEN 1 THEN concat('```', chr(10), 'def f(', chr(10), '```')
-         WHEN 2 THEN concat('```Python', chr(10), 'a = 1', chr(10), '```', chr(10), '```python', chr(10), 'b = 2', chr(10), '```')
-         WHEN 3 THEN concat('z = ', cast(doc_id AS varchar(20)), chr(10), chr(10))
-         ELSE concat('```singularity', chr(10), 'Bootstrap: localimage', chr(10), '```') END AS response
-FROM documents
+SELECT request_id,
+       CASE request_id % 7
+         WHEN 0 THEN concat('Intro ', prose, chr(10), '```python', chr(10), '    x = ', id, chr(10), '    # ', noted, chr(10), '    y = 2', chr(10), '```', chr(10), 'Outro')
+         WHEN 1 THEN concat(prose, chr(10), '```', chr(10), 'def f(', chr(10), '# ', remark, chr(10), '```')
+         WHEN 2 THEN concat('```Python', chr(10), 'a = 1', chr(10), '# ', remark, chr(10), '```', chr(10), prose, chr(10), '```python', chr(10), 'b = 2', chr(10), '```')
+         WHEN 3 THEN concat('z = ', id, chr(10), '# ', remark, chr(10), chr(10))
+         WHEN 4 THEN concat('```singularity', chr(10), 'Bootstrap: localimage', chr(10), prose, chr(10), '```')
+         WHEN 5 THEN concat(prose, chr(10), CASE WHEN request_id % 2 = 0 THEN '```dockerfile' ELSE '```Dockerfile' END, chr(10), 'FROM ubuntu:22.04', chr(10), '# ', remark, chr(10), 'RUN true', chr(10), '```', chr(10), 'done') END AS response
+FROM (SELECT request_id, id, prose, replace(prose, chr(10), concat(chr(10), '# ')) AS remark, replace(prose, chr(10), concat(chr(10), '    # ')) AS noted
+      FROM (SELECT doc_id AS request_id, cast(doc_id AS varchar(20)) AS id, replace(replace(coalesce(text, ''), '```', '~~~'), chr(13), ' ') AS prose FROM documents) d) p
+"""
+
+# chats of many commands, made of events
+VIEWS["long_chats"] = """\
+SELECT run_id, turn, CASE WHEN turn = 1 THEN 'system' WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+       CASE WHEN turn = 1 THEN 'You are an agent.' WHEN turn % 2 = 0 THEN concat('out ', cast(event_id AS varchar(20)), chr(10), repeat(props, cast(event_id % 30 AS int)))
+            WHEN event_id % 97 = 5 THEN '<action>done</action>' WHEN event_id % 11 = 3 THEN concat('thinking about ', event_type)
+            WHEN event_id % 13 = 4 THEN '<command> </command>'
+            ELSE concat('<command>', event_type, ' ', cast(event_id AS varchar(20)), '</command>') END AS content
+FROM (SELECT user_id AS run_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS int) AS turn, event_id, event_type, props FROM events) e
 """
 
 VIEWS["responses"] = """\
@@ -177,14 +195,16 @@ FROM part
 VIEWS["benchmark_logs"] = """\
 SELECT s_name AS task_name,
        concat('start', chr(10), CASE WHEN s_suppkey % 7 = 0 THEN 'no result' ELSE concat('│ Mean │ 0.', cast(s_suppkey % 10 AS varchar(5)), ' │') END, chr(10),
-              CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('│ Errors │ ', cast(s_suppkey % 4 AS varchar(5)), ' │') END, chr(10), 'Mean 9.9') AS log
+              CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('│ Errors │ ', cast(s_suppkey % 4 AS varchar(5)), ' │') END, chr(10), CASE WHEN s_suppkey % 7 = 0 THEN 'end' ELSE 'Mean 9.9' END) AS log
 FROM supplier
 """
 
+# requests of up to five tries each; a try without an error is the last one that counts
 VIEWS["request_attempts"] = """\
-SELECT user_id AS request_id, cast((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 5 AS int) AS attempt,
-       CASE event_id % 4 WHEN 0 THEN 'Rate limit: 429' WHEN 1 THEN 'Request TIMEOUT' WHEN 2 THEN 'bad gateway' END AS error
-FROM events
+SELECT user_id * 1000 + cast(floor((n - 1) / 5.0) AS int) AS request_id, cast((n - 1) % 5 AS int) AS attempt,
+       CASE event_id % 8 WHEN 0 THEN 'Rate limit: 429' WHEN 1 THEN 'Request TIMEOUT' WHEN 2 THEN 'bad gateway' WHEN 3 THEN 'Server OVERLOADED'
+            WHEN 4 THEN 'HTTP 429' END AS error
+FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e
 """
 
 VIEWS["decisions"] = """\

@@ -120,6 +120,20 @@ def q_retry_report(spark, sf):
     return out.withColumn("total_wait_s", F.round("total_wait_s", R9))
 
 
+# the converter's client: only rate limits and overload are tried again, after 10, 20, 40, ... seconds
+@register("retry_report_convert", with_views(f"""
+SELECT request_id, count(*) AS n_attempts, count(error) AS n_errors,
+       count(*) FILTER (WHERE contains(lower(error), 'rate')) AS n_rate_limit,
+       count(*) FILTER (WHERE NOT contains(lower(error), 'rate') AND contains(lower(error), 'timeout')) AS n_timeout,
+       round(coalesce(sum(CASE WHEN attempt < 4 AND regexp_matches(lower(error), 'rate|429|overloaded') THEN 10.0 * pow(2.0, attempt) END), 0.0), {R9}) AS total_wait_s,
+       bool_or(attempt >= 4 AND error IS NOT NULL) AS exhausted
+FROM request_attempts GROUP BY request_id
+""", "request_attempts"), ("R9", "F16"))
+def q_retry_report_convert(spark, sf):
+    out = FU.retry_report(view(spark, sf, "request_attempts"), policy="convert")
+    return out.withColumn("total_wait_s", F.round("total_wait_s", R9))
+
+
 _SCORES_SQL = f"""
 SELECT s.s_name AS task_name, r.reward_text, r.errors, TRY_CAST(r.reward_text AS DOUBLE) AS reward,
        TRY_CAST(r.reward_text AS DOUBLE) IS NULL AS missing
@@ -135,7 +149,7 @@ def _scores(spark, sf):
     return FU.benchmark_scores(view(spark, sf, "benchmark_logs"), tasks)
 
 
-@register("benchmark_scores", with_views(_SCORES_SQL, "benchmark_logs"), ("R7", "F13", "S11", "S12"))
+@register("benchmark_scores", with_views(_SCORES_SQL, "benchmark_logs"), ("R7", "F13"))
 def q_benchmark_scores(spark, sf):
     return _scores(spark, sf).select("task_name", "reward_text", "errors", "reward", "missing")
 

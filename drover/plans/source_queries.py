@@ -96,7 +96,7 @@ SELECT task_id, model, CAST(num_runs AS INTEGER) AS num_runs, CAST(num_success A
                        CAST(num_runs + 1 AS BIGINT)), lambda i: 1.0 - 4.0 / CAST(i AS DOUBLE)),
                        lambda a, b: a * b, 1.0) END, 9) AS pass_at_4
 FROM summaries
-""", "summaries"), ("S8", "A2"))
+""", "summaries"), ("S8", "S3", "A2"))
 def q_summary_round_trip(spark, sf):
     s = view(spark, sf, "summaries").select(
         "task_id", "model", F.col("num_runs").cast("int").alias("num_runs"),
@@ -198,7 +198,7 @@ def q_task_json_round_trip(spark, sf):
 @register("conversion_documents", with_views("""
 SELECT task_id AS task_dir, success, CAST(NULL AS VARCHAR) AS error, dockerfile_generated, docker_build_success, tests_passed
 FROM conversion_results
-""", "conversion_results"), ("S4", "X2"))
+""", "conversion_results"), ("S4",))
 def q_conversion_documents(spark, sf):
     """Report documents of at most 1,000 results each (one per file), read back as one union."""
     r = view(spark, sf, "conversion_results")

@@ -9,7 +9,7 @@ from drover.functions import text as T
 from drover.operators import extract as X
 from drover.plans import duck as D
 from drover.plans.fixtures import table, view, with_views
-from drover.plans.registry import register
+from drover.plans.registry import QUERIES, register
 
 _DESC = D.py_strip(D.regexp_extract("response", T.TASK_RE))
 _TRUTH = D.py_strip(D.regexp_extract("response", T.TRUTH_RE))
@@ -28,24 +28,35 @@ def q_extract_templates(spark, sf):
         "request_id", "reject_reason", "description", "truth")
 
 
-def _py_code(x: str) -> str:
-    content = D.dedent(x)
-    snippet = (f"CASE WHEN {D.rlike(content, T.PY_FENCE_RE)} THEN {D.regexp_extract(content, T.PY_FENCE_RE)} "
-               f"ELSE {content} END")
-    return D.py_rstrip(D.dedent(f"({snippet})"))
+def _dedent_steps(source: str, column: str, name: str) -> str:
+    """CTEs that dedent ``source.column`` into ``name.text``, one step each (inside
+    one expression the engine would repeat the steps for every line)."""
+    return f"""
+{name}_1 AS (SELECT *, list_transform(string_split({column}, chr(10)), lambda l: CASE WHEN regexp_matches(l, '^[ \\t]+\\z') THEN '' ELSE l END) AS ls FROM {source}),
+{name}_2 AS (SELECT *, list_transform(list_filter(ls, lambda l: l <> ''), lambda l: regexp_extract(l, '^([ \\t]*)', 1)) AS ind FROM {name}_1),
+{name}_3 AS (SELECT *, list_min(ind) AS lo, list_max(ind) AS hi FROM {name}_2),
+{name}_4 AS (SELECT *, coalesce(CASE WHEN least(length(lo), length(hi)) <= 0 THEN 0 ELSE coalesce(list_position(list_transform(
+    range(1, least(length(lo), length(hi)) + 1), lambda i: substr(lo, i, 1) = substr(hi, i, 1)), false) - 1, least(length(lo), length(hi))) END, 0) AS k FROM {name}_3),
+{name} AS (SELECT * EXCLUDE (ls, ind, lo, hi, k), array_to_string(list_transform(ls, lambda l: substr(l, k + 1)), chr(10)) AS text FROM {name}_4)"""
 
 
-@register("extract_code", with_views(f"""
-SELECT request_id, {_py_code('response')} AS code FROM code_replies
-""", "code_replies"), ("R2", "F2", "F12"))
+_PY_STEPS = f"""
+, {_dedent_steps('code_replies', 'response', 'plain')},
+snippet AS (SELECT request_id, CASE WHEN {D.rlike('text', T.PY_FENCE_RE)} THEN {D.regexp_extract('text', T.PY_FENCE_RE)} ELSE text END AS body FROM plain),
+{_dedent_steps('snippet', 'body', 'code')}
+SELECT request_id, {D.py_rstrip('text')} AS code FROM code
+"""
+
+
+@register("extract_code", with_views(_PY_STEPS.replace("\n, \n", ", \n", 1), "code_replies"), ("R2", "F2", "F12"))
 def q_extract_code(spark, sf):
     return X.extract_code(view(spark, sf, "code_replies")).select("request_id", "code")
 
 
-# the shapes 1 (an open parameter list) and 4 (another language) don't compile
+# the shapes 1 (an open parameter list), 4 and 5 (other languages) don't compile
 @register("check_code_compiles", """
-SELECT doc_id AS request_id, doc_id % 5 NOT IN (1, 4) AS compiles,
-       CASE WHEN doc_id % 5 IN (1, 4) THEN 'syntax_error' END AS reject_reason
+SELECT doc_id AS request_id, CASE WHEN doc_id % 7 <> 6 THEN doc_id % 7 NOT IN (1, 4, 5) END AS compiles,
+       CASE WHEN doc_id % 7 = 6 THEN 'no_response' WHEN doc_id % 7 IN (1, 4, 5) THEN 'syntax_error' END AS reject_reason
 FROM documents
 """, ("R2", "F3"))
 def q_check_code_compiles(spark, sf):
@@ -53,13 +64,6 @@ def q_check_code_compiles(spark, sf):
         "request_id", "compiles", "reject_reason")
 
 
-def _def_text(x: str) -> str:
-    cleaned = D.py_strip(f"replace({x}, chr(13) || chr(10), chr(10))")
-    fenced = (f"CASE WHEN {D.rlike(cleaned, T.DEF_FENCE_RE)} THEN "
-              f"{D.py_strip(D.regexp_extract(cleaned, T.DEF_FENCE_RE))} ELSE {cleaned} END")
-    return D.py_strip(D.dedent(f"({fenced})"))
-
-
 def _dockerfile(x: str) -> str:
     s = D.py_strip(x)
     tagged = "(?s)```(?:Dockerfile|dockerfile)[^\n]*\n(.*?)```"
@@ -72,10 +76,15 @@ def _dockerfile(x: str) -> str:
             f"WHEN starts_with({s}, '```') THEN {generic} ELSE {s} END")
 
 
-@register("extract_definitions", with_views(f"""
-SELECT request_id, {_def_text('response')} AS def_text, {_dockerfile('response')} AS dockerfile
-FROM code_replies
-""", "code_replies"), ("R3", "F4", "F5"))
+_DEF_STEPS = f"""
+, cleaned AS (SELECT request_id, response, {D.py_strip("replace(response, chr(13) || chr(10), chr(10))")} AS c FROM code_replies),
+fenced AS (SELECT request_id, response, CASE WHEN {D.rlike('c', T.DEF_FENCE_RE)} THEN {D.py_strip(D.regexp_extract('c', T.DEF_FENCE_RE))} ELSE c END AS body FROM cleaned),
+{_dedent_steps('fenced', 'body', 'def')}
+SELECT request_id, {D.py_strip('text')} AS def_text, {_dockerfile('response')} AS dockerfile FROM def
+"""
+
+
+@register("extract_definitions", with_views(_DEF_STEPS.replace("\n, cleaned", ", cleaned", 1), "code_replies"), ("R3", "F4", "F5"))
 def q_extract_definitions(spark, sf):
     return X.extract_definitions(view(spark, sf, "code_replies")).select("request_id", "def_text", "dockerfile")
 
@@ -128,12 +137,16 @@ def q_assign_names(spark, sf):
     return X.assign_names(view(spark, sf, "bundles").select("task_id"))
 
 
+# tasks of several sources under the same ids
+_SHARED_ID = "concat('task_', cast(doc_id % 300 AS varchar(20)))"
+
+
 @register("name_collisions", with_views(f"""
-SELECT task_name, count(*) AS n_tasks FROM (SELECT {_NAME} AS task_name FROM bundles) n
+SELECT task_name, count(*) AS n_tasks FROM (SELECT {_NAME} AS task_name FROM (SELECT {_SHARED_ID} AS task_id FROM bundles) b) n
 GROUP BY task_name HAVING count(*) > 1
 """, "bundles"), ("R11",))
 def q_name_collisions(spark, sf):
-    return X.name_collisions(X.assign_names(view(spark, sf, "bundles").select("task_id")))
+    return X.name_collisions(X.assign_names(view(spark, sf, "bundles").select(F.expr(_SHARED_ID).alias("task_id"))))
 
 
 _DEC_VALID = """(json_valid(json) AND json_type(json) = 'OBJECT'
@@ -194,3 +207,40 @@ def q_sample_prompts(spark, sf):
             "complexity": (table(spark, sf, "region"), "r_name"),
             "scenario": (table(spark, sf, "nation"), "n_name")}
     return X.sample_prompts(reqs, dims, 42).select("request_id", "category", "complexity", "scenario", "prompt")
+
+
+# --- the rules as SQL functions, against the same oracles ---------------------------
+def _sql(spark, text: str, **views):
+    from drover.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    return spark.sql(text, **views)
+
+
+@register("extract_code_sql", QUERIES["extract_code"].oracle, ("U3", "F2", "F12"))
+def q_extract_code_sql(spark, sf):
+    return _sql(spark, "SELECT request_id, extract_python_code(response) AS code FROM {r}", r=view(spark, sf, "code_replies"))
+
+
+@register("extract_definitions_sql", QUERIES["extract_definitions"].oracle, ("U3", "F4", "F5"))
+def q_extract_definitions_sql(spark, sf):
+    return _sql(spark, "SELECT request_id, extract_def_text(response) AS def_text, extract_fenced_block(response, 'dockerfile') AS dockerfile FROM {r}",
+                r=view(spark, sf, "code_replies"))
+
+
+@register("clean_transcripts_sql", QUERIES["clean_transcripts"].oracle, ("U3", "F7", "F8", "F9", "F10"))
+def q_clean_transcripts_sql(spark, sf):
+    return _sql(spark, f"""
+        SELECT page_id, truncate_output(whole) AS cleaned, length(output) - length(whole) AS chars_saved, length(whole) > {_CLEAN_LIMIT} AS truncated
+        FROM (SELECT *, clean_output(output) AS whole FROM {{t}})""", t=view(spark, sf, "terminal_output"))
+
+
+@register("patch_definitions_sql", QUERIES["patch_definitions"].oracle, ("U3", "F18"))
+def q_patch_definitions_sql(spark, sf):
+    return _sql(spark, """
+        SELECT task_id, home_mode_status(d) AS patch_status, patch_home_mode(d) AS patched_def
+        FROM (SELECT task_id, replace(container_def, './base.sif', '/images/base.sif') AS d FROM {b})""", b=view(spark, sf, "bundles"))
+
+
+@register("parse_decisions_sql", QUERIES["parse_decisions"].oracle, ("U3", "F24"))
+def q_parse_decisions_sql(spark, sf):
+    return _sql(spark, "SELECT event_id, d.* FROM (SELECT event_id, parse_decision(json) AS d FROM {j})", j=view(spark, sf, "decisions"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from drover.functions import text as T
 from drover.operators import trajectory as TR
 from drover.plans import duck as D
-from drover.plans.fixtures import view, with_views
-from drover.plans.registry import register
+from drover.plans.fixtures import VIEWS, view, with_views
+from drover.plans.registry import QUERIES, register
 
 R9 = 9  # doubles are rounded to 9 places before hashing, in both engines
 
@@ -207,7 +207,7 @@ FROM (SELECT conv_id AS run_id, role, t,
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM (SELECT conv_id, turn, role, {D.whitespace_tokens('text')} AS t FROM conversations) c) x
 GROUP BY run_id
-""", ("A9", "U2"))
+""", ("A9",))
 def q_token_totals(spark, sf):
     from drover.plans.fixtures import table
     conv = table(spark, sf, "conversations").select(
@@ -294,3 +294,23 @@ def q_format_observations(spark, sf):
                      F.when(F.col("observation").isNull(), 1).otherwise(0).alias("exit_code"))
     return TR.format_observations(steps, limit=_OBS_LIMIT).select(
         "run_id", "turn", "action_type", "exit_code", "observation")
+
+
+# --- W6 / W9 / R4 over chats of many commands -----------------------------------------
+def _over_long_chats(name: str) -> str:
+    """The oracle of a query over ``responses``, over the long chats instead."""
+    cte = "responses AS (\n{}\n)"
+    text, old = QUERIES[name].oracle, cte.format(VIEWS["responses"].rstrip())
+    if old not in text:
+        raise AssertionError(f"{name} no longer reads responses")
+    return text.replace(old, cte.format(VIEWS["long_chats"].rstrip()))
+
+
+@register("truncate_long_chats", _over_long_chats("truncate_at_done"), ("W6",))
+def q_truncate_long_chats(spark, sf):
+    return TR.truncate_at_done(view(spark, sf, "long_chats"), 16).select("run_id", "turn", "role", "turn_no", "ended_by")
+
+
+@register("compact_long_chats", _over_long_chats("compact_history"), ("W9", "F23"))
+def q_compact_long_chats(spark, sf):
+    return TR.compact_history(view(spark, sf, "long_chats"), _COMPACT_MIN_CHARS)
