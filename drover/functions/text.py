@@ -168,7 +168,7 @@ def extract_python_code(raw) -> Column:
     the whole text), dedented again and right-stripped."""
     def pick(content):
         return F.when(content.rlike(PY_FENCE_RE), F.regexp_extract(content, PY_FENCE_RE, 1)).otherwise(content)
-    return py_rstrip(dedent(let(dedent(raw), pick)))
+    return py_rstrip(let(let(dedent(raw), pick), dedent))
 
 
 # F4 -------------------------------------------------------------------------
@@ -176,7 +176,7 @@ def extract_def_text(raw) -> Column:
     def pick(cleaned):
         return F.when(cleaned.rlike(DEF_FENCE_RE),
                       py_strip(F.regexp_extract(cleaned, DEF_FENCE_RE, 1))).otherwise(cleaned)
-    return py_strip(dedent(let(py_strip(F.replace(_c(raw), F.lit("\r\n"), F.lit("\n"))), pick)))
+    return py_strip(let(let(py_strip(F.replace(_c(raw), F.lit("\r\n"), F.lit("\n"))), pick), dedent))
 
 
 # F5 -------------------------------------------------------------------------
