@@ -145,7 +145,10 @@ def _arriving(steps):
 @register("stream_episodes", _EPISODES, ("T1",))
 def q_stream_episodes(spark, sf):
     steps = _arriving(view(spark, sf, "agent_steps")).drop("event_id")
-    stream = EP.stream_episodes(replay_as_stream(steps, "slice", slices=6), _MAX_TURNS, _MAX_TIME, f"{_DELAY_H} hours", f"{_IDLE_H} hours")
+    # shuffle partitions follow the size of the data, and so do the groups of runs
+    groups = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = EP.stream_episodes(replay_as_stream(steps, "slice", slices=6), _MAX_TURNS, _MAX_TIME, f"{_DELAY_H} hours", f"{_IDLE_H} hours",
+                                groups=groups)
     return EP.latest_outcomes(run_to_parquet(stream, "episodes"))
 
 

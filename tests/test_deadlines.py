@@ -171,6 +171,28 @@ def test_steps_ahead_of_a_gap_wait(spark):
     assert {r.run_id: (r.n_steps, r.end_turn) for r in EP.latest_outcomes(out).collect()} == {1: (4, 4), 2: (1, None), 9: (1, 1)}
 
 
+def test_runs_share_calls_and_states(spark):
+    r = random.Random(5)
+    rows = [(run, t, at(t * H), "done" if t == ends else "command", run is not None and run % 2 == 0, min(3, (t + r.choice([0, 1])) // 2))
+            for run in [None, *range(300)] for ends in [r.randint(2, 9)] for t in range(1, 7)]
+    rows += [(1000, 1, at(200 * H), "command", True, 4)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    df = spark.createDataFrame(rows, STEPS)
+    stream = EP.stream_episodes(replay_as_stream(df, "slice", slices=5), max_turns=5, max_time=100 * H, watermark="12 hours",
+                                idle_timeout="20 hours", groups=4)
+    q = stream.writeStream.format("memory").queryName("shared_states").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4
+    assert all(p["stateOperators"][0]["numRowsDroppedByWatermark"] == 0 for p in q.recentProgress)
+    got = {x.run_id: (x.n_steps, x.end_turn, x.is_done_action, x.reward) for x in EP.latest_outcomes(spark.table("shared_states")).collect()}
+    done = {(x[0], x[1]) for x in rows if x[3] == "done"}
+    want = {}
+    for run in [None, *range(300)]:
+        end = next((t for t in range(1, 5) if (run, t) in done), 5)
+        want[run] = (end, end, (run, end) in done, int(run is not None and run % 2 == 0))
+    assert got == want
+
+
 def test_stream_sessions_equal_batch_sessions(spark):
     r = random.Random(4)
     rows = [(run, 0, at(t), r.choice(["command", "done", "invalid"]), True, int((t + r.choice([0, 1800])) // (6 * H)))
