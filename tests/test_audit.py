@@ -43,6 +43,23 @@ def test_returns_equal_a_plain_scan(spark, discount, width):
     assert sorted((x[0], x[1], round(x[2], 6), round(x[3], 6), round(x[4], 5) + 0.0) for x in got.collect()) == plain_returns(rows, discount)
 
 
+def test_turns_of_long_runs_are_numbered_over_ranges(spark, tmpdir_path):
+    from drover.plans import audit_queries as Q
+    from drover.plans.fixtures import view
+    r = random.Random(6)
+    rows = [(r.choice([None, *range(40)]), r.choice([None, 1, 2]), r.randint(1, 3), 1, r.choice([None, 5.0]), None, r.choice(["R", "N", None]))
+            for _ in range(3000)]
+    spark.createDataFrame(rows + rows[:300], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                          "l_shipdate timestamp, l_returnflag string").write.parquet(f"{tmpdir_path}/lineitem.parquet")
+    want, got = view(spark, tmpdir_path, "long_steps"), Q._long_steps(spark, tmpdir_path)
+    key = lambda x: (str(x[0]), x[1], float(x[2]))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    # no window over whole runs: each goes over a run's part of one range
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and all("_pid#" in line for line in windows)
+
+
 def test_returns_of_nothing_and_of_equal_steps(spark):
     empty = spark.createDataFrame([], "run_id long, turn int, reward double")
     assert RT.returns_to_go(empty).count() == 0
