@@ -15,14 +15,25 @@ PATH_RE = r"(?<![\w./~-])(?:/[\w.@+-]*[\w@+-])+"
 
 # E1 --------------------------------------------------------------------------
 def _words(text) -> Column:
-    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), T.WS + "+"), lambda w: w != "")
+    """The words of a text as hashes."""
+    return F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), T.WS + "+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _grams(words: Column, n: Column) -> Column:
-    """Runs of ``n`` words in order, one text each (none if there are fewer)."""
+def _grams(words: Column, n: Column, public: bool) -> Column:
+    """Runs of ``n`` words as ``(h, public, i)`` (none if there are fewer)."""
     last = F.size(words) - n + 1
-    return F.when((n > 0) & (last > 0), F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    places = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.xxhash64(n, F.slice(words, i, n)).alias("h"), F.lit(public).alias("public"), i.alias("i")))
+
+
+def _longest(places: Column) -> Column:
+    """The length of the longest stretch of consecutive numbers (each comes once)."""
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc, i):
+        run = F.when(i == acc["at"] + 1, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(i.alias("at"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    return F.aggregate(F.sort_array(places), start, step, lambda acc: acc["best"])
 
 
 def detect_truth_leak(tasks: DataFrame, words: int = 5, key: str = "task_id", truth: str = "truth",
@@ -37,34 +48,26 @@ def detect_truth_leak(tasks: DataFrame, words: int = 5, key: str = "task_id", tr
     without words (null, blank) has ratio null and no row is lost; repeated keys
     are one task, whose texts are taken together.
 
-    Runs travel as 64-bit hashes on (task, hash), so a long text is spread over
-    many tasks; positions meet again per task to find the stretches."""
+    Runs travel as 64-bit hashes of their words' hashes, once, on (task, hash), so
+    a long text is spread over many tasks; in each group the description's come
+    first and tell whether the truth's leak.  The places of those meet again per
+    row of the table to find the stretches (rows of a task never touch)."""
     base = tasks.select(F.col(key).alias("k"), _words(truth).alias("t"), _words(description).alias("d"),
                         F.monotonically_increasing_id().alias("row"))
     base = base.withColumn("n", F.least(F.lit(int(words)), F.size("t")))
-    # positions of different rows of a task never touch
-    held = base.select("k", "row", "n", F.posexplode(_grams(F.col("t"), F.col("n"))).alias("i", "g")) \
-        .select("k", "row", "n", "i", F.xxhash64("n", "g").alias("h"))
-    sizes = base.select("k", "n", "d").filter("n > 0")
-    public = sizes.select("k", F.explode(_grams(F.col("d"), F.col("n"))).alias("g"), "n") \
-        .select(F.col("k").alias("pk"), F.xxhash64("n", "g").alias("ph")).distinct()
-    found = held.join(public, F.col("k").eqNullSafe(F.col("pk")) & (F.col("h") == F.col("ph")), "left") \
-        .withColumn("leaked", F.col("ph").isNotNull())
-    grams = found.groupBy("k", "h").agg(F.max("leaked").alias("leaked"))
-    counts = grams.groupBy("k").agg(F.count(F.lit(1)).alias("n_grams"), F.count_if("leaked").alias("n_leaked"))
-    at = F.row_number().over(Window.partitionBy("k", "row").orderBy("i"))
-    runs = found.filter("leaked").withColumn("stretch", F.col("i") - at) \
-        .groupBy("k", "row", "stretch").agg((F.count(F.lit(1)) - 1 + F.max("n")).alias("run"))
-    longest = runs.groupBy("k").agg(F.max("run").alias("longest"))
-    out = base.select("k").distinct()
-    for part, name in ((counts, "kc"), (longest, "kl")):
-        part = part.withColumnRenamed("k", name)
-        out = out.join(part, F.col("k").eqNullSafe(F.col(name)), "left").drop(name)
-    n = F.coalesce("n_grams", F.lit(0))
-    leaked = F.coalesce("n_leaked", F.lit(0))
-    return out.select(F.col("k").alias(key), n.alias("n_grams"), leaked.alias("n_leaked"),
-                      F.when(n > 0, leaked / n).alias("leak_ratio"),
-                      F.coalesce("longest", F.lit(0)).cast("bigint").alias("longest_run"))
+    grams = base.select("k", "row", "n", F.inline(F.concat(_grams(F.col("t"), F.col("n"), False), _grams(F.col("d"), F.col("n"), True))))
+    w = Window.partitionBy("h", "k").orderBy(F.desc("public"))
+    held = grams.withColumns({"leaked": F.first("public").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+                              "new": F.coalesce(F.lag("public").over(w), F.lit(True))}).filter("NOT public")
+    rows = held.groupBy("k", "row").agg(F.count_if("new").alias("n_grams"), F.count_if(F.col("new") & F.col("leaked")).alias("n_leaked"),
+                                        F.collect_list(F.when(F.col("leaked"), F.col("i"))).alias("places"), F.max("n").alias("n"))
+    longest = F.when(F.size("places") > 0, _longest(F.col("places")) - 1 + F.col("n")).otherwise(F.lit(0))
+    none = F.lit(0).cast("bigint")  # a task without runs is a row too
+    out = rows.select("k", "n_grams", "n_leaked", longest.cast("bigint").alias("longest_run")).unionByName(
+        tasks.select(F.col(key).alias("k"), none.alias("n_grams"), none.alias("n_leaked"), none.alias("longest_run")))
+    out = out.groupBy("k").agg(F.sum("n_grams").alias("n_grams"), F.sum("n_leaked").alias("n_leaked"), F.max("longest_run").alias("longest_run"))
+    return out.select(F.col("k").alias(key), "n_grams", "n_leaked",
+                      F.when(F.col("n_grams") > 0, F.col("n_leaked") / F.col("n_grams")).alias("leak_ratio"), "longest_run")
 
 
 # E2 --------------------------------------------------------------------------

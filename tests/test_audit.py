@@ -96,6 +96,17 @@ def test_leaks_equal_brute_force(spark):
     assert A.detect_truth_leak(df.limit(0)).count() == 0
 
 
+def test_leaks_of_repeated_and_null_keys(spark):
+    rows = [("a", "one two three four", "zero one two"), ("a", "one two three four", "one two three"), (None, "x y z", "x y z"),
+            (None, "p q", "p q r"), (None, "p q r", "x y"), ("b", "u u u u u u", "u u u")]
+    df = spark.createDataFrame(rows, "task_id string, truth string, description string")
+    found = A.detect_truth_leak(df, 3)
+    got = {x.task_id: (x.n_grams, x.n_leaked, x.longest_run) for x in found.collect()}
+    assert got == {"a": (2, 1, 3), None: (3, 2, 3), "b": (1, 1, 6)}
+    # the runs are made and moved once: no side of a join reads them again
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # E2 -----------------------------------------------------------------------------
 def test_output_paths(spark):
     rows = [("a", "write /home/user/out/report.txt.", 'exists("/home/user/out")', "mkdir /srv/x"),
