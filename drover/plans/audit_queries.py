@@ -123,7 +123,9 @@ def _long_steps(spark, sf):
     lines, so turns are numbered over ranges, not by a window over whole runs."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_returnflag"]
     lines = table(spark, sf, "lineitem").select(F.expr("CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END").alias("run_id"), *order)
-    return DS.keyed_prefix_sum(lines, "run_id", order, F.lit(1), "turn", inclusive=True).select(
+    # many small parts of the long run, so that a task that gets several of them stays small
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return DS.keyed_prefix_sum(lines, "run_id", order, F.lit(1), "turn", inclusive=True, num_partitions=ranges).select(
         "run_id", F.col("turn").cast("int").alias("turn"), F.expr("CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END").alias("reward"))
 
 
